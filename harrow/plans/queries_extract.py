@@ -62,7 +62,7 @@ _ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*)', 1), '(?s)</
 
 
 @query(f"""
-SELECT page_id, url AS thread_url, {sql.thread_id('url')} AS thread_id, {sql.text(_ARTICLE, chr(92) + 'n')} AS content,
+SELECT page_id, url AS thread_url, {sql.thread_id('url')} AS thread_id, {sql.text(_ARTICLE, 'chr(10)')} AS content,
   CAST(len(list_filter(list_distinct(regexp_extract_all(html, '{sql.LINK}', 1)),
     lambda x: regexp_matches(lower({sql.base('url')} || x), 'image|img|photo|pic|attachment|\\.(jpg|jpeg|png|gif|bmp|webp)$'))) AS INTEGER)
     AS image_count
@@ -89,7 +89,7 @@ def e4_thread_metadata(t: Tables) -> DataFrame:
     return pages.select("page_id", E.thread_metadata(F.col("nodes")).alias("m")).select("page_id", "m.*")
 
 
-@query(f"SELECT page_id, {sql.text(_ARTICLE, chr(92) + 'n')} AS content FROM pages")
+@query(f"SELECT page_id, {sql.text(_ARTICLE, 'chr(10)')} AS content FROM pages")
 def e5_thread_content(t: Tables) -> DataFrame:
     return _parsed(t).select("page_id", E.thread_content(F.col("nodes")).alias("content"))
 

@@ -55,8 +55,8 @@ def texts(html: str) -> str:
     )
 
 
-def text(html: str, separator: str = "") -> str:
-    return f"array_to_string({texts(html)}, {separator!r})".replace("'\\n'", "chr(10)")
+def text(html: str, separator: str = "''") -> str:
+    return f"array_to_string({texts(html)}, {separator})"
 
 
 LINK = r'<a\s[^>]*?href="([^"]*)"'
