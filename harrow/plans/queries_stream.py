@@ -1 +1,124 @@
+"""Streams over the given tables, run to their end and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from harrow.functions import urls as U
+from harrow.operators import dom
+from harrow.operators.extract import one, thread_list
+from harrow.plans import sql
+from harrow.plans.queries_extract import NAV_ITEMS
+from harrow.plans.queries_frontier import ENTRIES, entries
+from harrow.plans.registry import Tables, query
+from harrow.session import shared_dir
+from harrow.sources.pages import table
+from harrow.streaming import crawl_stream as C
+
+
+class StreamedTables(Tables):
+    """The same tables as streams of files."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        schema = table(self.spark, self.folder, name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+
+def _streamed(t: Tables) -> StreamedTables:
+    return StreamedTables(t.spark, t.folder)
+
+
+@query(f"""WITH {ENTRIES}
+SELECT site, page, pos, article_id FROM marked WHERE is_new AND CAST(article_id AS INTEGER) % 10 <> 0""")
+def st1_new_articles(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "new-articles")
+    finished = entries(t).where("cast(article_id as int) % 10 = 0").select("article_id").distinct()
+    found = entries(_streamed(t)).drop("event_type")
+    C.stream_new_articles(found, ["page", "pos"], finished, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
+
+
+_TASKS = f"""{sql.LINKS}, tasks AS (
+  SELECT page_id, {sql.host('url')} AS site, {sql.article_id('url')} AS article_id, {sql.resolved()} || '-30x20.jpg' AS image_url,
+    count(*) OVER (PARTITION BY page_id) AS total_count FROM links)"""
+
+
+@query(f"""WITH {_TASKS}
+SELECT site, article_id, CAST(total_count AS INTEGER) AS total_count, image_url,
+  'img/' || site || '/' || article_id || '_' || {sql.file_name('image_url')} AS save_path FROM tasks""")
+def st2_image_tasks(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "image-tasks")
+
+    def articles(pages: DataFrame) -> DataFrame:
+        url = F.col("url")
+        hrefs = F.regexp_extract_all("html", F.lit(sql.LINK), F.lit(1))
+        images = F.transform(hrefs, lambda h: F.concat(U.base_url(url), h, F.lit("-30x20.jpg")))
+        return pages.select(U.host(url).alias("site"), U.article_id(url).alias("article_id"), images.alias("images"))
+
+    tasks = C.image_tasks(articles(_streamed(t).pages), F.lit("img"))
+    C.ingest(tasks, lambda batch, _: batch, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@query(f"""WITH {_TASKS}, paths AS (
+  SELECT 'img/' || site || '/' || article_id || '_' || {sql.file_name('image_url')} AS save_path FROM tasks)
+SELECT save_path, count(*) AS n_images FROM paths GROUP BY 1 HAVING count(*) > 1""")
+def st2_name_collisions(t: Tables) -> DataFrame:
+    return C.name_collisions(st2_image_tasks(t))
+
+
+def _outcomes(lines: DataFrame, t: Tables) -> DataFrame:
+    """Image tasks of orders; a task that raised has no outcome."""
+    totals = t.lineitem.groupBy(F.col("l_orderkey").alias("article_id")).agg(F.count("*").alias("total_count"))
+    raised = (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)
+    tasks = lines.select(F.col("l_orderkey").alias("article_id"), F.when(~raised, F.col("l_returnflag")).alias("outcome"))
+    return tasks.join(totals, "article_id")
+
+
+_DONE = """tasks AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' AND l_quantity > 45 THEN NULL ELSE l_returnflag END AS outcome FROM lineitem),
+done AS (SELECT l_orderkey AS article_id, count(outcome) AS processed, count(*) AS total_count FROM tasks GROUP BY 1 HAVING count(outcome) >= count(*))"""
+
+
+@query(f"WITH {_DONE} SELECT * FROM done")
+def st3_completions(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "completions")
+    stream = _outcomes(_streamed(t).lineitem, t)
+    C.stream_completions(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return C.finished_articles(t.spark.read.parquet(f"{root}/out"))
+
+
+@query(f"""WITH {_DONE}
+SELECT CAST(o_orderkey AS VARCHAR) AS article_id, o_orderpriority AS title,
+  CASE WHEN o_orderkey IN (SELECT article_id FROM done) THEN true ELSE false END AS images_downloaded
+FROM orders WHERE o_orderkey IN (SELECT article_id FROM done) OR o_orderkey % 4 = 0""")
+def st5_record_completions(t: Tables) -> DataFrame:
+    """The batch form, up to the stored articles."""
+    from harrow.operators import state
+    from harrow.plans.queries_state import now, shaped
+
+    done = C.completions(_outcomes(t.lineitem, t)).withColumn("article_id", F.col("article_id").cast("string"))
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"), F.col("o_orderpriority").alias("title"))
+    stored = shaped(
+        t.orders.where("o_orderkey % 4 = 0").select(
+            F.col("o_orderkey").cast("string").alias("article_id"), F.col("o_orderpriority").alias("title"),
+            F.lit(False).alias("images_downloaded"),
+        ),
+        state.ARTICLES,
+    )
+    merged = C.record_completions(stored, shaped(rows, state.ARTICLES), done, now())
+    return merged.select("article_id", "title", "images_downloaded")
+
+
+@query(f"""WITH {sql.LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, {sql.resolved()} AS thread_url FROM links""")
+def st4_resumable_ingest(t: Tables) -> DataFrame:
+    """Pages are parsed as they arrive; the second run goes on where the first ended."""
+    root = shared_dir(t.spark, "ingest")
+
+    def step(batch: DataFrame, _: int) -> DataFrame:
+        listed = thread_list(dom.parse_pages(batch), NAV_ITEMS, one("a"), "page_id")
+        return listed.select("page_id", "pos", "thread_url")
+
+    for _ in range(2):
+        C.ingest(_streamed(t).pages, step, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")

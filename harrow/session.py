@@ -16,6 +16,9 @@ REQUIRED_CONF = {
     # alone must not stand in for it.
     "spark.sql.requireAllClusterKeysForCoPartition": "true",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # Stream state on local disk and in checkpoints, not on the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
