@@ -38,7 +38,7 @@ def selector_steps(text: Column) -> Column:
             ).alias("attrs"),
         )
 
-    alternatives = F.filter(F.transform(F.split(text, ","), F.trim), lambda a: a != "")
+    alternatives = F.filter(F.transform(F.split(text, ","), lambda a: F.trim(a)), lambda a: a != "")
     return F.transform(alternatives, lambda a: F.transform(F.split(a, r"\s+"), one_step))
 
 

@@ -122,36 +122,50 @@ def _merge_path(base_path: Column, ref_path: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def resolve_url(base: Column, ref: Column) -> Column:
-    """resolve a link against its page following RFC 3986.
+def _parts(url: Column) -> Column:
+    names = {"scheme": _SCHEME, "authority": _AUTHORITY, "path": _PATH, "query": _QUERY, "fragment": _FRAGMENT}
+    return F.struct(url.alias("whole"), *[_part(url, g).alias(n) for n, g in names.items()])
 
-    The common cases (absolute link, plain ``/path``) avoid the segment work.
-    """
-    ref = F.regexp_replace(ref, r"^[\x00-\x20]+|[\t\r\n]", "")
-    scheme, b_scheme = F.lower(_part(ref, _SCHEME)), F.lower(_part(base, _SCHEME))
-    authority, b_authority = _part(ref, _AUTHORITY), _part(base, _AUTHORITY)
-    path, b_path = _part(ref, _PATH), _part(base, _PATH)
-    query, fragment = _part(ref, _QUERY), _part(ref, _FRAGMENT)
-
-    def assemble(auth: Column, p: Column, q: Column) -> Column:
-        rooted = F.when((p == "") | F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
+
+def _resolve_parts(b: Column, r: Column) -> Column:
+    scheme = F.lower(b["scheme"])
+
+    def assemble(authority: Column, path: Column, query: Column) -> Column:
+        rooted = F.when((path == "") | F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
         return F.concat(
-            b_scheme,
-            F.when(b_scheme != "", F.lit(":")).otherwise(F.lit("")),
-            F.when(auth != "", F.concat(F.lit("//"), auth, rooted)).otherwise(p),
-            F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
-            F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
+            scheme,
+            F.when(scheme != "", ":").otherwise(""),
+            F.when(authority != "", F.concat(F.lit("//"), authority, rooted)).otherwise(path),
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+            F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""),
         )
 
-    plain_path = F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("/."))
+    own_scheme = (r["scheme"] != "") & (F.lower(r["scheme"]) != scheme)
+    plain_path = F.startswith(r["path"], F.lit("/")) & ~F.contains(r["path"], F.lit("/."))
+    inherited = F.coalesce(blank_to_null(r["query"]), b["query"])
     return (
-        F.when(ref == "", base)
-        .when((scheme != "") & (scheme != b_scheme), ref)
-        .when(authority != "", assemble(authority, path, query))
-        .when(plain_path, assemble(b_authority, path, query))
-        .when(path == "", assemble(b_authority, b_path, F.coalesce(blank_to_null(query), _part(base, _QUERY))))
-        .otherwise(assemble(b_authority, _merge_path(b_path, path), query))
+        F.when(r["whole"] == "", b["whole"])
+        .when(own_scheme, r["whole"])
+        .when(r["authority"] != "", assemble(r["authority"], r["path"], r["query"]))
+        .when(plain_path, assemble(b["authority"], r["path"], r["query"]))
+        .when(r["path"] == "", assemble(b["authority"], b["path"], inherited))
+        .otherwise(assemble(b["authority"], _merge_path(b["path"], r["path"]), r["query"]))
+    )
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """resolve a link against its page following RFC 3986.
+
+    Most links are a plain ``/path``: site and path are then put together without
+    taking either of them apart.
+    """
+    site = F.regexp_extract(base, r"^https?://[^/?#]+", 0)
+    plain = F.regexp_like(ref, F.lit(r"^/[^/.?#\s][^.?#\t\r\n]*$")) & (site != "")
+    clean = F.regexp_replace(ref, r"^[\x00-\x20]+|[\t\r\n]", "")
+    general = let(
+        F.struct(_parts(base).alias("b"), _parts(clean).alias("r")), lambda x: _resolve_parts(x["b"], x["r"])
     )
+    return F.when(plain, F.concat(site, ref)).otherwise(general)
 
 
 def absolute_article_url(site_base: Column, ref: Column) -> Column:

@@ -40,19 +40,30 @@ def file_verdicts(
     """``reason`` is NULL for a kept file, else what it repeats.
 
     Only first copies go on to the picture check, as an exact copy has the same
-    picture. Known hashes (of files stored earlier) count as seen before.
+    picture. Known hashes (of files stored earlier) count as seen before; a file
+    that cannot be read (NULL content hash) is never a duplicate. Each step is a
+    partially aggregated minimum, and only positions are joined back.
     """
     orders = [order] if isinstance(order, str) else list(order)
-    slim = df.select(*orders, content_hash, picture_hash)
-    unique = first_flags(slim, content_hash, orders).where("is_first").drop("is_first")
+    place = F.struct(*orders, F.col(picture_hash).alias("_picture"))
+    unique = (
+        df.where(F.col(content_hash).isNotNull())
+        .groupBy(content_hash).agg(F.min(place).alias("_first"))
+        .select(content_hash, "_first.*")
+    )
     if known_content is not None:
         unique = _unless_known(unique, known_content, content_hash)
-    kept = first_flags(unique, picture_hash, orders).where("is_first").drop("is_first")
+    kept = (
+        unique.where(F.col("_picture").isNotNull())
+        .groupBy("_picture").agg(F.min(F.struct(*orders)).alias("_first"))
+        .select("_picture", "_first.*")
+    )
     if known_pictures is not None:
-        kept = _unless_known(kept, known_pictures, picture_hash)
+        kept = _unless_known(kept, known_pictures, "_picture")
     seen = unique.select(*orders, F.lit(True).alias("_unique"))
     good = kept.select(*orders, F.lit(True).alias("_kept"))
-    reason = F.when(F.col("_kept"), F.lit(None)).when(F.col("_unique"), "same_picture").otherwise("same_bytes")
+    keep = F.col(content_hash).isNull() | (F.col("_unique") & (F.col(picture_hash).isNull() | F.col("_kept")))
+    reason = F.when(keep, F.lit(None)).when(F.col("_unique"), "same_picture").otherwise("same_bytes")
     return (
         df.join(seen, orders, "left").join(good, orders, "left")
         .withColumn("reason", reason)
@@ -61,7 +72,7 @@ def file_verdicts(
 
 
 def _unless_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """After the keep-first step each key is left once, so no key is hot here."""
+    """Each key is left once at this point, so no key is hot here."""
     return without_known(df, known.where(F.col(known.columns[0]).isNotNull()).toDF(key), key)
 
 

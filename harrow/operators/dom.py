@@ -153,17 +153,6 @@ def _node_lists(pages: Sequence[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=missing)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small input that lies in fewer files than cores.
-
-    A large scan already has more partitions than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace the ``html`` column by ``nodes``; all other columns are kept."""
     kept = [c for c in pages.columns if c != html]
@@ -177,7 +166,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
                 nodes = _node_lists(part.column(html).to_pylist())
                 yield pa.RecordBatch.from_arrays([*columns, nodes], names=[*kept, "nodes"])
 
-    return spread(pages.select(*kept, html)).mapInArrow(run, f"{schema}, nodes {NODE_TYPE}")
+    return pages.select(*kept, html).mapInArrow(run, f"{schema}, nodes {NODE_TYPE}")
 
 
 def elements(parsed: DataFrame, *keys: str) -> DataFrame:
@@ -196,7 +185,7 @@ def step(tag: str | None = None, cls: Sequence[str] | str = (), attrs: Sequence[
 
 
 def attr(e: Column, name: str) -> Column:
-    return F.get(F.map_values(F.map_filter(e["attrs"], lambda k, _: k == name)), F.lit(0))
+    return e["attrs"][name]
 
 
 def filled_attr(e: Column, name: str) -> Column:
@@ -241,11 +230,7 @@ def _fits_column(e: Column, s: Column) -> Column:
         & F.forall(s["classes"], lambda c: F.array_contains(e["classes"], c))
         & F.forall(
             s["attrs"],
-            lambda a: _attr_test(
-                F.get(F.map_values(F.map_filter(e["attrs"], lambda k, _: k == a["name"])), F.lit(0)),
-                a["op"],
-                a["value"],
-            ),
+            lambda a: _attr_test(e["attrs"][a["name"]], a["op"], a["value"]),
         )
     )
 

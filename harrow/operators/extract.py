@@ -214,10 +214,9 @@ def article_link(nodes: Column, article: Column, title: Column, link_rule: Rule)
     )
 
 
-def article_list(parsed: DataFrame, *keys: str, site_base: Column, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """One row per news list entry; entries without title or link are dropped."""
+def article_entries(nodes: Column, site_base: Column, rules: dict[str, Rule] | None = None) -> Column:
+    """The entries of a news list page; those without title or link are dropped."""
     rules = {**ARTICLE_RULES, **(rules or {})}
-    nodes = _nodes()
 
     def row(article: Column) -> Column:
         scope = subtree(nodes, article)
@@ -232,19 +231,26 @@ def article_list(parsed: DataFrame, *keys: str, site_base: Column, rules: dict[s
             ),
         )
 
+    def finished(r: Column) -> Column:
+        return F.struct(
+            U.article_id(r["link"]).alias("article_id"),
+            r["title"].alias("title"), r["author"].alias("author"), r["date"].alias("date"),
+            r["summary"].alias("summary"),
+            U.absolute_article_url(site_base, r["link"]).alias("article_url"),
+        )
+
     rows = F.filter(
         F.transform(find_all(nodes, rules["article"]), row),
         lambda r: r["link"].isNotNull() & (r["title"] != ""),
     )
-    return (
-        parsed.select(*keys, site_base.alias("_base"), F.posexplode(rows).alias("pos", "a"))
-        .select(
-            *keys,
-            (F.col("pos") + 1).alias("pos"),
-            U.article_id(F.col("a.link")).alias("article_id"),
-            "a.title", "a.author", "a.date", "a.summary",
-            U.absolute_article_url(F.col("_base"), F.col("a.link")).alias("article_url"),
-        )
+    return F.transform(rows, finished)
+
+
+def article_list(parsed: DataFrame, *keys: str, site_base: Column, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """One row per news list entry."""
+    entries = article_entries(_nodes(), site_base, rules)
+    return parsed.select(*keys, F.posexplode(entries).alias("pos", "a")).select(
+        *keys, (F.col("pos") + 1).alias("pos"), "a.*"
     )
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harrow.operators.skew import first_flags, running, without_known
+from harrow.operators.skew import BLOCK, running, without_known
 
 MAX_STREAK = 10
 
@@ -52,17 +53,22 @@ def list_fields_win(listed: DataFrame, detail: DataFrame, key: str = "thread_url
     return rest.join(listed.select(key, "board", "title"), key)
 
 
-def mark_first_seen(entries: DataFrame, known: DataFrame | None = None, by: str = "site") -> DataFrame:
-    """``is_new`` at an article's first place (page, pos), unless it is known.
+def first_places(entries: DataFrame, known: DataFrame | None = None, by: str = "site") -> DataFrame:
+    """The first place (page, pos) of every article that is not known.
 
     ``entries`` has (by, page, pos, article_id); ``known`` has (by, article_id).
     """
-    flagged = first_flags(entries, [by, "article_id"], ["page", "pos"], "is_new")
-    if known is None:
-        return flagged
-    seen = known.select(by, "article_id").distinct().withColumn("_seen", F.lit(True))
-    firsts = flagged.where("is_new").join(seen, [by, "article_id"], "left")
-    news = firsts.where(F.col("_seen").isNull()).select(by, "page", "pos", F.lit(True).alias("_new"))
+    firsts = (
+        entries.where(F.col("article_id").isNotNull())
+        .groupBy(by, "article_id").agg(F.min(F.struct("page", "pos")).alias("_first"))
+        .select(by, "article_id", "_first.*")
+    )
+    return firsts if known is None else without_known(firsts, known, [by, "article_id"])
+
+
+def mark_first_seen(entries: DataFrame, known: DataFrame | None = None, by: str = "site") -> DataFrame:
+    """``is_new`` at an article's first place, unless the article is known."""
+    news = first_places(entries, known, by).select(by, "page", "pos", F.lit(True).alias("_new"))
     return (
         entries.join(news, [by, "page", "pos"], "left")
         .withColumn("is_new", F.coalesce("_new", F.lit(False)))
@@ -70,14 +76,14 @@ def mark_first_seen(entries: DataFrame, known: DataFrame | None = None, by: str
     )
 
 
-def page_counts(marked: DataFrame, by: str = "site") -> DataFrame:
-    """One row per list page: entries and new entries on it."""
-    return marked.groupBy(by, "page").agg(
-        F.count("article_id").alias("n_articles"), F.count_if("is_new").alias("n_new")
-    )
+def page_counts(entries: DataFrame, known: DataFrame | None = None, by: str = "site") -> DataFrame:
+    """Entries and new entries per list page, without marking every entry."""
+    news = first_places(entries, known, by).groupBy(by, "page").agg(F.count("*").alias("n_new"))
+    every = entries.groupBy(by, "page").agg(F.count("article_id").alias("n_articles"))
+    return every.join(news, [by, "page"], "left").fillna({"n_new": 0})
 
 
-def no_new_streak(pages: DataFrame, by: str = "site", start: Column | int = 1, block: int = 4096) -> DataFrame:
+def no_new_streak(pages: DataFrame, by: str = "site", start: Column | int = 1, block: int = BLOCK) -> DataFrame:
     """``streak`` of pages without a new entry that ends at each page."""
     start = F.lit(start) if isinstance(start, int) else start
     last_new = F.when(F.col("n_new") > 0, F.col("page"))
@@ -94,36 +100,63 @@ def crawl_extent(
     start_page: int = 1,
     max_pages: int | None = None,
     max_streak: int = MAX_STREAK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Where the crawl of each site stops, why, and the state it is left in.
 
     ``pages`` has (by, page, fetched, n_articles, n_new, has_more). A page that
     is absent or not fetched ends the crawl, as does the page after the last one.
+    Pages are scanned in blocks, as in ``skew.running``.
     """
-    pages = pages.where(F.col("page") >= start_page)
-    streaks = no_new_streak(pages.select(by, "page", "fetched", "n_articles", "n_new", "has_more"), by, start_page)
+    pages = pages.where(F.col("page") >= start_page).withColumn("_block", F.floor(F.col("page") / F.lit(block)))
+    inside = W.partitionBy(by, "_block").orderBy("page")
+    blocks = W.partitionBy(by).orderBy("_block")
+    last_new = F.when(F.col("n_new") > 0, F.col("page"))
+    carried = (
+        pages.groupBy(by, "_block")
+        .agg(F.max(last_new).alias("_last"), F.min("page").alias("_first"))
+        .withColumn("_before", F.max("_last").over(blocks.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("_after", F.lead("_first").over(blocks))
+        .withColumn("_previous", F.lag("_block").over(blocks))
+        .drop("_last")
+    )
+    # Inside a block the neighbours come from a window, at its ends from the blocks around it.
+    scanned = (
+        pages.withColumn("_here", F.max(last_new).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("_next", F.lead("page").over(inside))
+        .join(carried, [by, "_block"])
+    )
+    streak = F.col("page") - F.coalesce(F.greatest("_here", "_before"), F.lit(start_page - 1))
     tests = [
         ~F.col("fetched"),
         F.col("n_articles") == 0,
-        F.col("streak") >= max_streak,
+        streak >= max_streak,
         F.col("page") >= max_pages if max_pages is not None else F.lit(False),
         ~F.col("has_more"),
     ]
     number = F.when(tests[0], 1)
     for i, test in enumerate(tests[1:], start=2):
         number = number.when(test, i)
-    stops = streaks.withColumn("_why", number).where(F.col("_why").isNotNull()).select(by, "page", "_why")
-    # Pages that a crawl would ask for next but that do not exist.
-    expected = pages.select(by, (F.col("page") + 1).alias("page")).unionByName(
-        pages.select(by, F.lit(start_page).cast(pages.schema["page"].dataType).alias("page")).distinct()
+    nothing = F.lit(None).cast(pages.schema["page"].dataType)
+    gap = F.coalesce("_next", "_after").isNull() | (F.coalesce("_next", "_after") != F.col("page") + 1)
+    missing_next = F.when(gap, F.col("page") + 1)
+    is_first = F.col("_previous").isNull() & (F.col("page") == F.col("_first"))
+    missing_start = F.when(is_first & (F.col("page") > start_page), F.lit(start_page)).otherwise(nothing)
+    stops = F.array(
+        F.struct(F.when(number.isNotNull(), F.col("page")).alias("page"), number.alias("why")),
+        F.struct(missing_next.alias("page"), F.lit(1).alias("why")),
+        F.struct(missing_start.alias("page"), F.lit(1).alias("why")),
+    )
+    first_stop = (
+        scanned.select(by, F.explode(stops).alias("s"))
+        .where(F.col("s.page").isNotNull())
+        .groupBy(by).agg(F.min("s").alias("s"))
     )
-    gaps = expected.join(pages.select(by, "page"), [by, "page"], "left_anti").withColumn("_why", F.lit(1))
-    first_stop = stops.unionByName(gaps).groupBy(by).agg(F.min(F.struct("page", "_why")).alias("s"))
     reasons = F.array(*[F.lit(r) for r in STOP_REASONS])
     return first_stop.select(
         by,
         F.col("s.page").alias("stop_page"),
-        F.element_at(reasons, F.col("s._why")).alias("stop_reason"),
+        F.element_at(reasons, F.col("s.why")).alias("stop_reason"),
     ).withColumn(
         "status", F.when(F.col("stop_reason").isin(KEEPS_RUNNING), "running").otherwise("completed")
     )
@@ -151,7 +184,7 @@ def last_of_page(entries: DataFrame, by: str = "site") -> DataFrame:
     )
 
 
-def last_new_so_far(marked: DataFrame, by: str = "site", block: int = 4096) -> DataFrame:
+def last_new_so_far(marked: DataFrame, by: str = "site", block: int = BLOCK) -> DataFrame:
     """Per page the last new entry on it or, failing that, before it."""
     per_page = marked.groupBy(by, "page").agg(
         F.max(F.when(F.col("is_new"), F.struct("page", "pos", "article_id"))).alias("_last")
@@ -161,7 +194,7 @@ def last_new_so_far(marked: DataFrame, by: str = "site", block: int = 4096) -> D
     )
 
 
-def beyond_max(entries: DataFrame, by: list[str], order: str, ties: list[str], ids: str, seed: Column | None = None, block: int = 4096) -> DataFrame:
+def beyond_max(entries: DataFrame, by: list[str], order: str, ties: list[str], ids: str, seed: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Numeric ids greater than every id before them; ``seed`` is the stored maximum."""
     number = F.col(ids).try_cast("bigint")
     scanned = running(entries, by, order, ties, number, "max_before", strict=True, block=block)

@@ -11,6 +11,7 @@ from harrow.operators.dedup import url_duplicates
 from harrow.operators.profile import detected_rules, forum_type, page_profiles, site_profiles
 from harrow.operators.skew import keep_first
 from harrow.operators.state import upsert_threads
+from harrow.session import materialized
 from harrow.sources.rules import process_images, with_site_rules
 from harrow.streaming.crawl_stream import image_tasks, new_entries
 
@@ -36,10 +37,12 @@ def forum_crawl(
     listed = extract.thread_list(
         lists, F.col("thread_list_rule"), F.col("thread_link_rule"), "page_id", "board", "host"
     )
-    listed = frontier.new_threads(keep_first(listed, "thread_id", ["page_id", "pos"]), stored)
+    listed = frontier.new_threads(keep_first(materialized(listed, "listed"), "thread_id", ["page_id", "pos"]), stored)
+    listed = materialized(listed, "new-threads")
     wanted = thread_pages.join(listed.select(F.col("thread_url").alias("url")).distinct(), "url", "left_semi")
     details_in = with_site_rules(dom.parse_pages(wanted), rules)
     details = extract.thread_detail(details_in, F.col("image_rule"), "forum_type", "base_url").drop("thread_id")
+    details = materialized(details, "thread-details")
     threads = (
         listed.join(details, "thread_url")
         .withColumn("images", process_images(F.col("images"), F.col("forum_type"), F.col("base_url")))
@@ -72,30 +75,29 @@ def news_crawl(
 
     ``list_pages`` has (site, page, url, html), ``article_pages`` (url, html).
     """
+    nodes = F.col("nodes")
     lists = dom.parse_pages(list_pages)
-    entries = extract.article_list(
-        lists, "site", "page", site_base=U.base_url(F.col("url")), rules=article_rules
-    )
-    marked = frontier.mark_first_seen(
-        entries,
-        entries.select("site", "article_id").join(
-            frontier.finished_articles(stored), "article_id", "left_semi"
+    found = extract.article_entries(nodes, U.base_url(F.col("url")), article_rules)
+    read = materialized(
+        lists.select(
+            "site", "page", nodes.isNotNull().alias("fetched"), found.alias("entries"),
+            F.coalesce(extract.has_load_more(nodes), F.lit(False)).alias("has_more"),
         ),
+        "list-pages",
     )
-    counts = frontier.page_counts(marked)
-    nothing = {"n_articles": 0, "n_new": 0}
-    pages = (
-        lists.select(
-            "site", "page", F.col("nodes").isNotNull().alias("fetched"),
-            F.coalesce(extract.has_load_more(F.col("nodes")), F.lit(False)).alias("has_more"),
-        )
-        .join(counts, ["site", "page"], "left")
-        .fillna(nothing)
+    entries = read.select("site", "page", F.posexplode("entries").alias("pos", "e")).select("site", "page", "pos", "e.*")
+    known = entries.select("site", "article_id").join(
+        frontier.finished_articles(stored), "article_id", "left_semi"
     )
+    marked = frontier.mark_first_seen(entries, known)
+    counts = frontier.page_counts(entries, known)
+    nothing = {"n_articles": 0, "n_new": 0}
+    pages = read.drop("entries").join(counts, ["site", "page"], "left").fillna(nothing)
     extent = frontier.crawl_extent(pages, start_page=start_page, max_pages=max_pages)
     fresh = frontier.crawled_pages(marked.where("is_new"), extent, start_page=start_page)
+    fresh = materialized(fresh, "new-articles")
     wanted = article_pages.join(fresh.select(F.col("article_url").alias("url")).distinct(), "url", "left_semi")
-    details = extract.article_detail(dom.parse_pages(wanted))
+    details = materialized(extract.article_detail(dom.parse_pages(wanted)), "article-details")
     full = frontier.merge_detail(fresh, details, "article_url")
     return {
         "extent": extent,

@@ -21,11 +21,11 @@ NAV_LINKS = [[step("nav"), step("a")]]
 
 
 def _parsed(t: Tables) -> DataFrame:
-    return dom.parse_pages(t.pages)
+    return t.parsed()
 
 
 def _rewritten(t: Tables, html: Column) -> DataFrame:
-    return dom.parse_pages(t.pages.withColumn("html", html))
+    return t.parsed(t.pages.withColumn("html", html))
 
 
 @query(f"WITH {sql.LINKS} SELECT page_id, pos, href FROM links")

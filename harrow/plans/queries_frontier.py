@@ -56,7 +56,7 @@ def w1_first_seen_unknown(t: Tables) -> DataFrame:
 
 
 def _counts(t: Tables) -> DataFrame:
-    return frontier.page_counts(frontier.mark_first_seen(entries(t).drop("event_type")))
+    return frontier.page_counts(entries(t))
 
 
 @query(f"WITH {ENTRIES} SELECT site, page, n_articles, n_new, streak FROM streaks")
@@ -80,7 +80,7 @@ extent AS (SELECT site, b // 10 AS stop_page,
 
 def _extent(t: Tables) -> DataFrame:
     pages = _counts(t).withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
-    return frontier.crawl_extent(pages, max_pages=200)
+    return frontier.crawl_extent(pages, max_pages=200, block=64)
 
 
 @query(f"WITH {_EXTENT} SELECT * FROM extent")

@@ -70,7 +70,7 @@ _OCCURRENCES = f"""occurrences AS (
 
 @query(f"WITH {_OCCURRENCES} SELECT site, tag, classes, count(*) AS n FROM occurrences GROUP BY 1, 2, 3")
 def a9_pattern_counts(t: Tables) -> DataFrame:
-    counts = P.pattern_counts(dom.parse_pages(_classed(t)), "site")
+    counts = P.pattern_counts(t.parsed(_classed(t)), "site")
     return counts.select("site", "tag", F.array_join("classes", " ").alias("classes"), "n")
 
 
@@ -80,7 +80,7 @@ WITH {_OCCURRENCES}, c AS (SELECT site, tag, classes, count(*) AS n, min(page_id
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY n DESC, first_at) AS INTEGER) AS place FROM c)
 SELECT site, tag, classes, n, place FROM r WHERE place <= 10 AND n >= 5""")
 def t1_top_patterns(t: Tables) -> DataFrame:
-    top = P.top_patterns(P.pattern_counts(dom.parse_pages(_classed(t)), "site"), "site")
+    top = P.top_patterns(P.pattern_counts(t.parsed(_classed(t)), "site"), "site")
     return top.withColumn("classes", F.array_join("classes", " "))
 
 
@@ -92,7 +92,7 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY least(1.0, n /
 SELECT p.page_id, coalesce(tag || '.' || split_part(classes, ' ', 1), '') AS selector, CASE WHEN n IS NULL THEN 0.0 ELSE least(1.0, n / 20) END AS confidence
 FROM pages p LEFT JOIN ok ON ok.page_id = p.page_id AND best = 1""")
 def p2_list_candidate(t: Tables) -> DataFrame:
-    parsed = dom.parse_pages(_classed(t))
+    parsed = t.parsed(_classed(t))
     return parsed.select("page_id", P.list_candidate(F.col("nodes"), F.lit("custom")).alias("c")).select("page_id", "c.*")
 
 
@@ -118,7 +118,7 @@ def p4_link_candidate(t: Tables) -> DataFrame:
     html = F.when(
         F.col("page_id") % 3 == 0, F.replace("html", F.lit('<a href="/'), F.lit('<a href="/thread/'))
     ).otherwise(F.col("html"))
-    parsed = dom.parse_pages(t.pages.withColumn("html", html))
+    parsed = t.parsed(t.pages.withColumn("html", html))
     found = parsed.select("page_id", P.link_candidate(F.col("nodes"), F.lit("nav li")).alias("c"))
     return found.select("page_id", "c.*")
 
@@ -131,7 +131,7 @@ def _pictured(t: Tables) -> DataFrame:
         .when(n == 2, '<img src="/x.JPG"><a href="')
         .otherwise('<a href="')
     )
-    return dom.parse_pages(t.pages.withColumn("html", F.replace("html", F.lit('<a href="'), shape)))
+    return t.parsed(t.pages.withColumn("html", F.replace("html", F.lit('<a href="'), shape)))
 
 
 @query(f"""
@@ -167,7 +167,7 @@ def p6_next_candidate(t: Tables) -> DataFrame:
         .when(n == 1, '<a class="nxt" href="?p=2">2</a></nav>')
         .otherwise("</nav>")
     )
-    parsed = dom.parse_pages(t.pages.withColumn("html", F.replace("html", F.lit("</nav>"), extra)))
+    parsed = t.parsed(t.pages.withColumn("html", F.replace("html", F.lit("</nav>"), extra)))
     return parsed.select("page_id", P.next_candidate(F.col("nodes")).alias("c")).select("page_id", "c.*")
 
 
@@ -183,7 +183,7 @@ SELECT page_id, '' AS list_selector, 'a' AS link_selector, 'img' AS image_select
   round((0.0 + link + 0.3 + nxt) / 4, 6) AS overall, 'uncertain' AS status FROM profile""")
 def p7_page_profiles(t: Tables) -> DataFrame:
     typed = t.pages.withColumn("forum_type", P.forum_type(F.col("html")))
-    return P.page_profiles(dom.parse_pages(typed), "page_id").select(
+    return P.page_profiles(t.parsed(typed), "page_id").select(
         "page_id",
         F.col("thread_list.selector").alias("list_selector"),
         F.col("thread_link.selector").alias("link_selector"),
@@ -201,7 +201,7 @@ SELECT site, count(*) AS n_pages, 'custom' AS forum_type, round(avg(link), 6) AS
 FROM profile GROUP BY 1""")
 def p7_site_profiles(t: Tables) -> DataFrame:
     typed = t.pages.withColumn("site", U.host(F.col("url"))).withColumn("forum_type", P.forum_type(F.col("html")))
-    sites = P.site_profiles(P.page_profiles(dom.parse_pages(typed), "site", "page_id"))
+    sites = P.site_profiles(P.page_profiles(t.parsed(typed), "site", "page_id"))
     return sites.select(
         "site", "n_pages", "forum_type", F.round("thread_link.confidence", 6).alias("link_confidence"),
         F.col("next_page.selector").alias("next_selector"),
@@ -217,7 +217,7 @@ def p8_selector_text(t: Tables) -> DataFrame:
     nodes = F.col("nodes")
     links = dom.find_all(nodes, [[step("a")]])
     items = dom.find_all(nodes, [[step("li")]])
-    found = dom.parse_pages(_classed(t)).select("page_id", F.posexplode(F.arrays_zip(links.alias("a"), items.alias("li"))).alias("i", "z"))
+    found = t.parsed(_classed(t)).select("page_id", F.posexplode(F.arrays_zip(links.alias("a"), items.alias("li"))).alias("i", "z"))
     a, li = F.col("z.a"), F.col("z.li")
     return found.where(F.size(a["classes"]) > 0).select(
         "page_id", (F.col("i") + 1).cast("bigint").alias("pos"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harrow.operators import dom
 from harrow.session import configure
 from harrow.sources.pages import TABLES, table
 
@@ -21,6 +22,20 @@ class Tables:
             raise AttributeError(name)
         return table(self.spark, self.folder, name)
 
+    def parsed(self, pages: DataFrame | None = None) -> DataFrame:
+        """The page table (or a rewriting of it) as arrays of nodes."""
+        return dom.parse_pages(spread(self.pages if pages is None else pages))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a plain scan of fewer splits than there are cores.
+
+    The given page table is one small file. A large table has more splits than
+    the cluster has cores and is left alone, so its pages are never shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
 
 _queries: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 

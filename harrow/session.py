@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; a cluster sets its own sizes on top of these.
 REQUIRED_CONF = {
@@ -46,6 +47,11 @@ def local_session(app: str = "harrow", cores: int | str = 8, **conf: str) -> Spa
     return spark
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="harrow-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -56,6 +62,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="harrow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_dir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several later steps read, so it is computed once.
+
+    The written files also cut the lineage: a lost executor costs no more than
+    reading them again.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
