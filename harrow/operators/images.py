@@ -5,12 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Default limits, all inclusive.
 MIN_WIDTH, MIN_HEIGHT = 200, 200
 MIN_BYTES, MAX_BYTES = 10240, 20 * 1024 * 1024
 ALLOWED_FORMATS = ["jpg", "jpeg", "png", "gif", "webp"]
 
+_SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
 
 def _uint(content: Column, at: int, size: int, little: bool = False) -> Column:
     """Unsigned integer at byte ``at`` (from 1)."""
@@ -23,7 +26,7 @@ def _starts(content: Column, hex_text: str, at: int = 1) -> Column:
     return F.hex(F.substring(content, at, len(hex_text) // 2)) == hex_text
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(_SIZE)
 def _jpeg_size(content: pd.Series) -> pd.DataFrame:
     """Dimensions from the first frame header of a JPEG; NULL when there is none."""
 

@@ -64,7 +64,7 @@ def without_known(df: DataFrame, known: DataFrame, key: str | Sequence[str], sal
     keys = _names(key)
     wanted = known.select(*keys).distinct()
     if salt_by is None:
-        return df.join(wanted, keys, "left_anti")
+        return df.join(wanted, keys, "left_anti").select(*df.columns)
     hot = hot_keys(df, keys).withColumn("_hot", F.lit(True))
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     only_zero = F.array(F.lit(0))

@@ -26,34 +26,37 @@ _IMAGE = (
 SITE_FILE = (
     "name string, crawler_type string, forum_type string, base_url string, login_url string, "
     f"selectors {_SELECTORS}, crawler {_CRAWLER}, image {_IMAGE}, urls array<string>, news_urls array<string>, "
-    "example_threads array<string>, boards array<struct<name:string,url:string>>, _corrupt_record string"
+    "example_threads array<string>, boards array<struct<name:string,url:string>>"
 )
 TARGET = "struct<type:string,name:string,url:string>"
 
 
 def read_site_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every settings file of a folder, one row each; bad files have ``_corrupt_record``."""
+    """Every settings file of a folder, one row each; ``is_good`` tells whether it could be read."""
+    text = F.col("value")
+    is_object = F.try_parse_json(text).isNotNull() & F.startswith(F.trim(text), F.lit("{"))
     return (
-        spark.read.schema(SITE_FILE)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .select("*", F.col("_metadata.file_name").alias("file"))
+        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        .select("value", F.col("_metadata.file_name").alias("file"))
         .where(~F.col("file").isin(TEMPLATE_FILES))
-        .withColumn("site", F.regexp_replace("file", r"\.json$", ""))
+        .select(
+            "file",
+            F.regexp_replace("file", r"\.json$", "").alias("site"),
+            is_object.alias("is_good"),
+            "value",
+        )
     )
 
 
 def good_files(files: DataFrame) -> DataFrame:
-    """The files that could be read."""
-    return files.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "file")
+    """The settings of the files that could be read."""
+    settings = F.from_json("value", SITE_FILE)
+    return files.where("is_good").select("site", settings.alias("s")).select("site", "s.*")
 
 
 def bad_files(files: DataFrame) -> DataFrame:
     """The files that are skipped."""
-    return files.where(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
+    return files.where("NOT is_good").select("file", "value")
 
 
 def _target(entry: Column) -> Column:
