@@ -36,7 +36,7 @@ def read_site_files(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("value")
     is_object = F.try_parse_json(text).isNotNull() & F.startswith(F.trim(text), F.lit("{"))
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
         .select("value", F.col("_metadata.file_name").alias("file"))
         .where(~F.col("file").isin(TEMPLATE_FILES))
         .select(
