@@ -6,18 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.operators.skew import first_flags, without_known
+from harrow.session import materialized
 
 
 def url_duplicates(df: DataFrame, url: str, order: str | list[str]) -> DataFrame:
     """Every check of a URL after the first one is a duplicate."""
-    hashed = df.withColumn("url_hash", F.md5(F.col(url)))
-    return _duplicates(hashed, "url_hash", order)
+    return _duplicates(df.withColumn("url_hash", F.md5(F.col(url))), "url_hash", order)
+
+
+def content_hashes(df: DataFrame, content: str, *keep: str) -> DataFrame:
+    """Digest of every content next to the columns named, as a table of its own.
+
+    Later steps read the digests several times and the content never again.
+    """
+    return materialized(df.select(*keep, F.md5(F.col(content)).alias("content_hash")), "content-hashes")
 
 
 def content_duplicates(df: DataFrame, content: str, order: str | list[str]) -> DataFrame:
-    """Equal bytes seen before; unreadable content (NULL) is never a duplicate."""
-    hashed = df.withColumn("content_hash", F.md5(F.col(content)))
-    return _duplicates(hashed, "content_hash", order)
+    """Equal bytes seen before; unreadable content (NULL) is never a duplicate.
+
+    Gives position, digest and verdict; the content itself is not carried along.
+    """
+    orders = [order] if isinstance(order, str) else list(order)
+    return _duplicates(content_hashes(df, content, *orders), "content_hash", orders)
 
 
 def picture_duplicates(df: DataFrame, picture_hash: str, order: str | list[str]) -> DataFrame:

@@ -24,6 +24,22 @@ VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 RAW_TEXT_TAGS = frozenset(["script", "style"])
+# Their text is not part of the text of the elements around them.
+APART_TAGS = frozenset(["script", "style", "template", "rt", "rp"])
+# Elements whose end tag may be left out: a new start tag ends the ones listed.
+ENDED_BY = {
+    **dict.fromkeys(
+        "address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
+        "header hr main menu nav ol p pre section table ul".split(),
+        frozenset(["p"]),
+    ),
+    "li": frozenset(["li", "p"]),
+    **dict.fromkeys(["dt", "dd"], frozenset(["dt", "dd", "p"])),
+    **dict.fromkeys(["td", "th"], frozenset(["td", "th", "p"])),
+    "tr": frozenset(["tr", "td", "th", "p"]),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], frozenset(["tbody", "thead", "tr", "td", "th", "p"])),
+    "option": frozenset(["option"]),
+}
 
 NODE_TYPE = (
     "array<struct<lo:int,hi:int,depth:int,tag:string,attrs:map<string,string>,"
@@ -46,8 +62,10 @@ def _markup_size(s: str) -> int:
 class _Tokens(HTMLParser):
     """Collects the nodes of a batch of pages column by column (see NODE_TYPE)."""
 
-    def __init__(self) -> None:
+    def __init__(self, implied_ends: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.implied_ends = implied_ends
+        self.apart = 0
         self.tags: list[str] = []
         self.last: list[int] = []
         self.depths: list[int] = []
@@ -81,10 +99,11 @@ class _Tokens(HTMLParser):
             text = "".join(self.chunks)
             self.chunks = []
             raw = bool(self.stack) and self.tags[self.stack[-1]] in RAW_TEXT_TAGS
-            self._leaf(RAW if raw else TEXT, text, len(text) if raw else _markup_size(text))
+            self._leaf(RAW if self.apart else TEXT, text, len(text) if raw else _markup_size(text))
 
     def _close_last(self) -> None:
         at = self.stack.pop()
+        self.apart -= self.tags[at] in APART_TAGS
         self.last[at] = len(self.tags) - 1 - self.first
         if self.stack:
             self.lengths[self.stack[-1]] += self.lengths[at]
@@ -94,6 +113,10 @@ class _Tokens(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         length = len(tag) + 2 + sum(len(k) + 4 + _markup_size(v) for k, v in values.items())
         void = tag in VOID_TAGS
+        if self.implied_ends:
+            while self.stack and self.tags[self.stack[-1]] in ENDED_BY.get(tag, ()):
+                self._close_last()
+        self.apart += tag in APART_TAGS
         self.stack.append(
             self._add(tag, list(values.items()), values.get("class", "").split(), None,
                       length + (1 if void else len(tag) + 3))
@@ -124,6 +147,15 @@ class _Tokens(HTMLParser):
         self._end_text()
         self._leaf(DOCTYPE, decl, len(decl) + 3)
 
+    def handle_pi(self, data) -> None:
+        self._end_text()
+        self._leaf(DOCTYPE, data, len(data) + 3)
+
+    def unknown_decl(self, data) -> None:
+        self._end_text()
+        character_data = data.startswith("CDATA[")
+        self._leaf(TEXT if character_data else DOCTYPE, data[6:] if character_data else data, len(data) + 6)
+
     def page(self, html: str) -> int:
         """Add one page; returns the number of nodes so far."""
         self.reset()
@@ -136,9 +168,9 @@ class _Tokens(HTMLParser):
         return len(self.tags)
 
 
-def _node_lists(pages: Sequence[str | None]) -> pa.Array:
+def _node_lists(pages: Sequence[str | None], implied_ends: bool = False) -> pa.Array:
     """One Arrow list-of-struct column; a missing page gives a NULL list."""
-    tokens, offsets = _Tokens(), [0]
+    tokens, offsets = _Tokens(implied_ends), [0]
     for html in pages:
         offsets.append(offsets[-1] if html is None else tokens.page(html))
     starts = np.repeat(np.array(offsets[:-1], "int64"), np.diff(offsets))
@@ -153,8 +185,13 @@ def _node_lists(pages: Sequence[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=missing)
 
 
-def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the ``html`` column by ``nodes``; all other columns are kept."""
+def parse_pages(pages: DataFrame, html: str = "html", implied_ends: bool = False) -> DataFrame:
+    """Replace the ``html`` column by ``nodes``; all other columns are kept.
+
+    With ``implied_ends`` a new ``<li>``, ``<td>``, ``<p>`` ... ends an open one, as
+    forum pages are read; without it an unclosed element reaches to the end of
+    the element around it, as news pages are read.
+    """
     kept = [c for c in pages.columns if c != html]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
 
@@ -163,7 +200,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 columns = [part.column(c) for c in kept]
-                nodes = _node_lists(part.column(html).to_pylist())
+                nodes = _node_lists(part.column(html).to_pylist(), implied_ends)
                 yield pa.RecordBatch.from_arrays([*columns, nodes], names=[*kept, "nodes"])
 
     return pages.select(*kept, html).mapInArrow(run, f"{schema}, nodes {NODE_TYPE}")
@@ -308,8 +345,8 @@ def subtree(nodes: Column, e: Column) -> Column:
 
 
 def text_of(nodes: Column, e: Column, separator: str = "") -> Column:
-    """Stripped texts inside ``e`` joined together; script and style text is no text."""
-    own_kind = F.when(e["tag"].isin(*RAW_TEXT_TAGS), F.lit(RAW)).otherwise(F.lit(TEXT))
+    """Stripped texts inside ``e`` joined together, without scripts, styles and the like."""
+    own_kind = F.when(e["tag"].isin(*sorted(APART_TAGS)), F.lit(RAW)).otherwise(F.lit(TEXT))
     texts = F.filter(subtree(nodes, e), lambda x: x["tag"] == own_kind)
     return F.array_join(F.transform(texts, lambda x: x["text"]), separator)
 

@@ -181,9 +181,12 @@ def list_candidate(nodes: Column, system: Column) -> Column:
 def link_candidate(nodes: Column, list_selector: Column) -> Column:
     """The selector of the thread link inside the first list item."""
     any_link = [[step("a", attrs=[("href", "has", None)])]]
-    first_element = F.get(F.filter(nodes, lambda e: e["attrs"].isNotNull()), F.lit(0))
-    by_selector = let(selector_steps(list_selector), lambda rule: F.get(find_all_by(nodes, rule), F.lit(0)))
-    item = F.when(list_selector != "", by_selector).otherwise(first_element)
+    # Without a list rule the whole document is the list item.
+    root = F.get(F.filter(nodes, lambda e: e["tag"] == "html"), F.lit(0))
+    document = F.struct(F.lit(-1).alias("lo"), (F.size(nodes) - 1).alias("hi"), root["classes"].alias("classes"))
+    first = let(selector_steps(list_selector), lambda rule: F.get(find_all_by(nodes, rule), F.lit(0)))
+    matched = let(first, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), e["classes"].alias("classes")))
+    item = F.when(list_selector != "", matched).when(F.size(nodes) > 0, document)
 
     def judge(box: Column) -> Column:
         def pick(links: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 50_000
 
 
 def _names(cols: str | Sequence[str]) -> list[str]:
@@ -54,32 +55,61 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).drop("_n")
 
 
-def without_known(df: DataFrame, known: DataFrame, key: str | Sequence[str], salt_by: str | None = None, salts: int = 32) -> DataFrame:
-    """Rows whose key is not in ``known``.
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a look-up table is small enough to send to every executor."""
+    return table.limit(rows + 1).count() <= rows
 
-    Spark's skew join splits a hot key's rows over several tasks. Where the rows
-    of one key must be spread in any case, give ``salt_by``: the known keys are
-    then repeated only for the hot keys, whose number is bounded.
+
+def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str, salts: int) -> DataFrame:
+    """Join ``df`` to one row per key, the rows of its hot keys spread over ``salts`` tasks.
+
+    Only the rows of hot keys are repeated in ``table``, and few keys can be hot.
     """
-    keys = _names(key)
-    wanted = known.select(*keys).distinct()
-    if salt_by is None:
-        return df.join(wanted, keys, "left_anti").select(*df.columns)
     hot = hot_keys(df, keys).withColumn("_hot", F.lit(True))
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    only_zero = F.array(F.lit(0))
-    spread = wanted.join(hot, keys, "left").select(
-        *keys, F.explode(F.when(F.col("_hot"), every_salt).otherwise(only_zero)).alias("_salt")
+    spread = (
+        table.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
+        .drop("_hot")
     )
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt)
-        .join(spread, [*keys, "_salt"], "left_anti")
-        .select(*df.columns)
+        df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
+        .join(spread, [*keys, "_salt"], how)
+        .drop("_salt", "_hot")
     )
 
 
+def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str], salt_by: str, salts: int = 32) -> DataFrame:
+    """Left join to a table with one row per key.
+
+    A small table is broadcast, so ``df`` is not shuffled at all; a larger one is
+    joined with the hot keys of ``df`` salted by the column ``salt_by``.
+    """
+    keys = _names(key)
+    if fits_broadcast(table):
+        return df.join(F.broadcast(table), keys, "left")
+    return _salted_join(df, table, keys, salt_by, "left", salts)
+
+
+def without_known(
+    df: DataFrame, known: DataFrame, key: str | Sequence[str], salt_by: str | None = None, salts: int = 32
+) -> DataFrame:
+    """Rows whose key is not in ``known``.
+
+    Spark's skew join splits a hot key's rows over several tasks. Where the rows
+    of one key must be spread in any case, give ``salt_by``, a column that
+    differs between them.
+    """
+    keys = _names(key)
+    wanted = known.select(*keys).distinct()
+    if salt_by is None:
+        kept = df.join(wanted, keys, "left_anti")
+    else:
+        kept = _salted_join(df, wanted, keys, salt_by, "left_anti", salts)
+    return kept.select(*df.columns)
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],

@@ -111,6 +111,6 @@ def id_range(articles: DataFrame, ids: str, *by: str) -> DataFrame:
     """Smallest and largest numeric id as text; other ids are ignored."""
     number = F.col(ids).try_cast("bigint")
     return articles.groupBy(*by).agg(
-        F.min(number).cast("string").alias("min_article_id"),
-        F.max(number).cast("string").alias("max_article_id"),
+        F.min_by(ids, number).alias("min_article_id"),
+        F.max_by(ids, number).alias("max_article_id"),
     )

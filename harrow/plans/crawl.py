@@ -21,7 +21,7 @@ def new_pages_per_host(pages: DataFrame) -> DataFrame:
     ids = pages.select(
         "page_id", U.site_key(F.col("url")).alias("host"), U.thread_id(F.col("url")).alias("thread_id")
     )
-    firsts = keep_first(ids, ["host", "thread_id"], "page_id")
+    firsts = ids.groupBy("host", "thread_id").agg(F.min("page_id").alias("page_id"))
     return firsts.groupBy("host").agg(F.count("*").alias("n_threads"), F.min("page_id").alias("first_page_id"))
 
 
@@ -33,14 +33,14 @@ def forum_crawl(
     ``list_pages`` has (page_id, url, html, board), ``thread_pages`` (url, html).
     The check against stored threads comes before any thread page is parsed.
     """
-    lists = with_site_rules(dom.parse_pages(list_pages), rules)
+    lists = dom.parse_pages(with_site_rules(list_pages, rules), implied_ends=True)
     listed = extract.thread_list(
         lists, F.col("thread_list_rule"), F.col("thread_link_rule"), "page_id", "board", "host"
     )
     listed = frontier.new_threads(keep_first(materialized(listed, "listed"), "thread_id", ["page_id", "pos"]), stored)
     listed = materialized(listed, "new-threads")
     wanted = thread_pages.join(listed.select(F.col("thread_url").alias("url")).distinct(), "url", "left_semi")
-    details_in = with_site_rules(dom.parse_pages(wanted), rules)
+    details_in = dom.parse_pages(with_site_rules(wanted, rules, page_id="url"), implied_ends=True)
     details = extract.thread_detail(details_in, F.col("image_rule"), "forum_type", "base_url").drop("thread_id")
     details = materialized(details, "thread-details")
     threads = (
@@ -111,7 +111,7 @@ def news_crawl(
 def detect_rules(pages: DataFrame) -> DataFrame:
     """Guess the rules of every site in a page table."""
     typed = pages.withColumn("site", U.host(F.col("url"))).withColumn("forum_type", forum_type(F.col("html")))
-    profile = site_profiles(page_profiles(dom.parse_pages(typed), "site", "page_id"))
+    profile = site_profiles(page_profiles(dom.parse_pages(typed, implied_ends=True), "site", "page_id"))
     return detected_rules(profile, F.concat(F.lit("https://"), F.col("site")))
 
 

@@ -35,7 +35,7 @@ def d1_link_duplicates(t: Tables) -> DataFrame:
 SELECT doc_id, md5(text) AS content_hash, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS is_duplicate
 FROM documents""")
 def d2_content_duplicates(t: Tables) -> DataFrame:
-    return dedup.content_duplicates(t.documents.select("doc_id", "text"), "text", "doc_id").drop("text")
+    return dedup.content_duplicates(t.documents, "text", "doc_id")
 
 
 _BITS = """list_aggregate(list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0),
@@ -61,9 +61,8 @@ def d3_picture_duplicates(t: Tables) -> DataFrame:
 def _files(t: Tables) -> DataFrame:
     """Documents as stored files; their length plays the picture hash, NULL where it failed."""
     n = F.col("n_chars")
-    return t.documents.select(
-        "doc_id", "source", F.md5("text").alias("content_hash"), F.when(n % 10 != 0, n.cast("string")).alias("phash")
-    )
+    files = t.documents.withColumn("phash", F.when(n % 10 != 0, n.cast("string")))
+    return dedup.content_hashes(files, "text", "doc_id", "source", "phash")
 
 
 _FILES = """files AS (SELECT doc_id, source, md5(text) AS content_hash,
@@ -104,11 +103,11 @@ def d5_against_known(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS total_checked, count(*) - count(DISTINCT text) AS duplicates_found,
-  count(DISTINCT text) AS unique_images, (count(*) - count(DISTINCT text)) / count(*) AS duplicate_rate
-FROM documents""")
+WITH u AS (SELECT count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS d FROM events)
+SELECT n AS total_checked, n - d AS duplicates_found, d AS unique_images, (n - d) / n AS duplicate_rate FROM u""")
 def d6_dedup_statistics(t: Tables) -> DataFrame:
-    return dedup.dedup_statistics(dedup.url_duplicates(t.documents.select("doc_id", "text"), "text", "doc_id"))
+    checks = t.events.select("event_id", F.concat_ws("/", "user_id", "event_type").alias("url"))
+    return dedup.dedup_statistics(dedup.url_duplicates(checks, "url", "event_id"))
 
 
 @query(f"""WITH {_FILES}

@@ -13,7 +13,7 @@ from harrow.operators.dom import step
 from harrow.operators.extract import one
 from harrow.operators.frontier import list_fields_win
 from harrow.plans import sql
-from harrow.plans.registry import Tables, query
+from harrow.plans.registry import Tables, query, spread
 from harrow.sources.rules import with_site_rules
 
 NAV_ITEMS = [[step("nav"), step("li")]]
@@ -252,7 +252,7 @@ def j5_site_rules(t: Tables) -> DataFrame:
         F.lit("img").alias("image_selector"),
         F.lit("a[rel='next']").alias("next_page_selector"),
     )
-    paired = with_site_rules(_parsed(t), rules)
+    paired = dom.parse_pages(with_site_rules(spread(t.pages), rules))
     found = dom.find_all_by(F.col("nodes"), F.col("thread_list_rule"))
     return paired.select("page_id", "host", "forum_type", F.size(found).alias("n_items"))
 

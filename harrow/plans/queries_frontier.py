@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import urls as U
-from harrow.functions.text import decode_json
 from harrow.operators import frontier
 from harrow.operators.dom import flat_links
 from harrow.plans import sql
 from harrow.plans.registry import Tables, query
+from harrow.session import materialized
 
 FIRST_HOUR = "2024-01-01 00:00:00"
 
@@ -24,7 +24,7 @@ def entries(t: Tables) -> DataFrame:
         F.concat(F.lit("site"), F.col("user_id") % 3).alias("site"),
         (F.floor(hours) + 1).alias("page"),
         F.col("event_id").alias("pos"),
-        decode_json(F.col("props"), "k bigint")["k"].cast("string").alias("article_id"),
+        F.get_json_object("props", "$.k").alias("article_id"),
         F.col("event_type"),
     )
 
@@ -79,7 +79,7 @@ extent AS (SELECT site, b // 10 AS stop_page,
 
 
 def _extent(t: Tables) -> DataFrame:
-    pages = _counts(t).withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
+    pages = materialized(_counts(t), "page-counts").withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
     return frontier.crawl_extent(pages, max_pages=200, block=64)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrow.functions import urls as U
-from harrow.functions.text import decode_json
 from harrow.operators import state, stats
 from harrow.plans import sql
 from harrow.plans.registry import Tables, query
@@ -257,7 +256,7 @@ def a5_entry_totals(t: Tables) -> DataFrame:
     per_event = t.events.select(
         "user_id",
         (F.col("event_type") == "view").cast("bigint").alias("articles"),
-        decode_json(F.col("props"), "k bigint")["k"].alias("images"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("images"),
         (F.col("event_type") != "error").alias("ok"),
     )
     return stats.entry_totals(per_event, "user_id")

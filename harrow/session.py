@@ -39,6 +39,8 @@ def local_session(app: str = "harrow", cores: int | str = 8, **conf: str) -> Spa
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Columns are built by the thousand; noting the call site of each is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED_CONF, **conf}.items():
         builder = builder.config(key, value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.functions import urls as U
 from harrow.functions.selectors import selector_steps
 from harrow.functions.text import blank_to_null
+from harrow.operators.skew import lookup
 
 TEMPLATE_FILES = ["example.json", "template.json"]
 
@@ -209,11 +210,11 @@ def with_presets(sites: DataFrame) -> DataFrame:
 SELECTOR_COLUMNS = ["thread_list_selector", "thread_link_selector", "image_selector", "next_page_selector"]
 
 
-def with_site_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def with_site_rules(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Attach to every page the rules of its site as structured steps.
 
-    Rules are joined by host. Spark broadcasts the rules when they are small;
-    otherwise its skew join splits the pages of a hot host.
+    Done before the pages are parsed. Few rules are broadcast and the pages stay
+    where they are; with very many, the pages of a hot host are spread by id.
     """
     steps = rules.select(
         U.site_key(F.col("base_url")).alias("host"),
@@ -221,7 +222,7 @@ def with_site_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> Dat
         "base_url",
         *[selector_steps(F.col(c)).alias(c.replace("_selector", "_rule")) for c in SELECTOR_COLUMNS],
     )
-    return pages.withColumn("host", U.host(F.col(url))).join(steps, "host", "left")
+    return lookup(pages.withColumn("host", U.host(F.col(url))), steps, "host", page_id)
 
 
 ImageHook = Callable[[Column, Column], Column]

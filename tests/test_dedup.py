@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.operators import dedup
+from harrow.operators import dedup, skew
 from harrow.operators.skew import first_flags, hot_keys, running, without_known
 
 
@@ -95,7 +95,7 @@ def test_hot_key_rows_spread(spark):
     assert max(sizes) < 15000
 
 
-def test_without_known_salted(spark):
+def test_without_known_salted(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id seq", "if(id % 3 = 0, 'a', concat('k', id % 50)) key")
     known = spark.createDataFrame([("a",), ("a",), ("k1",), (None,)], "key string")
     plain = without_known(df, known, "key").count()
@@ -103,13 +103,19 @@ def test_without_known_salted(spark):
     assert plain == want
     hot = [r.key for r in hot_keys(df, ["key"], 500).collect()]
     assert hot == ["a"]
-    import harrow.operators.skew as skew
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (500,))
+    assert without_known(df, known, "key", salt_by="seq").count() == want
 
-    old, skew.hot_keys.__defaults__ = skew.hot_keys.__defaults__, (500,)
-    try:
-        assert without_known(df, known, "key", salt_by="seq").count() == want
-    finally:
-        skew.hot_keys.__defaults__ = old
+
+def test_lookup(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id seq", "if(id % 3 = 0, 'a', concat('k', id % 50)) key")
+    table = spark.createDataFrame([("a", 1), ("k1", 2), ("zz", 3)], "key string, v int")
+    small = {(r.seq, r.v) for r in skew.lookup(df, table, "key", "seq").collect()}
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (500,))
+    monkeypatch.setattr(skew.fits_broadcast, "__defaults__", (2,))
+    large = [(r.seq, r.v) for r in skew.lookup(df, table, "key", "seq").collect()]
+    assert len(large) == 3000 and set(large) == small
+    assert sum(v == 1 for _, v in large) == 1000
 
 
 @pytest.mark.parametrize("strict", [False, True])

@@ -190,6 +190,23 @@ def test_tree(spark):
     ]
 
 
+def test_implied_ends(spark):
+    html = "<ul><li>a<li><p>b<li>c<ul><li>d</ul></ul><table><tr><td>1<td>2<tr><td>3</table>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    depth = {r.text: r.depth for r in dom.elements(dom.parse_pages(pages, implied_ends=True), "page_id").where("text IS NOT NULL").collect()}
+    assert depth == {"a": 2, "b": 3, "c": 2, "d": 4, "1": 3, "2": 3, "3": 3}
+    nested = {r.text: r.depth for r in dom.elements(dom.parse_pages(pages), "page_id").where("text IS NOT NULL").collect()}
+    assert nested["b"] == 4 and nested["c"] == 5
+
+
+def test_texts_apart(spark):
+    html = "<p>a<ruby>b<rt>c<i>d</i></rt></ruby><template>e</template><style>f</style><![CDATA[g]]></p>"
+    df = parsed(spark, html)
+    assert one_value(df, E.first_text(F.col("nodes"), E.one("p"), separator="|")).startswith("a|b")
+    assert one_value(df, E.first_text(F.col("nodes"), E.one("template"))) == "e"
+    assert one_value(df, E.first_text(F.col("nodes"), E.one("i"))) == ""
+
+
 def test_serialised_length(spark):
     html = '<div class="a b" id=x><br>t &lt; u<!--c--></div>'
     rows = dom.elements(parsed(spark, html), "page_id").orderBy("lo").collect()

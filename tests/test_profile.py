@@ -73,7 +73,8 @@ def links(selector):
     ('<li><a class="x" href="/a">same</a><a class="y" href="/b">size</a></li>', "li", ("a.x", 0.6)),
     ("<li><a>none</a></li>", "li", ("a", 0.3)),
     ("<p></p>", "li", ("", 0.0)),
-    ('<div class="top"><p><a href="/topic/1">x</a></p></div>', "", (".top a", 0.9)),
+    ('<div class="top"><p><a href="/topic/1">x</a></p></div>', "", ("a", 0.9)),
+    ('<html class="k"><p><a href="/topic/1">x</a></p></html>', "", (".k a", 0.9)),
 ])
 def test_link_candidate(spark, html, selector, want):
     assert candidate(spark, html, links(selector)) == want

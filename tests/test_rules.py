@@ -87,7 +87,7 @@ def test_rules_drive_pages(spark, sites):
         [(1, "https://bbs.x.com/list", '<li class="row"><a href="/t/5">T</a></li>'), (2, "https://other.com/", "<li></li>")],
         "page_id long, url string, html string",
     )
-    paired = R.with_site_rules(dom.parse_pages(pages), R.site_rules(R.good_files(sites)))
+    paired = dom.parse_pages(R.with_site_rules(pages, R.site_rules(R.good_files(sites))))
     rows = extract.thread_list(paired, F.col("thread_list_rule"), F.col("thread_link_rule"), "page_id").collect()
     assert [(r.page_id, r.thread_id) for r in rows] == [(1, "5")]
 
