@@ -9,6 +9,7 @@ collected anywhere. Only the tokenizer below runs in Python (Arrow batches).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -66,6 +67,7 @@ class _Tokens(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.implied_ends = implied_ends
         self.apart = 0
+        self.open: Counter[str] = Counter()
         self.tags: list[str] = []
         self.last: list[int] = []
         self.depths: list[int] = []
@@ -104,6 +106,7 @@ class _Tokens(HTMLParser):
     def _close_last(self) -> None:
         at = self.stack.pop()
         self.apart -= self.tags[at] in APART_TAGS
+        self.open[self.tags[at]] -= 1
         self.last[at] = len(self.tags) - 1 - self.first
         if self.stack:
             self.lengths[self.stack[-1]] += self.lengths[at]
@@ -117,6 +120,7 @@ class _Tokens(HTMLParser):
             while self.stack and self.tags[self.stack[-1]] in ENDED_BY.get(tag, ()):
                 self._close_last()
         self.apart += tag in APART_TAGS
+        self.open[tag] += 1
         self.stack.append(
             self._add(tag, list(values.items()), values.get("class", "").split(), None,
                       length + (1 if void else len(tag) + 3))
@@ -131,7 +135,7 @@ class _Tokens(HTMLParser):
 
     def handle_endtag(self, tag) -> None:
         self._end_text()
-        if any(self.tags[at] == tag for at in self.stack):
+        if self.open[tag]:
             while self.tags[self.stack[-1]] != tag:
                 self._close_last()
             self._close_last()
@@ -156,23 +160,31 @@ class _Tokens(HTMLParser):
         character_data = data.startswith("CDATA[")
         self._leaf(TEXT if character_data else DOCTYPE, data[6:] if character_data else data, len(data) + 6)
 
-    def page(self, html: str) -> int:
-        """Add one page; returns the number of nodes so far."""
+    def page(self, html: str) -> bool:
+        """Add one page; a page the tokenizer gives up on leaves nothing behind."""
         self.reset()
         self.first = len(self.tags)
-        self.feed(html)
-        self.close()
-        self._end_text()
+        try:
+            self.feed(html)
+            self.close()
+            self._end_text()
+        except AssertionError:
+            for column in (self.tags, self.last, self.depths, self.attrs, self.classes, self.texts, self.lengths):
+                del column[self.first :]
+            self.stack, self.chunks, self.apart = [], [], 0
+            self.open.clear()
+            return False
         while self.stack:
             self._close_last()
-        return len(self.tags)
+        return True
 
 
 def _node_lists(pages: Sequence[str | None], implied_ends: bool = False) -> pa.Array:
-    """One Arrow list-of-struct column; a missing page gives a NULL list."""
-    tokens, offsets = _Tokens(implied_ends), [0]
+    """One Arrow list-of-struct column; a missing or unreadable page gives a NULL list."""
+    tokens, offsets, missing = _Tokens(implied_ends), [0], []
     for html in pages:
-        offsets.append(offsets[-1] if html is None else tokens.page(html))
+        missing.append(html is None or not tokens.page(html))
+        offsets.append(len(tokens.tags))
     starts = np.repeat(np.array(offsets[:-1], "int64"), np.diff(offsets))
     columns = {
         "lo": np.arange(len(tokens.tags)) - starts, "hi": tokens.last, "depth": tokens.depths,
@@ -181,8 +193,7 @@ def _node_lists(pages: Sequence[str | None], implied_ends: bool = False) -> pa.A
     }
     arrays = [pa.array(columns[name], dtype) for name, dtype in _ARROW_TYPES.items()]
     structs = pa.StructArray.from_arrays(arrays, names=list(_ARROW_TYPES))
-    missing = pa.array([html is None for html in pages], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=missing)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=pa.array(missing, pa.bool_()))
 
 
 def parse_pages(pages: DataFrame, html: str = "html", implied_ends: bool = False) -> DataFrame:

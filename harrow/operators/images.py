@@ -19,7 +19,7 @@ def _uint(content: Column, at: int, size: int, little: bool = False) -> Column:
     """Unsigned integer at byte ``at`` (from 1)."""
     parts = [F.substring(content, at + i, 1) for i in range(size)]
     ordered = parts[::-1] if little else parts
-    return F.conv(F.concat(*[F.hex(p) for p in ordered]), 16, 10).cast("int")
+    return F.conv(F.concat(*[F.hex(p) for p in ordered]), 16, 10).try_cast("int")
 
 
 def _starts(content: Column, hex_text: str, at: int = 1) -> Column:

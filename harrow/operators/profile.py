@@ -107,42 +107,46 @@ def list_confidence(lengths: Column) -> Column:
     return F.when(n > 0, base * (let(lengths, alike) / n)).otherwise(F.lit(0.0))
 
 
-def page_patterns(nodes: Column) -> Column:
-    """A9/T1 for one page: its most frequent (tag, classes), first met first on ties.
+def ranked_values(values: Column) -> Column:
+    """Distinct values of an array as (minus_n, first, value), most frequent first,
+    first met first on ties.
 
-    Occurrences are sorted and counted by run lengths, so the work per page is
-    n log n and not n times the number of patterns.
+    Values are sorted and counted by the lengths of their runs, so the work is
+    n log n whatever the number of distinct values.
     """
-    marked = F.filter(nodes, lambda e: F.size(e["classes"]) > 0)
-    occurrences = F.array_sort(
-        F.transform(
-            marked, lambda e: F.struct(e["tag"].alias("tag"), e["classes"].alias("classes"), e["lo"].alias("lo"))
-        )
-    )
+    occurrences = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("place"))))
 
     def runs(s: Column) -> Column:
-        def begins(x: Column, i: Column) -> Column:
-            before = F.get(s, i - 1)
-            return (i == 0) | (before["tag"] != x["tag"]) | (before["classes"] != x["classes"])
-
-        starts = F.filter(F.transform(s, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
+        starts = F.filter(
+            F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["value"] != x["value"]), i)),
+            lambda i: i.isNotNull(),
+        )
         return let(
             starts,
-            lambda at: F.transform(
-                at,
+            lambda begin: F.transform(
+                begin,
                 lambda i, k: F.struct(
-                    (i - F.coalesce(F.get(at, k + 1), F.size(s))).alias("minus_n"),
-                    F.get(s, i)["lo"].alias("first_lo"),
-                    F.get(s, i)["tag"].alias("tag"),
-                    F.get(s, i)["classes"].alias("classes"),
+                    (i - F.coalesce(F.get(begin, k + 1), F.size(s))).alias("minus_n"),
+                    F.get(s, i)["place"].alias("first"),
+                    F.get(s, i)["value"].alias("value"),
                 ),
             ),
         )
 
-    ranked = F.slice(F.array_sort(let(occurrences, runs)), 1, TOP_PATTERNS)
+    return F.array_sort(let(occurrences, runs))
+
+
+def page_patterns(nodes: Column) -> Column:
+    """A9/T1 for one page: its ten most frequent (tag, classes) that occur five times."""
+    marked = F.filter(nodes, lambda e: F.size(e["classes"]) > 0)
+    ranked = ranked_values(
+        F.transform(marked, lambda e: F.struct(e["tag"].alias("tag"), e["classes"].alias("classes")))
+    )
     return F.transform(
-        F.filter(ranked, lambda p: p["minus_n"] <= -MIN_ITEMS),
-        lambda p: F.struct(p["tag"].alias("tag"), p["classes"].alias("classes"), (-p["minus_n"]).alias("n")),
+        F.filter(F.slice(ranked, 1, TOP_PATTERNS), lambda p: p["minus_n"] <= -MIN_ITEMS),
+        lambda p: F.struct(
+            p["value"]["tag"].alias("tag"), p["value"]["classes"].alias("classes"), (-p["minus_n"]).alias("n")
+        ),
     )
 
 
@@ -228,17 +232,7 @@ def common_image_class(nodes: Column) -> Column:
     """A10 for one page: the most frequent class of its content images, first met on ties."""
     images = F.filter(nodes, lambda e: (e["tag"] == "img") & is_content_image(e))
     names = F.flatten(F.transform(images, lambda e: e["classes"]))
-
-    def most(all_names: Column) -> Column:
-        ranked = F.transform(
-            F.array_distinct(all_names),
-            lambda c, i: F.struct(
-                (-F.size(F.filter(all_names, lambda x: x == c))).alias("minus_n"), i.alias("i"), c.alias("name")
-            ),
-        )
-        return F.array_min(ranked)["name"]
-
-    return let(names, most)
+    return F.get(ranked_values(names), F.lit(0))["value"]
 
 
 def image_class_counts(parsed: DataFrame, *unit: str) -> DataFrame:

@@ -214,6 +214,18 @@ def test_serialised_length(spark):
     assert rows[0].classes == ["a", "b"] and rows[0].attrs["id"] == "x"
 
 
+def test_hostile_pages(spark):
+    """Neither deep nesting nor broken markup stops or slows a task; other pages are not touched."""
+    deep = "<b>" * 30000 + "x" + "</i>" * 30000
+    rows = dom.parse_pages(
+        spark.createDataFrame(
+            [(1, "<p>a"), (2, "<![odd[ x"), (3, deep), (4, "<p>b</p><"), (5, "")], "page_id int, html string"
+        ).coalesce(1)
+    ).selectExpr("page_id", "size(nodes) n", "get(nodes, 0).tag tag").orderBy("page_id").collect()
+    assert [(r.n, r.tag) for r in rows if r.page_id in (1, 3)] == [(2, "p"), (30001, "b")]
+    assert rows[3].tag == "p" and rows[4].n == 0
+
+
 def test_inside_pairs(spark):
     html = "<ul><li><a>1</a><a>2</a></li></ul><a>3</a><ul><li><ul><li><a>4</a></li></ul></li></ul>"
     pairs = dom.inside_pairs(parsed(spark, html), E.one("ul"), E.one("a"), "page_id")
