@@ -41,6 +41,9 @@ _RFC3986 = (
     r"([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
 _SCHEME, _AUTHORITY, _PATH, _QUERY, _FRAGMENT = 1, 2, 3, 4, 5
+# Path, query and fragment that come out of resolving as they went in.
+_PLAIN_REST = r"[^?#\t\r\n]*(?:\?[^#\t\r\n]+)?(?:#[^\t\r\n]+)?$"
+_MARK = "\ue000"  # a private-use character, never part of a URL
 
 
 def _part(url: Column, group: int) -> Column:
@@ -123,11 +126,15 @@ def _merge_path(base_path: Column, ref_path: Column) -> Column:
 
 
 def _parts(url: Column) -> Column:
-    names = {"scheme": _SCHEME, "authority": _AUTHORITY, "path": _PATH, "query": _QUERY, "fragment": _FRAGMENT}
-    return F.struct(url.alias("whole"), *[_part(url, g).alias(n) for n, g in names.items()])
+    """Array of the five parts, from one match; parts that are absent are empty."""
+    marked = F.regexp_replace(url, _RFC3986, _MARK.join(f"${g}" for g in range(1, 6)))
+    return F.split(marked, _MARK, -1)
 
 
-def _resolve_parts(b: Column, r: Column) -> Column:
+def _resolve_parts(x: Column) -> Column:
+    names = ("scheme", "authority", "path", "query", "fragment")
+    b = {"whole": x["base"], **{n: x["b"][i] for i, n in enumerate(names)}}
+    r = {"whole": x["ref"], **{n: x["r"][i] for i, n in enumerate(names)}}
     scheme = F.lower(b["scheme"])
 
     def assemble(authority: Column, path: Column, query: Column) -> Column:
@@ -156,16 +163,18 @@ def _resolve_parts(b: Column, r: Column) -> Column:
 def resolve_url(base: Column, ref: Column) -> Column:
     """resolve a link against its page following RFC 3986.
 
-    Most links are a plain ``/path``: site and path are then put together without
-    taking either of them apart.
+    Most links are whole URLs or rooted paths without dot segments: those are
+    kept, or put behind the site, without being taken apart.
     """
     site = F.regexp_extract(base, r"^https?://[^/?#]+", 0)
-    plain = F.regexp_like(ref, F.lit(r"^/[^/.?#\s][^.?#\t\r\n]*$")) & (site != "")
+    whole = F.regexp_like(ref, F.lit(r"^https?://[^/?#\s]+" + _PLAIN_REST))
+    rooted = F.regexp_like(ref, F.lit(r"^(?!//)(?![^?#]*/\.)/" + _PLAIN_REST)) & (site != "")
     clean = F.regexp_replace(ref, r"^[\x00-\x20]+|[\t\r\n]", "")
-    general = let(
-        F.struct(_parts(base).alias("b"), _parts(clean).alias("r")), lambda x: _resolve_parts(x["b"], x["r"])
+    taken_apart = lambda x: F.struct(
+        x["base"].alias("base"), x["ref"].alias("ref"), _parts(x["base"]).alias("b"), _parts(x["ref"]).alias("r")
     )
-    return F.when(plain, F.concat(site, ref)).otherwise(general)
+    general = let(let(F.struct(base.alias("base"), clean.alias("ref")), taken_apart), _resolve_parts)
+    return F.when(whole, ref).when(rooted, F.concat(site, ref)).otherwise(general)
 
 
 def absolute_article_url(site_base: Column, ref: Column) -> Column:

@@ -184,12 +184,14 @@ def last_of_page(entries: DataFrame, by: str = "site") -> DataFrame:
     )
 
 
-def last_new_so_far(marked: DataFrame, by: str = "site", block: int = BLOCK) -> DataFrame:
+def last_new_so_far(
+    entries: DataFrame, known: DataFrame | None = None, by: str = "site", block: int = BLOCK
+) -> DataFrame:
     """Per page the last new entry on it or, failing that, before it."""
-    per_page = marked.groupBy(by, "page").agg(
-        F.max(F.when(F.col("is_new"), F.struct("page", "pos", "article_id"))).alias("_last")
-    )
-    return running(per_page, [by], "page", [], F.col("_last"), "_so_far", block=block).select(
+    place = F.struct("page", "pos", "article_id")
+    news = first_places(entries, known, by).groupBy(by, "page").agg(F.max(place).alias("_last"))
+    pages = entries.select(by, "page").distinct().join(news, [by, "page"], "left")
+    return running(pages, [by], "page", [], F.col("_last"), "_so_far", block=block).select(
         by, "page", F.col("_so_far.article_id").alias("last_new_id")
     )
 

@@ -115,7 +115,7 @@ def w5_last_of_page(t: Tables) -> DataFrame:
 SELECT site, page, last_value(last_id IGNORE NULLS) OVER (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING)
   AS last_new_id FROM lasts""")
 def w5_last_new_so_far(t: Tables) -> DataFrame:
-    return frontier.last_new_so_far(frontier.mark_first_seen(entries(t).drop("event_type")), block=64)
+    return frontier.last_new_so_far(entries(t), block=64)
 
 
 @query("""

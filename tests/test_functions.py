@@ -94,7 +94,7 @@ def test_json(spark):
 BASES = ["http://a/b/c/d;p?q", "https://x.com", "https://x.com/", "https://x.com/a/b.html?q=1#f"]
 REFS = """g:h g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g
 g. .g g.. ..g ./../g ./g/. g/./h g/../h http:g javascript:void(0) HTTP://Q/x a//b /a//b mailto:x@y g?y/./x g#s/../x
-/a? /a# /.. /a/./b /a/.. /中文 ?a#b""".split() + [""]
+/a? /a# /a?x=1 /a.b?x#y /a?#b https://x.com http://a https://x.com? http://a/b/../c?q http:///x https:/y /.. /a/./b /a/.. /中文 ?a#b""".split() + [""]
 
 
 def joined(spark, pairs):
