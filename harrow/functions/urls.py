@@ -122,7 +122,7 @@ def _merge_path(base_path: Column, ref_path: Column) -> Column:
     )
     segments = F.when(F.startswith(ref_path, F.lit("/")), F.split(ref_path, "/", -1)).otherwise(relative)
     path = F.array_join(let(segments, _drop_dot_segments), "/")
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
 def _parts(url: Column) -> Column:
@@ -156,7 +156,7 @@ def _resolve_parts(x: Column) -> Column:
         .when(r["authority"] != "", assemble(r["authority"], r["path"], r["query"]))
         .when(plain_path, assemble(b["authority"], r["path"], r["query"]))
         .when(r["path"] == "", assemble(b["authority"], b["path"], inherited))
-        .otherwise(assemble(b["authority"], _merge_path(b["path"], r["path"]), r["query"]))
+        .otherwise(let(_merge_path(b["path"], r["path"]), lambda p: assemble(b["authority"], p, r["query"])))
     )
 
 

@@ -205,12 +205,11 @@ def article_link(nodes: Column, article: Column, title: Column, link_rule: Rule)
         F.transform(find_all(nodes, ANY_LINK, subtree(nodes, article)), lambda e: dom.attr(e, "href")),
         lambda h: ~is_file(h),
     )
-    numbered = F.filter(hrefs, lambda h: F.regexp_like(h, F.lit(r"\p{Nd}")))
+    with_digit = lambda hs: F.get(F.filter(hs, lambda h: F.regexp_like(h, F.lit(r"\p{Nd}"))), F.lit(0))
     return F.coalesce(
         F.when(title["lo"].isNotNull(), in_title),
         let(by_rule, lambda h: F.when(~is_file(h), h)),
-        F.get(numbered, F.lit(0)),
-        blank_to_null(F.get(hrefs, F.lit(0))),
+        let(hrefs, lambda hs: F.coalesce(with_digit(hs), blank_to_null(F.get(hs, F.lit(0))))),
     )
 
 

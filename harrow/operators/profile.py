@@ -95,16 +95,16 @@ def forum_type(html: Column) -> Column:
 
 def list_confidence(lengths: Column) -> Column:
     """Trust by number of items times the share of items as long as the first."""
-    n = F.size(lengths)
-    base = (
-        F.when((n >= 10) & (n <= 30), 0.9).when((n >= 5) & (n < 10), 0.7).when(n > 30, 0.6).otherwise(0.4)
-    )
 
-    def alike(lens: Column) -> Column:
-        first = F.get(lens, F.lit(0))
-        return F.size(F.filter(lens, lambda x: (x >= first - 100) & (x < first + 100)))
+    def trust(lens: Column) -> Column:
+        n, first = F.size(lens), F.get(lens, F.lit(0))
+        base = (
+            F.when((n >= 10) & (n <= 30), 0.9).when((n >= 5) & (n < 10), 0.7).when(n > 30, 0.6).otherwise(0.4)
+        )
+        alike = F.size(F.filter(lens, lambda x: (x >= first - 100) & (x < first + 100)))
+        return F.when(n > 0, base * (alike / n)).otherwise(F.lit(0.0))
 
-    return F.when(n > 0, base * (let(lengths, alike) / n)).otherwise(F.lit(0.0))
+    return let(lengths, trust)
 
 
 def ranked_values(values: Column) -> Column:
@@ -175,11 +175,10 @@ def list_candidate(nodes: Column, system: Column) -> Column:
         lambda p: candidate(F.concat_ws(".", p["tag"], F.get(p["classes"], F.lit(0))), share(p["n"], ITEMS_PER_PAGE)),
     )
     generic = best_candidate(F.concat(F.array(*named), repeated), candidate("", 0.0))
-    out = generic
+    preset = F.lit(None).cast(CANDIDATE)
     for name, (text, rule) in LIST_PRESETS.items():
-        preset = by_count(nodes, text, rule, ITEMS_PER_PAGE)
-        out = F.when(system == name, F.coalesce(preset, generic)).otherwise(out)
-    return out
+        preset = F.when(system == name, by_count(nodes, text, rule, ITEMS_PER_PAGE)).otherwise(preset)
+    return F.coalesce(preset, generic)
 
 
 def link_candidate(nodes: Column, list_selector: Column) -> Column:
@@ -193,19 +192,21 @@ def link_candidate(nodes: Column, list_selector: Column) -> Column:
     item = F.when(list_selector != "", matched).when(F.size(nodes) > 0, document)
 
     def judge(box: Column) -> Column:
-        def pick(links: Column) -> Column:
-            good = F.get(F.filter(links, lambda a: U.is_thread_link(attr(a, "href"))), F.lit(0))
-            # Longest text; on ties the link that comes first.
+        def by_length(links: Column) -> Column:
+            """Longest text; on ties the link that comes first."""
             longest = F.aggregate(
                 F.transform(links, lambda a: F.struct(F.length(text_of(nodes, a)).alias("n"), a["classes"].alias("classes"))),
                 F.lit(None).cast("struct<n:int,classes:array<string>>"),
                 lambda best, x: F.when(F.coalesce(x["n"] > best["n"], F.lit(True)), x).otherwise(best),
             )
-            return (
-                F.when(good["lo"].isNotNull(), candidate(link_selector(good["classes"], box["classes"]), 0.9))
-                .when(F.size(links) > 0, candidate(link_selector(longest["classes"], box["classes"]), 0.6))
-                .otherwise(candidate("a", 0.3))
+            return let(longest, lambda x: candidate(link_selector(x["classes"], box["classes"]), 0.6))
+
+        def pick(links: Column) -> Column:
+            good = F.get(F.filter(links, lambda a: U.is_thread_link(attr(a, "href"))), F.lit(0))
+            named = let(
+                good, lambda a: F.when(a["lo"].isNotNull(), candidate(link_selector(a["classes"], box["classes"]), 0.9))
             )
+            return F.coalesce(named, F.when(F.size(links) > 0, by_length(links)), candidate("a", 0.3))
 
         return F.when(box["lo"].isNull(), candidate("", 0.0)).otherwise(
             let(find_all(nodes, any_link, subtree(nodes, box)), pick)
