@@ -165,9 +165,10 @@ def c4_load_checkpoints(t: Tables) -> DataFrame:
     return state.load_checkpoints(left).select("site", "board", "current_page", "status")
 
 
-@query(f"SELECT DISTINCT {_SITE} FROM events WHERE user_id % 50 < 20 AND user_id >= 20 AND event_id % 2 = 0")
+@query(f"""
+SELECT DISTINCT {_SITE} FROM events WHERE event_id % 2 = 0 INTERSECT SELECT DISTINCT {_SITE} FROM events WHERE user_id < 20""")
 def c4_existing_checkpoints(t: Tables) -> DataFrame:
-    targets = _site(t).where("user_id >= 20 AND event_id % 2 = 0").select("site", "board").distinct()
+    targets = _site(t).where("event_id % 2 = 0").select("site", "board").distinct()
     return state.existing_checkpoints(targets, _stored_checkpoints(t))
 
 
