@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harrow.operators.skew import BLOCK, running, without_known
+from harrow.operators.skew import BLOCK, lookup, running, without_known
 
 MAX_STREAK = 10
 
@@ -15,9 +15,9 @@ STOP_REASONS = ["fetch_failed", "no_articles", "no_new_articles", "max_pages", "
 KEEPS_RUNNING = ["no_new_articles", "max_pages"]
 
 
-def new_threads(threads: DataFrame, stored: DataFrame) -> DataFrame:
-    """Threads that are not stored yet."""
-    return without_known(threads, stored, "thread_id")
+def new_threads(threads: DataFrame, stored: DataFrame, salt_by: str | None = None) -> DataFrame:
+    """Threads that are not stored yet; for ``salt_by`` see ``skew.without_known``."""
+    return without_known(threads, stored, "thread_id", salt_by)
 
 
 def finished_articles(articles: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def finished_articles(articles: DataFrame) -> DataFrame:
     return articles.where(F.coalesce(F.col("images_downloaded"), F.lit(True))).select("article_id")
 
 
-def new_articles(candidates: DataFrame, articles: DataFrame) -> DataFrame:
+def new_articles(candidates: DataFrame, articles: DataFrame, salt_by: str | None = None) -> DataFrame:
     """Candidates that are not stored with their images."""
-    return without_known(candidates, finished_articles(articles), "article_id")
+    return without_known(candidates, finished_articles(articles), "article_id", salt_by)
 
 
 def merge_detail(listed: DataFrame, detail: DataFrame, key: str) -> DataFrame:
@@ -163,9 +163,10 @@ def crawl_extent(
 
 
 def crawled_pages(pages: DataFrame, extent: DataFrame, by: str = "site", start_page: int = 1) -> DataFrame:
-    """The pages a crawl has visited."""
-    stop = extent.select(by, "stop_page")
-    return pages.where(F.col("page") >= start_page).join(stop, by).where("page <= stop_page").drop("stop_page")
+    """The pages a crawl has visited; ``extent`` should be a written table, its rows are counted."""
+    stops = extent.select(by, "stop_page")
+    from_start = pages.where(F.col("page") >= start_page)
+    return lookup(from_start, stops, by, salt_by="page").where("page <= stop_page").select(*pages.columns)
 
 
 def image_index(threads: DataFrame, images: str = "images") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.skew import lookup
+
 THREADS = (
     "thread_id string, title string, url string, board string, images array<string>, image_count int, "
     "metadata struct<author:string,post_time:string,views:bigint,replies:bigint>, content string, "
@@ -127,7 +129,7 @@ def apply_transitions(stored: DataFrame, events: DataFrame, now: Column, order:
         F.max(order).alias("_replaced_at"), F.max_by("final_stats", at).alias("_final")
     )
     counts = (
-        events.join(replaced, keys, "left")
+        lookup(events, replaced, keys, salt_by=order)
         .groupBy(*keys)
         .agg(
             F.max_by("kind", at).alias("_kind"),

@@ -93,7 +93,7 @@ def news_crawl(
     counts = frontier.page_counts(entries, known)
     nothing = {"n_articles": 0, "n_new": 0}
     pages = read.drop("entries").join(counts, ["site", "page"], "left").fillna(nothing)
-    extent = frontier.crawl_extent(pages, start_page=start_page, max_pages=max_pages)
+    extent = materialized(frontier.crawl_extent(pages, start_page=start_page, max_pages=max_pages), "extent")
     fresh = frontier.crawled_pages(marked.where("is_new"), extent, start_page=start_page)
     fresh = materialized(fresh, "new-articles")
     wanted = article_pages.join(fresh.select(F.col("article_url").alias("url")).distinct(), "url", "left_semi")

@@ -78,19 +78,20 @@ extent AS (SELECT site, b // 10 AS stop_page,
   CASE WHEN b % 10 IN (3, 4) THEN 'running' ELSE 'completed' END AS status FROM best)"""
 
 
-def _extent(t: Tables) -> DataFrame:
-    pages = materialized(_counts(t), "page-counts").withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
+def _extent(t: Tables, counts: DataFrame) -> DataFrame:
+    pages = counts.withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
     return frontier.crawl_extent(pages, max_pages=200, block=64)
 
 
 @query(f"WITH {_EXTENT} SELECT * FROM extent")
 def w3_crawl_extent(t: Tables) -> DataFrame:
-    return _extent(t)
+    return _extent(t, materialized(_counts(t), "page-counts"))
 
 
 @query(f"WITH {_EXTENT} SELECT site, page, n_articles, n_new FROM counts JOIN extent USING (site) WHERE page <= stop_page")
 def w3_crawled_pages(t: Tables) -> DataFrame:
-    return frontier.crawled_pages(_counts(t), _extent(t))
+    counts = materialized(_counts(t), "page-counts")
+    return frontier.crawled_pages(counts, materialized(_extent(t, counts), "extent"))
 
 
 @query(f"WITH {sql.LINKS} SELECT page_id, href AS image_url, CAST(pos AS INTEGER) AS image_index FROM links")

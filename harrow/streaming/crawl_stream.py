@@ -51,8 +51,11 @@ def new_entries(entries: DataFrame, order: list[str], *known: DataFrame | None)
     """W1 + J2: first occurrence of every article that is not known yet."""
     fresh = keep_first(entries, ["site", "article_id"], order)
     for ids in known:
-        if ids is not None:
-            fresh = without_known(fresh, ids, [c for c in ("site", "article_id") if c in ids.columns])
+        if ids is not None and "site" in ids.columns:
+            fresh = without_known(fresh, ids, ["site", "article_id"])
+        elif ids is not None:
+            # One id may occur on very many sites, and streams run without adaptive execution.
+            fresh = without_known(fresh, ids, "article_id", salt_by="site")
     return fresh
 
 
