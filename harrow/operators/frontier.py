@@ -100,6 +100,7 @@ def crawl_extent(
     start_page: int = 1,
     max_pages: int | None = None,
     max_streak: int = MAX_STREAK,
+    crawler_type: str = "news",
     block: int = BLOCK,
 ) -> DataFrame:
     """Where the crawl of each site stops, why, and the state it is left in.
@@ -107,7 +108,15 @@ def crawl_extent(
     ``pages`` has (by, page, fetched, n_articles, n_new, has_more). A page that
     is absent or not fetched ends the crawl, as does the page after the last one.
     Pages are scanned in blocks, as in ``skew.running``.
+
+    News lists also stop at a page without entries and after ``max_streak`` pages
+    without a new one, and stay ``running`` when a limit stopped them. Boards
+    (``crawler_type="bbs"``, ``by`` naming the board) go on over such pages, count
+    ``max_pages`` from where the run starts, and end as ``error`` when a page
+    could not be fetched.
     """
+    news = crawler_type == "news"
+    last_page = max_pages if news or max_pages is None else start_page + max_pages - 1
     pages = pages.where(F.col("page") >= start_page).withColumn("_block", F.floor(F.col("page") / F.lit(block)))
     inside = W.partitionBy(by, "_block").orderBy("page")
     blocks = W.partitionBy(by).orderBy("_block")
@@ -129,9 +138,9 @@ def crawl_extent(
     streak = F.col("page") - F.coalesce(F.greatest("_here", "_before"), F.lit(start_page - 1))
     tests = [
         ~F.col("fetched"),
-        F.col("n_articles") == 0,
-        streak >= max_streak,
-        F.col("page") >= max_pages if max_pages is not None else F.lit(False),
+        F.col("n_articles") == 0 if news else F.lit(False),
+        streak >= max_streak if news else F.lit(False),
+        F.col("page") >= last_page if last_page is not None else F.lit(False),
         ~F.col("has_more"),
     ]
     number = F.when(tests[0], 1)
@@ -157,9 +166,13 @@ def crawl_extent(
         by,
         F.col("s.page").alias("stop_page"),
         F.element_at(reasons, F.col("s.why")).alias("stop_reason"),
-    ).withColumn(
-        "status", F.when(F.col("stop_reason").isin(KEEPS_RUNNING), "running").otherwise("completed")
-    )
+    ).withColumn("status", _final_status(F.col("stop_reason"), news))
+
+
+def _final_status(reason: Column, news: bool) -> Column:
+    if news:
+        return F.when(reason.isin(KEEPS_RUNNING), "running").otherwise("completed")
+    return F.when(reason == STOP_REASONS[0], "error").otherwise("completed")
 
 
 def crawled_pages(pages: DataFrame, extent: DataFrame, by: str = "site", start_page: int = 1) -> DataFrame:

@@ -88,6 +88,22 @@ def w3_crawl_extent(t: Tables) -> DataFrame:
     return _extent(t, materialized(_counts(t), "page-counts"))
 
 
+@query(f"""WITH {ENTRIES},
+stops AS (
+  SELECT site, page, CASE WHEN page >= 5 + 30 - 1 THEN 4 WHEN n_articles % 23 = 0 THEN 5 END AS why FROM counts WHERE page >= 5
+  UNION ALL SELECT site, page + 1, 1 FROM counts c WHERE page >= 5 AND NOT EXISTS (
+    SELECT 1 FROM counts d WHERE d.site = c.site AND d.page = c.page + 1)
+  UNION ALL SELECT DISTINCT site, 5, 1 FROM counts c WHERE NOT EXISTS (
+    SELECT 1 FROM counts d WHERE d.site = c.site AND d.page = 5)),
+best AS (SELECT site, min(page * 10 + why) AS b FROM stops WHERE why IS NOT NULL GROUP BY 1)
+SELECT site, b // 10 AS stop_page, CASE b % 10 WHEN 1 THEN 'fetch_failed' WHEN 4 THEN 'max_pages' ELSE 'no_load_more' END AS stop_reason,
+  CASE b % 10 WHEN 1 THEN 'error' ELSE 'completed' END AS status FROM best""")
+def w3_board_extent(t: Tables) -> DataFrame:
+    counts = materialized(_counts(t), "page-counts")
+    pages = counts.withColumn("fetched", F.lit(True)).withColumn("has_more", F.col("n_articles") % 23 != 0)
+    return frontier.crawl_extent(pages, start_page=5, max_pages=30, crawler_type="bbs", block=64)
+
+
 @query(f"WITH {_EXTENT} SELECT site, page, n_articles, n_new FROM counts JOIN extent USING (site) WHERE page <= stop_page")
 def w3_crawled_pages(t: Tables) -> DataFrame:
     counts = materialized(_counts(t), "page-counts")
