@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ NODE_TYPE = (
     "array<struct<lo:int,hi:int,depth:int,tag:string,attrs:map<string,string>,"
     "classes:array<string>,text:string,length:int>>"
 )
+SLICE_BYTES = 4 * 1024 * 1024
 TEXT, RAW, COMMENT, DOCTYPE = "#text", "#raw", "#comment", "#doctype"
 
 _ARROW_TYPES = {
@@ -196,6 +198,18 @@ def _node_lists(pages: Sequence[str | None], implied_ends: bool = False) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=pa.array(missing, pa.bool_()))
 
 
+def _slices(pages: pa.Array) -> Iterator[tuple[int, int]]:
+    """Cut a batch so that a few megabytes of pages are taken apart at a time."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(pages), 0).to_pylist()):
+        if size and size + n > SLICE_BYTES:
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if start < len(pages):
+        yield start, len(pages) - start
+
+
 def parse_pages(pages: DataFrame, html: str = "html", implied_ends: bool = False) -> DataFrame:
     """Replace the ``html`` column by ``nodes``; all other columns are kept.
 
@@ -208,8 +222,8 @@ def parse_pages(pages: DataFrame, html: str = "html", implied_ends: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, n in _slices(batch.column(html)):
+                part = batch.slice(at, n)
                 columns = [part.column(c) for c in kept]
                 nodes = _node_lists(part.column(html).to_pylist(), implied_ends)
                 yield pa.RecordBatch.from_arrays([*columns, nodes], names=[*kept, "nodes"])

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,14 @@ def test_inside_pairs(spark):
     assert pairs.count() == 4
 
 
+def test_slices():
+    sizes = [3, 3, 0, 9, 1, 1]
+    pages = pa.array([None if n == 0 else "x" * (n << 20) for n in sizes])
+    assert list(dom._slices(pages)) == [(0, 1), (1, 2), (3, 1), (4, 2)]
+    assert list(dom._slices(pages.slice(0, 0))) == []
+    assert list(dom._slices(pa.array([None, None], pa.string()))) == [(0, 2)]
+
+
 def test_many_pages_over_small_batches(spark):
     """Positions restart on every page, whatever the Arrow batches look like."""
     pages = spark.range(2000).selectExpr(
