@@ -56,6 +56,7 @@ def file_verdicts(
     partially aggregated minimum, and only positions are joined back.
     """
     orders = [order] if isinstance(order, str) else list(order)
+    first = F.struct(F.min(orders[0]).alias(orders[0])) if len(orders) == 1 else F.min(F.struct(*orders))
     place = F.struct(*orders, F.col(picture_hash).alias("_picture"))
     unique = (
         df.where(F.col(content_hash).isNotNull())
@@ -66,7 +67,7 @@ def file_verdicts(
         unique = _unless_known(unique, known_content, content_hash)
     kept = (
         unique.where(F.col("_picture").isNotNull())
-        .groupBy("_picture").agg(F.min(F.struct(*orders)).alias("_first"))
+        .groupBy("_picture").agg(first.alias("_first"))
         .select("_picture", "_first.*")
     )
     if known_pictures is not None:

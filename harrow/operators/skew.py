@@ -33,8 +33,10 @@ def first_flags(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
+    # One number is aggregated by hashing; a struct of several needs a sort.
+    first = F.struct(F.min(orders[0]).alias(orders[0])) if len(orders) == 1 else F.min(F.struct(*orders))
     firsts = (
-        df.where(known).groupBy(*keys).agg(F.min(F.struct(*orders)).alias("_first"))
+        df.where(known).groupBy(*keys).agg(first.alias("_first"))
         .select(*keys, "_first.*", F.lit(True).alias("_hit"))
     )
     return (
