@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import urls as U
 from harrow.functions.selectors import class_selector, id_selector, link_selector, selector_steps
-from harrow.functions.text import blank_to_null, let
+from harrow.functions.text import let
 from harrow.operators import dom
 from harrow.operators.dom import attr, filled_attr, find_all, find_all_by, step, subtree, text_of
 

@@ -13,7 +13,7 @@ from harrow.operators.skew import keep_first
 from harrow.operators.state import upsert_threads
 from harrow.session import materialized
 from harrow.sources.rules import process_images, with_site_rules
-from harrow.streaming.crawl_stream import image_tasks, new_entries
+from harrow.streaming.crawl_stream import image_tasks
 
 
 def new_pages_per_host(pages: DataFrame) -> DataFrame:
@@ -113,6 +113,3 @@ def detect_rules(pages: DataFrame) -> DataFrame:
     typed = pages.withColumn("site", U.host(F.col("url"))).withColumn("forum_type", forum_type(F.col("html")))
     profile = site_profiles(page_profiles(dom.parse_pages(typed, implied_ends=True), "site", "page_id"))
     return detected_rules(profile, F.concat(F.lit("https://"), F.col("site")))
-
-
-__all__ = ["detect_rules", "forum_crawl", "new_entries", "new_pages_per_host", "news_crawl"]
