@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,3 +100,35 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def carried(docs: DataFrame, doc_id: str, text: str, whole: bool) -> tuple[DataFrame, str]:
+    """(row, text): the id alone or all columns as a struct beside the text, and the struct's type.
+
+    A struct keeps columns of any name apart from those that an operator adds.
+    """
+    id_ = F.col(doc_id).cast("long").alias("doc_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.struct(id_)
+    rows = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
+    return rows, rows.schema["row"].dataType.simpleString()
+
+
+def save_bytes(path: str, content: bytes) -> None:
+    """Write a file of the shared folder under an own name, then move it to its place."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    folder, name = at.rsplit("/", 1)
+    store.create_dir(folder, recursive=True)
+    own = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    with store.open_output_stream(own) as out:
+        out.write(content)
+    store.move(own, at)
+
+
+def load_bytes(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        return f.read()
