@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import (
-    chat_tree, cover_tree, decontaminate, hmm, language_id, oracles, packing, secret_scan, token_blocks, token_counts,
+    chat_tree, cover_tree, decontaminate, hmm, jaccard_join, language_id, oracles, packing, secret_scan, token_blocks, token_counts,
 )
 from harrow.llm.common import residue
 
@@ -25,6 +25,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (residue("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "distance", "n_grams")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"), share=75, width=5)
+
+
 def op3_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -75,7 +79,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks, op7_cover_tree_top_k,
+    op1_language_id, op2_jaccard_join, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks, op7_cover_tree_top_k,
     op8_decontamination, op9_hidden_markov, op10_token_counts,
 )}
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
