@@ -185,13 +185,14 @@ def _assigned(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return arrow_map(vectors, assign, f"{schema}, cell int, away double")
 
 
-def _pivots(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
+def _pivots(vectors: DataFrame, rows: int, node_rows: int) -> dict[int, np.ndarray]:
     """Pivots for each number of components, from at most SAMPLE rows chosen by a hash."""
-    n = min(MAX_PIVOTS, max(1, rows // NODE_ROWS))
+    n = min(MAX_PIVOTS, max(1, rows // node_rows))
     sample = vectors.select("size", "ints").orderBy(F.xxhash64("vec_id", "ints"), "vec_id").limit(SAMPLE).collect()
     found = {}
     for size in {r[0] for r in sample}:
-        own = np.array([r[1] for r in sample if r[0] == size], np.float64).reshape(-1, size)
+        own = [r[1] for r in sample if r[0] == size]
+        own = np.array(own, np.float64).reshape(len(own), size)
         found[size] = own[farthest_first(own, n)[0]]
     return found
 
@@ -238,7 +239,7 @@ def top_k(
     rows = vectors.where(whole).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)).alias("ints"), F.size(v).alias("size"), is_query.alias("query"))
     n_rows = rows.count()
-    pivots = _pivots(rows, n_rows)
+    pivots = _pivots(rows, n_rows, node_rows)
     assigned = kept(_assigned(rows, pivots), "cells")
     # Cells are cut into nodes of about node_rows rows, by a hash.
     sizes = assigned.groupBy("size", "cell").agg(
