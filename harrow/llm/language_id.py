@@ -157,7 +157,7 @@ def identify(
 ) -> DataFrame:
     """(doc_id or row, lang_pred, score, distance, n_grams) of every document."""
     rows = profiles.select("lang", "gram", "rank").limit(max_languages * size + 1).collect()
-    if len(rows) > max_languages * size:
+    if len({r[0] for r in rows}) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     shared = docs.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in rows], size))
 
