@@ -11,12 +11,13 @@ from harrow.functions.text import blank_to_null
 def selector_steps(text: Column) -> Column:
     """Selector text of a site's settings as the structured steps the extractors use.
 
-    Understands tag, ``.class``, ``#id`` and ``[name op 'value']`` (op ``= ^= *=``),
+    Understands tag, ``.class``, ``#id`` and ``[name op 'value']`` (op ``= ^= $= *= ~=``),
     a blank for "inside" and a comma for "or"; values hold neither blanks nor commas.
+    ``unsupported_selector`` tells of anything else.
     """
 
     def one_attr(a: Column) -> Column:
-        pattern = r"^\s*([^\s=^*]+)\s*(\^=|\*=|=)?\s*['\"]?(.*?)['\"]?\s*$"
+        pattern = r"^\s*([^\s=^*$~]+)\s*(\^=|\*=|\$=|~=|=)?\s*['\"]?(.*?)['\"]?\s*$"
         op = blank_to_null(F.regexp_extract(a, pattern, 2))
         return F.struct(
             F.regexp_extract(a, pattern, 1).alias("name"),
@@ -42,6 +43,18 @@ def selector_steps(text: Column) -> Column:
     return F.transform(alternatives, lambda a: F.transform(F.split(a, r"\s+"), one_step))
 
 
+def unsupported_selector(text: Column) -> Column:
+    """Why ``selector_steps`` cannot stand for a selector, NULL if it can."""
+    bare = F.regexp_replace(text, r"\[[^\]]*\]", "")
+    attrs = F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    bad_attr = F.exists(attrs, lambda a: ~F.rlike(a, F.lit(r"""^\s*[\w:-]+\s*([~^$*]?=\s*("[^"\s,]*"|'[^'\s,]*'|[^"'\s,]+)\s*)?$""")))
+    return (
+        F.when(F.rlike(bare, F.lit(r"[>+~]")), "combinator")
+        .when(F.contains(bare, F.lit(":")), "pseudo-class")
+        .when(F.rlike(bare, F.lit(r"[\[\]()\"'=]")) | bad_attr, "attribute test")
+    )
+
+
 def class_selector(e: Column) -> Column:
     """``tag.firstclass``, or the tag."""
     return F.concat_ws(".", e["tag"], F.get(e["classes"], F.lit(0)))

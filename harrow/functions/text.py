@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -31,9 +32,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# Every decimal digit of any script beyond ASCII, and the ASCII digit of the same value.
+_DIGITS = [chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
 def number_from_text(c: Column) -> Column:
-    """first run of digits after dropping commas, 0 when there is none."""
-    digits = blank_to_null(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"[0-9]+", 0))
+    """first run of decimal digits of any script after dropping commas, 0 when there is none.
+
+    A number beyond a bigint counts as 0.
+    """
+    plain = F.replace(c, F.lit(","), F.lit(""))
+    digits = blank_to_null(F.translate(F.regexp_extract(plain, r"\p{Nd}+", 0), "".join(_DIGITS), _VALUES))
     return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.operators.skew import first_flags, without_known
+from harrow.operators.skew import earliest, first_flags, join_marks, without_known
 from harrow.session import materialized
 
 
@@ -56,18 +56,16 @@ def file_verdicts(
     partially aggregated minimum, and only positions are joined back.
     """
     orders = [order] if isinstance(order, str) else list(order)
-    first = F.struct(F.min(orders[0]).alias(orders[0])) if len(orders) == 1 else F.min(F.struct(*orders))
-    place = F.struct(*orders, F.col(picture_hash).alias("_picture"))
     unique = (
         df.where(F.col(content_hash).isNotNull())
-        .groupBy(content_hash).agg(F.min(place).alias("_first"))
+        .groupBy(content_hash).agg(earliest(orders, F.col(picture_hash).alias("_picture")).alias("_first"))
         .select(content_hash, "_first.*")
     )
     if known_content is not None:
         unique = _unless_known(unique, known_content, content_hash)
     kept = (
         unique.where(F.col("_picture").isNotNull())
-        .groupBy("_picture").agg(first.alias("_first"))
+        .groupBy("_picture").agg(earliest(orders).alias("_first"))
         .select("_picture", "_first.*")
     )
     if known_pictures is not None:
@@ -77,7 +75,7 @@ def file_verdicts(
     keep = F.col(content_hash).isNull() | (F.col("_unique") & (F.col(picture_hash).isNull() | F.col("_kept")))
     reason = F.when(keep, F.lit(None)).when(F.col("_unique"), "same_picture").otherwise("same_bytes")
     return (
-        df.join(seen, orders, "left").join(good, orders, "left")
+        join_marks(join_marks(df, seen, [], orders), good, [], orders)
         .withColumn("reason", reason)
         .drop("_unique", "_kept")
     )
@@ -110,6 +108,18 @@ def dedup_statistics(checked: DataFrame) -> DataFrame:
     )
 
 
+def url_statistics(df: DataFrame, url: str) -> DataFrame:
+    """D6 straight from the checks: a URL is new once, a NULL one every time."""
+    total = F.count("*")
+    unique = F.count_distinct(F.md5(F.col(url))) + F.count_if(F.col(url).isNull())
+    return df.agg(total.alias("_total"), unique.alias("_unique")).select(
+        F.col("_total").alias("total_checked"),
+        (F.col("_total") - F.col("_unique")).alias("duplicates_found"),
+        F.col("_unique").alias("unique_images"),
+        F.when(F.col("_total") > 0, (F.col("_total") - F.col("_unique")) / F.col("_total")).otherwise(F.lit(0.0)).alias("duplicate_rate"),
+    )
+
+
 def file_statistics(verdicts: DataFrame) -> DataFrame:
     """The same counts for the file checks, split by reason."""
     return verdicts.agg(

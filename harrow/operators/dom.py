@@ -242,7 +242,7 @@ def elements(parsed: DataFrame, *keys: str) -> DataFrame:
 
 
 def step(tag: str | None = None, cls: Sequence[str] | str = (), attrs: Sequence[tuple] = ()) -> dict:
-    """One compound selector; ``attrs`` holds ``(name, op, value)``, op in has = ^= *=."""
+    """One compound selector; ``attrs`` holds ``(name, op, value)``, op in has = ^= $= *= ~=."""
     return {"tag": tag, "classes": [cls] if isinstance(cls, str) else list(cls), "attrs": list(attrs)}
 
 
@@ -259,12 +259,14 @@ def _attr_test(value: Column, op: Column | str, wanted: Column) -> Column:
         "has": value.isNotNull(),
         "=": value == wanted,
         "^=": F.startswith(value, wanted),
+        "$=": F.endswith(value, wanted),
         "*=": F.contains(value, wanted),
+        "~=": F.array_contains(F.split(value, r"\s+"), wanted),
     }
     if isinstance(op, str):
         return F.coalesce(tests[op], F.lit(False))
     chosen = F.when(op == "has", tests["has"])
-    for name in ("=", "^=", "*="):
+    for name in ("=", "^=", "$=", "*=", "~="):
         chosen = chosen.when(op == name, tests[name])
     return F.coalesce(chosen, F.lit(False))
 
@@ -301,14 +303,46 @@ def _spans(es: Column) -> Column:
     return F.transform(es, lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi")))
 
 
-def _inside(e: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["lo"] < e["lo"]) & (e["lo"] <= s["hi"]))
+COVER_BLOCK = 64
+
+
+def _cover(spans: Column) -> Column:
+    """Spans in order of ``lo`` prepared for ``_inside``: how far any span up to each one reaches.
+
+    The furthest reach is taken inside blocks first and then over the blocks
+    before. The blocks are cut out once: each ``slice`` copies the whole array.
+    """
+
+    def prepared(ss: Column) -> Column:
+        ends = F.transform(ss, lambda s: s["hi"])
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ss) - 1) / COVER_BLOCK).cast("int"))
+        chunks = let(ends, lambda e: F.transform(blocks, lambda b: F.slice(e, b * COVER_BLOCK + 1, F.lit(COVER_BLOCK))))
+        tops = let(chunks, lambda c: F.transform(c, lambda x: F.array_max(x)))
+        before = let(tops, lambda t: F.transform(t, lambda _, b: F.array_max(F.slice(t, F.lit(1), b))))
+        reach = let(F.struct(chunks.alias("chunks"), before.alias("before")), lambda x: F.flatten(F.transform(
+            x["chunks"], lambda c, b: F.transform(c, lambda _, i: F.greatest(F.get(x["before"], b), F.array_max(F.slice(c, F.lit(1), i + 1)))))))
+        return F.struct(
+            F.transform(ss, lambda s: s["lo"]).alias("lo"),
+            F.when(F.size(ss) > 0, reach).otherwise(F.array().cast("array<int>")).alias("reach"),
+            F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda w: w <= F.size(ss)).alias("powers"),
+        )
+
+    return let(spans, prepared)
+
+
+def _inside(e: Column, cover: Column) -> Column:
+    """Whether ``e`` lies in one of the spans: a binary search for the spans that begin before it."""
+    before = F.aggregate(
+        cover["powers"], F.lit(0),
+        lambda n, w: F.when(F.coalesce(F.get(cover["lo"], n + w - 1) < e["lo"], F.lit(False)), n + w).otherwise(n),
+    )
+    return F.coalesce(F.get(cover["reach"], before - 1) >= e["lo"], F.lit(False))
 
 
 def _alternative(nodes: Column, steps: list[dict], scope: Column) -> Column:
     if len(steps) == 1:
         return F.filter(scope, lambda e: _fits(e, steps[0]))
-    outer = _spans(_alternative(nodes, steps[:-1], nodes))
+    outer = _cover(_spans(_alternative(nodes, steps[:-1], nodes)))
     return let(outer, lambda o: F.filter(scope, lambda e: _fits(e, steps[-1]) & _inside(e, o)))
 
 
@@ -348,11 +382,14 @@ def _steps_match(nodes: Column, steps: Column, scope: Column) -> Column:
     outer = F.aggregate(
         F.slice(steps, F.lit(1), F.size(steps) - 1),
         everything,
-        lambda spans, s: _spans(F.filter(nodes, lambda e: _fits_column(e, s) & _inside(e, spans))),
+        lambda spans, s: let(
+            F.struct(_cover(spans).alias("c"), s.alias("s")),
+            lambda x: _spans(F.filter(nodes, lambda e: _fits_column(e, x["s"]) & _inside(e, x["c"]))),
+        ),
     )
     last = F.element_at(steps, -1)
     return let(
-        F.struct(outer.alias("spans"), last.alias("step")),
+        F.struct(_cover(outer).alias("spans"), last.alias("step")),
         lambda x: F.filter(scope, lambda e: _fits_column(e, x["step"]) & _inside(e, x["spans"])),
     )
 
@@ -393,6 +430,8 @@ def inside_pairs(parsed: DataFrame, outer: list[list[dict]], inner: list[list[di
 
 
 def flat_links(pages: DataFrame, *keys: str) -> DataFrame:
-    """E1 fast path for a flat list of links: no Python, no tree."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return pages.select(*keys, F.posexplode(hrefs).alias("pos", "href")).withColumn("pos", F.col("pos") + 1)
+    """E1 as a flat list of links: every anchor with an address, in document order, numbered from 1."""
+    anchors = F.filter("nodes", lambda e: (e["tag"] == "a") & e["attrs"]["href"].isNotNull())
+    hrefs = F.transform(anchors, lambda e: e["attrs"]["href"])
+    parsed = parse_pages(pages.select(*keys, "html"))
+    return parsed.select(*keys, F.posexplode(hrefs).alias("pos", "href")).withColumn("pos", F.col("pos") + 1)

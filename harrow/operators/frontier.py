@@ -102,6 +102,7 @@ def crawl_extent(
     max_streak: int = MAX_STREAK,
     crawler_type: str = "news",
     block: int = BLOCK,
+    resumed: bool = False,
 ) -> DataFrame:
     """Where the crawl of each site stops, why, and the state it is left in.
 
@@ -112,11 +113,12 @@ def crawl_extent(
     News lists also stop at a page without entries and after ``max_streak`` pages
     without a new one, and stay ``running`` when a limit stopped them. Boards
     (``crawler_type="bbs"``, ``by`` naming the board) go on over such pages, count
-    ``max_pages`` from where the run starts, and end as ``error`` when a page
-    could not be fetched.
+    ``max_pages`` from an explicit start page (a run ``resumed`` from a checkpoint
+    counts the pages before it too), and end as ``error`` when a page could not be
+    fetched.
     """
     news = crawler_type == "news"
-    last_page = max_pages if news or max_pages is None else start_page + max_pages - 1
+    last_page = max_pages if news or resumed or max_pages is None else start_page + max_pages - 1
     pages = pages.where(F.col("page") >= start_page).withColumn("_block", F.floor(F.col("page") / F.lit(block)))
     inside = W.partitionBy(by, "_block").orderBy("page")
     blocks = W.partitionBy(by).orderBy("_block")
@@ -219,9 +221,17 @@ def beyond_max(entries: DataFrame, by: list[str], order: str, ties: list[str], i
     return scanned.withColumn("beyond_max", F.coalesce(number > F.col("max_before"), F.lit(False)))
 
 
-def first_pages(pages: DataFrame, limit: int, by: str = "site", start: str = "start_page") -> DataFrame:
-    """The pages of a run limited to ``limit`` visited pages per site."""
-    return pages.where((F.col("page") >= F.col(start)) & (F.col("page") < F.col(start) + limit))
+def first_pages(
+    pages: DataFrame, limit: int, by: str = "site", start: str = "start_page", resumed: Column | None = None
+) -> DataFrame:
+    """The pages of a run limited to ``limit`` pages per site.
+
+    An explicit start page counts from there; a run that is ``resumed`` from a
+    checkpoint (C6) counts the pages before it too.
+    """
+    resumed = F.lit(False) if resumed is None else resumed
+    last = F.when(resumed, F.lit(limit)).otherwise(F.col(start) + limit - 1)
+    return pages.where((F.col("page") >= F.col(start)) & (F.col("page") <= last))
 
 
 def seen_union(*seen: DataFrame) -> DataFrame:

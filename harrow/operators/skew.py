@@ -13,34 +13,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrow.session import materialized
+
 BLOCK = 4096
 HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
+NULL_SALTS = 256
 
 
 def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def earliest(orders: Sequence[str], *more: Column) -> Column:
+    """Aggregate: the row that comes first by ``orders`` as a struct, NULL after all values."""
+    if len(orders) == 1 and not more:
+        # One number is aggregated by hashing; a struct of several needs a sort.
+        return F.struct(F.min(orders[0]).alias(orders[0]))
+    parts = [x for o in orders for x in (F.col(o).isNull().alias(f"_null_{o}"), F.col(o))]
+    first = F.min(F.struct(*parts, *more))
+    return first.dropFields(*[f"_null_{o}" for o in orders])
+
+
+def join_marks(df: DataFrame, marks: DataFrame, keys: Sequence[str], orders: Sequence[str]) -> DataFrame:
+    """Left join on equal keys and on orders that are equal or both NULL; adds the other columns of ``marks``."""
+    orders = [o for o in orders if o not in keys]
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"_d.{k}") == F.col(f"_m.{k}"))
+    for o in orders:
+        on = on & F.col(f"_d.{o}").eqNullSafe(F.col(f"_m.{o}"))
+    added = [c for c in marks.columns if c not in (*keys, *orders)]
+    return df.alias("_d").join(marks.alias("_m"), on, "left").select(
+        *[F.col(f"_d.`{c}`") for c in df.columns], *[F.col(f"_m.{c}") for c in added])
+
+
 def first_flags(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], flag: str = "is_first") -> DataFrame:
     """Mark the first row of every key; ``key + order`` must identify a row.
 
     The minimum is combined on the map side, and the join back is on key AND
     order, so even the rows of a hot key spread over all tasks. A row whose key
-    is NULL has nothing to be equal to and counts as first.
+    is NULL has nothing to be equal to and counts as first; NULL in an order
+    column comes after all values.
     """
     keys, orders = _names(key), _names(order)
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    # One number is aggregated by hashing; a struct of several needs a sort.
-    first = F.struct(F.min(orders[0]).alias(orders[0])) if len(orders) == 1 else F.min(F.struct(*orders))
     firsts = (
-        df.where(known).groupBy(*keys).agg(first.alias("_first"))
-        .select(*keys, "_first.*", F.lit(True).alias("_hit"))
+        df.where(known).groupBy(*keys).agg(earliest(orders).alias("_first"))
+        .select(*keys, *[F.col(f"_first.{o}") for o in orders if o not in keys], F.lit(True).alias("_hit"))
     )
     return (
-        df.join(firsts, [*keys, *[o for o in orders if o not in keys]], "left")
+        join_marks(df, firsts, keys, orders)
         .withColumn(flag, F.coalesce(F.col("_hit"), ~known))
         .drop("_hit")
         .select(*df.columns, flag)
@@ -53,62 +78,65 @@ def keep_first(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows: at most rows / hot_rows of them exist."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).drop("_n")
+    """Keys with at least ``hot_rows`` rows, and over how many tasks to spread each."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
+    return counted.select(*keys, (F.ceil(F.col("_n") / hot_rows) * 4).cast("int").alias("_salts"))
 
 
-def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a look-up table is small enough to send to every executor."""
-    return table.limit(rows + 1).count() <= rows
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a look-up table is small enough to send to every executor, by the size Spark expects."""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= limit
 
 
-def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str, salts: int) -> DataFrame:
-    """Join ``df`` to one row per key, the rows of its hot keys spread over ``salts`` tasks.
+def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str) -> DataFrame:
+    """Join ``df`` to ``table``, the rows of hot keys spread over as many tasks as their number asks for.
 
-    Only the rows of hot keys are repeated in ``table``, and few keys can be hot.
+    Only the rows of hot keys are repeated in ``table``. A NULL key meets
+    nothing, so its rows are spread too. The list of hot keys is written first,
+    so Spark knows its size and broadcasts it only while it is small.
     """
-    hot = hot_keys(df, keys).withColumn("_hot", F.lit(True))
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = (
-        table.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    hot = materialized(hot_keys(df, keys), "hot-keys")
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    spread = table.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    salts = F.when(missing, NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     return (
-        df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
+        df.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_by), salts).cast("int"))
         .join(spread, [*keys, "_salt"], how)
-        .drop("_salt", "_hot")
+        .drop("_salt", "_salts")
     )
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str], salt_by: str, salts: int = 32) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str], salt_by: str) -> DataFrame:
     """Left join to a table with one row per key.
 
-    A small table is broadcast, so ``df`` is not shuffled at all; a larger one is
-    joined with the hot keys of ``df`` salted by the column ``salt_by``.
+    A table that Spark knows to be small is broadcast, so ``df`` is not shuffled
+    at all; a larger one is joined with the hot keys of ``df`` salted by the
+    column ``salt_by``.
     """
     keys = _names(key)
     if fits_broadcast(table):
         return df.join(F.broadcast(table), keys, "left")
-    return _salted_join(df, table, keys, salt_by, "left", salts)
+    return _salted_join(df, table, keys, salt_by, "left")
 
 
-def without_known(
-    df: DataFrame, known: DataFrame, key: str | Sequence[str], salt_by: str | None = None, salts: int = 32
-) -> DataFrame:
+def without_known(df: DataFrame, known: DataFrame, key: str | Sequence[str], salt_by: str | None = None) -> DataFrame:
     """Rows whose key is not in ``known``.
 
-    Spark's skew join splits a hot key's rows over several tasks. Where the rows
-    of one key must be spread in any case, give ``salt_by``, a column that
-    differs between them.
+    Nothing stands between the shuffles and the join, so Spark's skew join can
+    split a hot key's rows over several tasks. Where the rows of one key must be
+    spread in any case, give ``salt_by``, a column that differs between them.
     """
     keys = _names(key)
-    wanted = known.select(*keys).distinct()
+    wanted = known.select(*keys)
     if salt_by is None:
         kept = df.join(wanted, keys, "left_anti")
     else:
-        kept = _salted_join(df, wanted, keys, salt_by, "left_anti", salts)
+        kept = _salted_join(df, wanted, keys, salt_by, "left_anti")
     return kept.select(*df.columns)
 
 
@@ -125,12 +153,19 @@ def running(
     """Running maximum of ``value`` per ``by`` in the order ``order, *ties``.
 
     ``order`` is an integer column and (by, order) holds few rows, as pages of a
-    site do. Rows are scanned inside blocks of ``block`` order values; one row per
-    block then carries the maximum of all earlier blocks into it. ``strict`` leaves
-    the current row out. The value may be a struct, so "last non-null" is the
-    maximum of (order, value).
+    site do. Rows are scanned inside blocks of about ``block`` rows; one row per
+    block then carries the maximum of all earlier blocks into it. A block is a range
+    of order values as wide as the key's rows are apart, so sparse values (ids,
+    timestamps) do not make a block of every row. ``strict`` leaves the current row
+    out. The value may be a struct, so "last non-null" is the maximum of (order, value).
     """
-    blocked = df.withColumn("_v", value).withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    ranges = df.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("_rows"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_high").cast("double") - F.col("_low") + 1) * block / F.col("_rows")))
+    place = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
+    blocked = (
+        join_marks(df, ranges.select(*by, "_low", width.alias("_width")), by, [])
+        .withColumn("_v", value).withColumn("_block", place)
+    )
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*by, "_block").agg(F.max("_v").alias("_m"))

@@ -42,9 +42,11 @@ def _upsert(
     sides of the outer join have unique keys and no key can be hot there.
     """
     replaced = [c for c in stored.columns if c not in (*keys, "created_at", "updated_at")]
+    # A row without an order comes before all others; max_by alone would leave it out.
+    place = F.struct(F.col(order).isNotNull(), F.col(order))
     latest = batch.groupBy(*keys).agg(
-        F.max_by(F.struct(*replaced), F.col(order)).alias("_new"),
-        F.min_by(F.coalesce("created_at", now), F.col(order)).alias("_created"),
+        F.max_by(F.struct(*replaced), place).alias("_new"),
+        F.min_by(F.coalesce("created_at", now), place).alias("_created"),
     )
     hit = F.col("_new").isNotNull()
 

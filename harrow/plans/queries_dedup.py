@@ -10,6 +10,7 @@ from harrow.operators import dedup, frontier
 from harrow.operators.dom import flat_links
 from harrow.operators.skew import without_known
 from harrow.plans import sql
+from harrow.session import materialized
 from harrow.plans.registry import Tables, query
 
 
@@ -53,7 +54,9 @@ def d3_picture_duplicates(t: Tables) -> DataFrame:
     again = pics.select(
         (F.col("seq") + 1000000).alias("seq"), F.when(F.col("seq") % 3 > 0, F.col("phash")).alias("phash")
     )
-    marked = dedup.picture_duplicates(pics.unionByName(again), "phash", "seq")
+    # The hash is computed once; the several passes read the written narrow table.
+    hashed = materialized(pics.unionByName(again), "picture-hashes")
+    marked = dedup.picture_duplicates(hashed, "phash", "seq")
     bits = F.lpad(F.conv("phash", 16, 2), 56, "0")
     return marked.select("seq", bits.alias("bits"), "is_duplicate")
 
@@ -107,7 +110,7 @@ WITH u AS (SELECT count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS
 SELECT n AS total_checked, n - d AS duplicates_found, d AS unique_images, (n - d) / n AS duplicate_rate FROM u""")
 def d6_dedup_statistics(t: Tables) -> DataFrame:
     checks = t.events.select("event_id", F.concat_ws("/", "user_id", "event_type").alias("url"))
-    return dedup.dedup_statistics(dedup.url_duplicates(checks, "url", "event_id"))
+    return dedup.url_statistics(checks, "url")
 
 
 @query(f"""WITH {_FILES}

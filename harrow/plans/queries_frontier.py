@@ -146,29 +146,29 @@ def w6_beyond_max(t: Tables) -> DataFrame:
 
 @query(f"""WITH {ENTRIES}, starts AS (SELECT site, max(page) // 2 AS start_page FROM counts GROUP BY 1)
 SELECT site, page, n_articles, n_new, start_page FROM counts JOIN starts USING (site)
-WHERE page >= start_page AND page < start_page + 25""")
+WHERE page >= start_page AND CASE WHEN CAST(replace(site, 'site', '') AS INTEGER) % 2 = 0
+  THEN page <= 25 ELSE page < start_page + 25 END""")
 def t3_page_limit(t: Tables) -> DataFrame:
     counts = _counts(t)
     starts = counts.groupBy("site").agg(F.floor(F.max("page") / 2).alias("start_page"))
-    return frontier.first_pages(counts.join(starts, "site"), 25)
+    # Sites of even number go on from a checkpoint, the others from a page that was asked for.
+    even = F.replace("site", F.lit("site"), F.lit("")).cast("int") % 2 == 0
+    return frontier.first_pages(counts.join(starts, "site"), 25, resumed=even)
 
 
 @query(f"""WITH {ENTRIES}
-SELECT DISTINCT site, article_id FROM entries WHERE event_type = 'view'
-UNION SELECT site, article_id FROM entries WHERE event_type = 'error'""")
+SELECT DISTINCT site, article_id FROM entries""")
 def u2_seen_union(t: Tables) -> DataFrame:
     ids = entries(t)
-    return frontier.seen_union(
-        ids.where("event_type = 'view'").select("site", "article_id"),
-        ids.where("event_type = 'error'").select("site", "article_id"),
-    )
+    old = F.col("event_type").isin("view", "error")
+    return frontier.seen_union(ids.where(old).select("site", "article_id"), ids.where(~old).select("site", "article_id"))
 
 
 @query("""
 WITH targets AS (SELECT DISTINCT 'site' || user_id % 50 AS site, event_type AS board FROM events),
-points AS (SELECT 'site' || user_id % 50 AS site, event_type AS board, CAST(max(event_id) % 40 AS INTEGER) AS current_page,
+points AS (SELECT CASE WHEN user_id % 3 = 1 THEN 'old' ELSE 'site' END || user_id % 50 AS site, event_type AS board, CAST(max(event_id) % 40 AS INTEGER) AS current_page,
   CASE WHEN max(event_id) % 4 = 0 THEN 'completed' WHEN max(event_id) % 4 = 1 THEN 'error' ELSE 'running' END AS status
-  FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+  FROM events GROUP BY 1, 2),
 j AS (SELECT t.site, t.board, p.site IS NOT NULL AND t.board <> 'click' AS usable, current_page, status
   FROM targets t LEFT JOIN points p ON p.site = t.site AND p.board = t.board)
 SELECT site, board,
@@ -182,7 +182,8 @@ def c6_resume_points(t: Tables) -> DataFrame:
     board = F.col("event_type").alias("board")
     last = F.max("event_id")
     targets = t.events.select(site, board).distinct()
-    checkpoints = t.events.where("event_id % 3 = 0").groupBy(site, board).agg(
+    stored = F.concat(F.when(F.col("user_id") % 3 == 1, "old").otherwise("site"), F.col("user_id") % 50).alias("site")
+    checkpoints = t.events.groupBy(stored, board).agg(
         (last % 40).cast("int").alias("current_page"),
         F.when(last % 4 == 0, "completed").when(last % 4 == 1, "error").otherwise("running").alias("status"),
     )

@@ -31,7 +31,7 @@ def shaped(df: DataFrame, schema: str, *extra: str) -> DataFrame:
 
 
 def _stored_threads(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderkey % 2 = 0").select(
+    rows = t.orders.select(
         F.col("o_orderkey").cast("string").alias("thread_id"),
         F.col("o_orderpriority").alias("title"),
         F.col("o_orderstatus").alias("board"),
@@ -43,8 +43,10 @@ def _stored_threads(t: Tables) -> DataFrame:
 
 
 def _thread_batch(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey % 3 = 0").select(
-        F.col("l_orderkey").cast("string").alias("thread_id"),
+    # A third of the threads is new, so the stored ones of these numbers stay as they are.
+    key = F.col("l_orderkey").cast("string")
+    rows = t.lineitem.select(
+        F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("n"), key)).otherwise(key).alias("thread_id"),
         F.concat(F.lit("part "), "l_partkey").alias("title"),
         F.col("l_returnflag").alias("board"),
         F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("images"),
@@ -56,13 +58,13 @@ def _thread_batch(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT CAST(l_orderkey AS VARCHAR) AS thread_id, l_partkey * 1000 + l_suppkey * 8 + l_linenumber AS seq,
+WITH b AS (SELECT CASE WHEN l_orderkey % 3 = 1 THEN 'n' ELSE '' END || l_orderkey AS thread_id, l_partkey * 1000 + l_suppkey * 8 + l_linenumber AS seq,
   'part ' || l_partkey AS title, l_returnflag AS board, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber
     WHEN l_linenumber % 2 = 0 THEN 2 ELSE 0 END AS image_count,
-  CASE WHEN l_linestatus = 'O' THEN l_shipdate ELSE TIMESTAMP '{_NOW}' END AS made FROM lineitem WHERE l_orderkey % 3 = 0),
+  CASE WHEN l_linestatus = 'O' THEN l_shipdate ELSE TIMESTAMP '{_NOW}' END AS made FROM lineitem),
 n AS (SELECT thread_id, max_by(title, seq) AS title, max_by(image_count, seq) AS image_count,
   min_by(made, seq) AS made FROM b GROUP BY 1),
-o AS (SELECT CAST(o_orderkey AS VARCHAR) AS thread_id, o_orderpriority AS title, 1 AS image_count, o_orderdate FROM orders WHERE o_orderkey % 2 = 0)
+o AS (SELECT CAST(o_orderkey AS VARCHAR) AS thread_id, o_orderpriority AS title, 1 AS image_count, o_orderdate FROM orders)
 SELECT coalesce(n.thread_id, o.thread_id) AS thread_id,
   CASE WHEN n.thread_id IS NOT NULL THEN n.title ELSE o.title END AS title,
   CASE WHEN n.thread_id IS NOT NULL THEN n.image_count ELSE o.image_count END AS image_count,
@@ -75,21 +77,24 @@ def c1_upsert_threads(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH o AS (SELECT d.doc_id, source, CAST(quality AS BOOLEAN) AS flag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0),
-n AS (SELECT d.doc_id, lang, coalesce(toxic = 0, false) AS flag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 = 0)
-SELECT CAST(coalesce(n.doc_id, o.doc_id) AS VARCHAR) AS article_id,
+WITH o AS (SELECT d.doc_id::VARCHAR AS doc_id, source, CAST(quality AS BOOLEAN) AS flag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+n AS (SELECT CASE WHEN d.doc_id % 3 = 1 THEN 'n' ELSE '' END || d.doc_id AS doc_id, lang, coalesce(toxic = 0, false) AS flag
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT coalesce(n.doc_id, o.doc_id) AS article_id,
   CASE WHEN n.doc_id IS NOT NULL THEN lang ELSE source END AS title,
   CASE WHEN n.doc_id IS NOT NULL THEN n.flag ELSE o.flag END AS images_downloaded,
   CASE WHEN o.doc_id IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '{_NOW}' END AS created_at
 FROM n FULL OUTER JOIN o ON n.doc_id = o.doc_id""")
 def c2_upsert_articles(t: Tables) -> DataFrame:
     labelled = t.documents.join(t.labels, "doc_id", "left").withColumn("article_id", F.col("doc_id").cast("string"))
-    stored = labelled.where("doc_id % 2 = 0").select(
+    stored = labelled.select(
         "article_id", F.col("source").alias("title"), F.col("quality").cast("boolean").alias("images_downloaded"),
         F.lit("2024-01-01").alias("created_at"),
     )
-    batch = labelled.where("doc_id % 3 = 0").select(
-        "article_id", F.col("lang").alias("title"), (F.col("toxic") == 0).alias("images_downloaded"), "doc_id"
+    # A third of the articles is new.
+    named = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("n"), "article_id")).otherwise(F.col("article_id"))
+    batch = labelled.select(
+        named.alias("article_id"), F.col("lang").alias("title"), (F.col("toxic") == 0).alias("images_downloaded"), "doc_id"
     )
     merged = state.upsert_articles(
         shaped(stored, state.ARTICLES), shaped(batch, state.ARTICLES, "doc_id"), now(), "doc_id"
@@ -131,7 +136,9 @@ def _checkpoint_batch(t: Tables) -> DataFrame:
 
 
 def _stored_checkpoints(t: Tables) -> DataFrame:
-    rows = _site(t).where("user_id < 20").groupBy("site", "board").agg(
+    # Two sites in five are still there, the others have been given up.
+    gone = F.when(F.col("user_id") % 50 < 20, F.col("site")).otherwise(F.concat(F.lit("old-"), "site"))
+    rows = _site(t).withColumn("site", gone).groupBy("site", "board").agg(
         F.min("event_id").alias("last_thread_id"), F.lit("running").alias("status"), F.lit(0).alias("current_page"),
         F.create_map(F.lit("error_count"), F.lit(2)).alias("stats"), F.lit("old").alias("last_error"),
         F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-02").alias("updated_at"),
@@ -140,25 +147,28 @@ def _stored_checkpoints(t: Tables) -> DataFrame:
 
 
 _SITE = "'site' || user_id % 50 AS site, event_type AS board"
+_STORED = """SELECT CASE WHEN user_id % 50 < 20 THEN 'site' ELSE 'old-site' END || user_id % 50 AS site, event_type AS board, min(event_id) AS e
+  FROM events GROUP BY 1, 2"""
 
 
 @query(f"""
-WITH o AS (SELECT DISTINCT {_SITE} FROM events WHERE user_id < 20),
-n AS (SELECT {_SITE}, max(event_id) AS e FROM events GROUP BY 1, 2)
-SELECT n.site, n.board, CAST(CASE WHEN e % 7 = 0 THEN 1 ELSE e % 90 END AS INTEGER) AS current_page, CAST(e AS VARCHAR) AS last_thread_id,
-  CASE WHEN e % 5 = 0 THEN 'running' ELSE 'error' END AS status, e AS crawled,
+WITH o AS ({_STORED}), n AS (SELECT {_SITE}, max(event_id) AS e FROM events GROUP BY 1, 2)
+SELECT n.site, n.board, CAST(CASE WHEN n.e % 7 = 0 THEN 1 ELSE n.e % 90 END AS INTEGER) AS current_page, CAST(n.e AS VARCHAR) AS last_thread_id,
+  CASE WHEN n.e % 5 = 0 THEN 'running' ELSE 'error' END AS status, n.e AS crawled,
   CASE WHEN o.site IS NULL THEN TIMESTAMP '{_NOW}' ELSE TIMESTAMP '2024-01-01' END AS created_at, TIMESTAMP '{_NOW}' AS updated_at
-FROM n LEFT JOIN o ON o.site = n.site AND o.board = n.board""")
+FROM n LEFT JOIN o ON o.site = n.site AND o.board = n.board
+UNION ALL SELECT site, board, 0, CAST(e AS VARCHAR), 'running', NULL, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02'
+FROM o WHERE site LIKE 'old%'""")
 def c4_save_checkpoints(t: Tables) -> DataFrame:
     saved = state.save_checkpoints(_stored_checkpoints(t), _checkpoint_batch(t), now())
     return saved.select(
         "site", "board", "current_page", "last_thread_id", "status",
-        F.element_at("stats", "crawled_count").alias("crawled"), "created_at", "updated_at",
+        F.try_element_at("stats", F.lit("crawled_count")).alias("crawled"), "created_at", "updated_at",
     )
 
 
 @query(f"""
-SELECT DISTINCT {_SITE}, 1 AS current_page, 'running' AS status FROM events WHERE user_id < 20 AND event_type <> 'click'""")
+SELECT site, board, 1 AS current_page, 'running' AS status FROM ({_STORED}) WHERE board <> 'click' OR site LIKE 'old%'""")
 def c4_load_checkpoints(t: Tables) -> DataFrame:
     stored = _stored_checkpoints(t)
     left = state.delete_checkpoints(stored, _site(t).where("event_type = 'click'").select("site", "board"))
@@ -166,9 +176,9 @@ def c4_load_checkpoints(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT DISTINCT {_SITE} FROM events WHERE event_id % 2 = 0 INTERSECT SELECT DISTINCT {_SITE} FROM events WHERE user_id < 20""")
+SELECT DISTINCT {_SITE} FROM events INTERSECT SELECT site, board FROM ({_STORED})""")
 def c4_existing_checkpoints(t: Tables) -> DataFrame:
-    targets = _site(t).where("event_id % 2 = 0").select("site", "board").distinct()
+    targets = _site(t).select("site", "board").distinct()
     return state.existing_checkpoints(targets, _stored_checkpoints(t))
 
 
@@ -179,11 +189,12 @@ agg AS (SELECT ev.site, ev.board, max_by(kind, event_id) AS status, max(cut) AS
     count(*) FILTER (kind = 'error' AND (cut IS NULL OR event_id > cut)) AS errors,
     max(event_id) FILTER (kind = 'error' AND (cut IS NULL OR event_id > cut)) AS last
   FROM ev JOIN cut ON cut.site = ev.site AND cut.board = ev.board GROUP BY 1, 2),
-o AS (SELECT DISTINCT {_SITE} FROM events WHERE user_id < 20)
+o AS ({_STORED})
 SELECT o.site, o.board, status, CASE WHEN cut IS NULL THEN 2 + errors WHEN errors > 0 THEN errors END AS error_count,
   cut AS total_crawled, CASE WHEN errors > 0 THEN 'e' || last WHEN cut IS NULL THEN 'old' END AS last_error,
   TIMESTAMP '{_NOW}' AS updated_at
-FROM o JOIN agg ON agg.site = o.site AND agg.board = o.board""")
+FROM o JOIN agg ON agg.site = o.site AND agg.board = o.board
+UNION ALL SELECT site, board, 'running', 2, NULL, 'old', TIMESTAMP '2024-01-02' FROM o WHERE site LIKE 'old%'""")
 def c5_transitions(t: Tables) -> DataFrame:
     event = F.col("event_id")
     happened = _site(t).select(

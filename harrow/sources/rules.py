@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions import urls as U
-from harrow.functions.selectors import selector_steps
+from harrow.functions.selectors import selector_steps, unsupported_selector
 from harrow.functions.text import blank_to_null
 from harrow.operators.skew import lookup
 
@@ -192,7 +192,9 @@ def forum_presets(spark: SparkSession) -> DataFrame:
     """One row per known forum system."""
     names = [f.split()[0] for f in _PRESET_SCHEMA.split(", ")]
     rows = [tuple({**DEFAULTS, **p}.get(n) for n in names) for p in PRESETS]
-    return spark.createDataFrame(rows, _PRESET_SCHEMA)
+    types = [f.split()[1] for f in _PRESET_SCHEMA.split(", ")]
+    literal = [F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*literal)).alias("p")).select("p.*")
 
 
 def with_presets(sites: DataFrame) -> DataFrame:
@@ -210,13 +212,36 @@ def with_presets(sites: DataFrame) -> DataFrame:
 SELECTOR_COLUMNS = ["thread_list_selector", "thread_link_selector", "image_selector", "next_page_selector"]
 
 
+def bad_selectors(rules: DataFrame) -> DataFrame:
+    """Selectors that cannot be used, with the reason; a site listed here would find nothing by them."""
+    every = F.array(*[F.struct(F.lit(c).alias("setting"), F.col(c).alias("selector")) for c in SELECTOR_COLUMNS])
+    return (
+        rules.select("site", F.explode(every).alias("s")).select("site", "s.*")
+        .withColumn("reason", unsupported_selector(F.col("selector"))).where("reason IS NOT NULL")
+    )
+
+
+def one_per_host(rules: DataFrame) -> DataFrame:
+    """The first site, by name, of every host; two settings files of a host must not double its pages."""
+    host = U.site_key(F.col("base_url"))
+    named = "site" if "site" in rules.columns else "base_url"
+    firsts = rules.groupBy(host.alias("_host")).agg(F.min_by(F.struct(*rules.columns), F.struct(named, "base_url")).alias("_r"))
+    return firsts.select("_r.*")
+
+
+def repeated_hosts(rules: DataFrame) -> DataFrame:
+    """Hosts with more than one settings file, and the sites that share it."""
+    return rules.groupBy(U.site_key(F.col("base_url")).alias("host")).agg(
+        F.array_sort(F.collect_list("site")).alias("sites")).where(F.size("sites") > 1)
+
+
 def with_site_rules(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Attach to every page the rules of its site as structured steps.
 
     Done before the pages are parsed. Few rules are broadcast and the pages stay
     where they are; with very many, the pages of a hot host are spread by id.
     """
-    steps = rules.select(
+    steps = one_per_host(rules).select(
         U.site_key(F.col("base_url")).alias("host"),
         "forum_type",
         "base_url",
@@ -258,3 +283,13 @@ def sites_to_crawl(
         if choice is not None:
             return choice
     raise ValueError("give configured rules, a preset or detected rules")
+
+
+def rules_by_precedence(configured: DataFrame, preset: DataFrame, detected: DataFrame, key: str = "site") -> DataFrame:
+    """X2 for every site: given rules win over a preset, a preset over detection."""
+    ranked = configured.withColumn("_place", F.lit(0))
+    for place, more in enumerate((preset, detected), 1):
+        ranked = ranked.unionByName(more.withColumn("_place", F.lit(place)), allowMissingColumns=True)
+    values = [c for c in ranked.columns if c not in (key, "_place")]
+    best = ranked.groupBy(key).agg(F.min_by(F.struct(*values), "_place").alias("_r"))
+    return best.select(key, "_r.*")

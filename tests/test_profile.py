@@ -30,7 +30,7 @@ def lists(system):
 
 
 def test_known_list_rules(spark):
-    html = "<table>" + "".join(f'<tbody id="{i}"></tbody>' for i in ("normalthread_1", "normalthread_2", "stickthread_1")) + "</table>"
+    html = "<table>" + "".join(f'<tbody id="{i}"></tbody>' for i in ("stickthread_44", "normalthread_810", "normalthread_811")) + "</table>"
     assert candidate(spark, html, lists("discuz")) == ("tbody[id^='normalthread'], tbody[id^='stickthread']", 3 / 20)
     assert candidate(spark, '<li class="row a"></li>' * 3, lists("phpbb")) == ("li.row", 3 / 20)
     assert candidate(spark, "<p></p>", lists("discuz")) == ("", 0.0)
