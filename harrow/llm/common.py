@@ -22,7 +22,13 @@ def residue(doc_id: str, modulus: int) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` whose worker gives memory back as soon as Arrow frees it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def kept(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:

@@ -42,10 +42,10 @@ CLASSES = 1 << CLASS_BITS
 END = CLASSES
 SEGMENT = 1024
 # Bytes of text in a block, and in the part of it that is taken apart at once.
-BLOCK_BYTES = 24 << 20
-STEP_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
+STEP_BYTES = 3 << 20
 # Tokens of the sequences that are run through together.
-LANES_TOKENS = 1 << 19
+LANES_TOKENS = 1 << 18
 # Fixed-point places of expected counts.
 SCALE = 1 << 10
 ADDED = 0.1
@@ -79,6 +79,7 @@ def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_byte
         held.clear()
         spelled = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(letters))
         coded = spelled.dictionary_encode()
+        del letters, starts, spelled
         tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         n = len(coded.dictionary)
         first = np.zeros(n, np.int64)
@@ -279,8 +280,8 @@ def block_expected(block: Block, model: Model) -> np.ndarray:
     return total
 
 
-def baum_welch_round(corpus: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One round over all blocks; ``share`` smooths the emissions."""
+def baum_welch_round(corpus: DataFrame, model: Model, added: np.ndarray) -> Model:
+    """One round over all blocks; ``added`` is added to each state's count of each class."""
     states = len(model.first)
     spark = corpus.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -305,7 +306,7 @@ def baum_welch_round(corpus: DataFrame, model: Model, share: np.ndarray) -> Mode
         total[r[0]] = r[1:]
     shared.destroy()
     total /= SCALE
-    emit = total[: CLASSES + 1] + share[:, None]
+    emit = total[: CLASSES + 1] + added[:, None]
     return Model(
         _even(total[CLASSES + 1] + 1 / states), _even(total[CLASSES + 2] + 1 / states),
         np.stack([_even(x + 1 / states) for x in total[CLASSES + 3:]]), emit / emit.sum(axis=0),
@@ -355,7 +356,7 @@ def score_documents(
 
     model = initial(states, share)
     for _ in range(rounds if n_docs else 0):
-        model = baum_welch_round(corpus, model, share)
+        model = baum_welch_round(corpus, model, ADDED * (different + 1) / states)
     shared = docs.sparkSession.sparkContext.broadcast((model, size))
     unit = n + ADDED * (v + 1)
     end_base = np.log10((n_docs + ADDED) / unit)
