@@ -313,21 +313,21 @@ def _cover(spans: Column) -> Column:
     before. The blocks are cut out once: each ``slice`` copies the whole array.
     """
 
-    def prepared(ss: Column) -> Column:
-        ends = F.transform(ss, lambda s: s["hi"])
-        blocks = F.sequence(F.lit(0), F.floor((F.size(ss) - 1) / COVER_BLOCK).cast("int"))
-        chunks = let(ends, lambda e: F.transform(blocks, lambda b: F.slice(e, b * COVER_BLOCK + 1, F.lit(COVER_BLOCK))))
-        tops = let(chunks, lambda c: F.transform(c, lambda x: F.array_max(x)))
-        before = let(tops, lambda t: F.transform(t, lambda _, b: F.array_max(F.slice(t, F.lit(1), b))))
-        reach = let(F.struct(chunks.alias("chunks"), before.alias("before")), lambda x: F.flatten(F.transform(
-            x["chunks"], lambda c, b: F.transform(c, lambda _, i: F.greatest(F.get(x["before"], b), F.array_max(F.slice(c, F.lit(1), i + 1)))))))
+    def prepared(x: Column) -> Column:
+        before = F.transform(x["tops"], lambda _, b: F.array_max(F.slice(x["tops"], F.lit(1), b)))
+        reach = F.flatten(F.zip_with(x["chunks"], before, lambda c, top: F.transform(
+            c, lambda _, i: F.greatest(top, F.array_max(F.slice(c, F.lit(1), i + 1))))))
         return F.struct(
-            F.transform(ss, lambda s: s["lo"]).alias("lo"),
-            F.when(F.size(ss) > 0, reach).otherwise(F.array().cast("array<int>")).alias("reach"),
-            F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda w: w <= F.size(ss)).alias("powers"),
+            x["los"].alias("lo"), reach.alias("reach"),
+            F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda w: w <= F.size(x["los"])).alias("powers"),
         )
 
-    return let(spans, prepared)
+    def cut(ss: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ss) - 1) / COVER_BLOCK).cast("int")))
+        chunks = F.transform(blocks, lambda b: F.transform(F.slice(ss, b * COVER_BLOCK + 1, F.lit(COVER_BLOCK)), lambda s: s["hi"]))
+        return F.struct(F.transform(ss, lambda s: s["lo"]).alias("los"), chunks.alias("chunks"), F.transform(chunks, F.array_max).alias("tops"))
+
+    return let(let(spans, cut), prepared)
 
 
 def _inside(e: Column, cover: Column) -> Column:

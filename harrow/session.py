@@ -17,6 +17,8 @@ REQUIRED_CONF = {
     # alone must not stand in for it.
     "spark.sql.requireAllClusterKeysForCoPartition": "true",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # Selector rules nest functions of functions, and each level takes the analyzer a round.
+    "spark.sql.analyzer.maxIterations": "400",
     # Stream state on local disk and in checkpoints, not on the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
