@@ -4,7 +4,8 @@ A document longer than a sequence is cut into pieces of full length; the first
 piece takes the rest. Full pieces are sequences of their own. Every task packs
 its other pieces by best fit, longest first, into bins. Nearly full bins are
 done. Of the rest, the emptiest ones go up a tree: bins of ``fan_in`` nodes
-meet and are packed as items, round after round, until one node is left.
+meet and are packed as items, round after round, until one node is left. A task
+with few pieces sends those of its underfull bins up one by one.
 
 How many bins go up needs a bound, and a small one loses nothing: best fit
 leaves at most one bin of a node at most half full, and two bins over half
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.common import STEP_BYTES, arrow_map, kept, steps
-from harrow.llm.encoding import Encoder
+from harrow.llm.encoding import shared_encoder
 
 # Pieces, and ids of them, that a task holds before it packs them.
 POOL_PIECES = 1 << 17
@@ -102,6 +103,12 @@ def packed_locally(
         bins[whole] = len(fills) + np.arange(len(whole))
         fills = np.concatenate((fills, np.full(len(whole), capacity, np.int64)))
         up = going_up(fills, capacity, slack, forward)
+        loose = np.flatnonzero(up[bins])
+        if len(loose) <= forward:
+            # So few pieces go up one by one, and the next node packs them anew.
+            bins[loose], places[loose] = len(fills) + np.arange(len(loose)), 0
+            fills = np.concatenate((fills, lengths[loose]))
+            up = np.concatenate((np.zeros(len(up), bool), np.ones(len(loose), bool)))
         arrays = {
             "doc_id": pa.concat_arrays([x["doc_id"] for x in pool]),
             "piece": pa.array(columns["piece"].astype(np.int32)),
@@ -117,7 +124,7 @@ def packed_locally(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(vocabulary)
+        part, encoder = TaskContext.get().partitionId(), shared_encoder(vocabulary)
         pool, n_pieces, n_ids, n_bins = [], 0, 0, 0
         for step in steps(batches, "text", step_bytes):
             ids, at = encoder.encode(step.column("text"))
