@@ -21,7 +21,7 @@ from harrow.llm.common import ragged, text_bytes
 # Parts joined into one text for the library, whose cost per call would prevail otherwise.
 JOINED = 4_096
 # Distinct parts whose ids are remembered from step to step.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,8 +80,8 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def _encode(self, parts: pa.Array) -> None:
-        """Add the ids of parts that are not known yet.
+    def _encode(self, parts: pa.Array) -> np.ndarray:
+        """Add the ids of parts that are not known yet; returns the place of each.
 
         Parts that begin with white space and end with none stay apart when
         put together; the bytes of the ids tell where each of them ends.
@@ -106,7 +106,10 @@ class Encoder:
         stops = np.searchsorted(reached, ends, side="right")
         self.starts = np.concatenate((self.starts, len(self.ids) + stops))
         self.ids = np.concatenate((self.ids, new))
+        place = np.empty(len(order), np.int64)
+        place[order] = len(self.known) + np.arange(len(order))
         self.known = pa.concat_arrays([self.known, parts])
+        return place
 
     def _parts(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Known part at each place of the texts, and the first place of each text."""
@@ -125,10 +128,10 @@ class Encoder:
         coded = parts.dictionary_encode()
         if len(self.known) > REMEMBERED:
             self._clear()
-        new = coded.dictionary.filter(pc.invert(pc.is_in(coded.dictionary, value_set=self.known)))
-        if len(new):
-            self._encode(new)
-        place = pc.index_in(coded.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        place = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            place[place < 0] = self._encode(coded.dictionary.filter(pc.is_null(found)))
         return place[coded.indices.to_numpy(zero_copy_only=False)], texts
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -143,3 +146,15 @@ class Encoder:
         places, texts = self._parts(column)
         ends = np.concatenate(([0], np.cumsum(np.diff(self.starts)[places])))[texts]
         return np.diff(ends)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which outlives a task with all that it remembers."""
+    import harrow.llm.encoding as own  # a function sent to a worker has globals of its own
+
+    if path not in own._encoders:
+        own._encoders[path] = own.Encoder(path)
+    return own._encoders[path]

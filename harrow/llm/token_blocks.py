@@ -11,7 +11,7 @@ File format (little endian). A file holds the ids of whole documents:
     index      for each block: byte position u64, minimum u32, exceptions u16, width u8, 0 u8
 
 ``width`` is the number of bits that a percentile of the block's differences
-needs. The index gives any block without reading the ones before it.
+needs, the one of a few percentiles that makes the block smallest. The index gives any block without reading the ones before it.
 
 Documents are dealt by ranges of (doc_id, hash of the text), so files follow
 one another in ascending doc_id order; a file is written under a name of its
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import STEP_BYTES, arrow_map, kept, load_bytes, save_bytes, steps
-from harrow.llm.encoding import Encoder
+from harrow.llm.encoding import shared_encoder
 from harrow.session import shared_dir
 
 MAGIC = b"PFORIDS1"
@@ -83,8 +83,15 @@ def unpack(words: np.ndarray, width: int) -> np.ndarray:
     return values.reshape(len(words), BLOCK)
 
 
-def encode_blocks(ids: np.ndarray, percentile: float = 0.95) -> tuple[list[bytes], np.ndarray]:
-    """The bytes of each block and the index, whose positions count from 0."""
+# Percentiles of a block's differences whose widths are tried.
+PERCENTILES = (0.85, 0.92, 0.97, 1.0)
+
+
+def encode_blocks(ids: np.ndarray, percentiles: tuple[float, ...] = PERCENTILES) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each block and the index, whose positions count from 0.
+
+    A block's width is that of the percentile that makes the block smallest.
+    """
     n = -(-len(ids) // BLOCK)
     values = np.zeros(n * BLOCK, np.uint32)
     values[: len(ids)] = ids
@@ -96,9 +103,15 @@ def encode_blocks(ids: np.ndarray, percentile: float = 0.95) -> tuple[list[bytes
         return [], index
     index["minimum"] = values.min(axis=1)
     values = values - index["minimum"][:, None]
-    k = int(percentile * (BLOCK - 1))
-    index["width"] = _bits(np.partition(values, k, axis=1)[:, k])
-    over = (values >> np.minimum(index["width"], 31)[:, None].astype(np.uint32) != 0) & (index["width"] < 32)[:, None]
+    places = sorted({int(p * (BLOCK - 1)) for p in percentiles})
+    widths = np.stack([_bits(x) for x in np.partition(values, places, axis=1)[:, places].T])
+
+    def beyond(width: np.ndarray) -> np.ndarray:
+        return (values >> np.minimum(width, 31)[:, None].astype(np.uint32) != 0) & (width < 32)[:, None]
+
+    sizes = np.stack([w * (LANES * 4) + 6 * beyond(w).sum(axis=1) for w in widths])
+    index["width"] = widths[sizes.argmin(axis=0), np.arange(n)]
+    over = beyond(index["width"].astype(np.int64))
     index["exceptions"] = over.sum(axis=1)
     block, place = np.nonzero(over)
     patch, place = values[block, place], place.astype("<u2")
@@ -136,9 +149,9 @@ def decode_blocks(data: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 # --- files --------------------------------------------------------------
 
-def file_bytes(ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, percentile: float = 0.95) -> bytes:
+def file_bytes(ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, percentiles: tuple[float, ...] = PERCENTILES) -> bytes:
     """One file; ``doc_ids`` may hold NULL."""
-    payload, index = encode_blocks(ids, percentile)
+    payload, index = encode_blocks(ids, percentiles)
     index["at"] += HEADER_SIZE
     table_at = HEADER_SIZE + sum(map(len, payload))
     nulls = np.asarray(doc_ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
@@ -174,7 +187,7 @@ class BlockFile:
 # --- corpora ------------------------------------------------------------
 
 def write_blocks(
-    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 0, percentile: float = 0.95,
+    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 0, percentiles: tuple[float, ...] = PERCENTILES,
     doc_id: str = "doc_id", text: str = "text", step_bytes: int = STEP_BYTES,
 ) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; returns the manifest.
@@ -188,7 +201,7 @@ def write_blocks(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(vocabulary)
+        part, encoder = TaskContext.get().partitionId(), shared_encoder(vocabulary)
         for number, step in enumerate(steps(batches, "text", step_bytes)):
             ids, at = encoder.encode(step.column("text"))
             n = len(at) - 1
@@ -197,7 +210,7 @@ def write_blocks(
             inside[at[1:] + np.arange(n)] = False
             full[inside] = ids
             path = f"{folder}/part-{part:06d}-{number:06d}.ids"
-            save_bytes(path, file_bytes(full, step.column("doc_id").combine_chunks(), np.diff(at) + 1, percentile))
+            save_bytes(path, file_bytes(full, step.column("doc_id").combine_chunks(), np.diff(at) + 1, percentiles))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([path]),
                  pa.array([len(full)], pa.int64()), pa.array([n], pa.int64())],

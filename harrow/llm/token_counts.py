@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.common import STEP_BYTES, arrow_map, byte_lengths, steps, text_bytes
-from harrow.llm.encoding import Encoder, safe_boundaries
+from harrow.llm.encoding import safe_boundaries, shared_encoder
 
 
 class _Pieces:
@@ -37,10 +37,10 @@ class _Pieces:
 
 def library(path: str):
     """The encoder for a vocabulary file: sentencepiece for ``.model``, else tokenizers."""
-    return _Pieces(path) if path.endswith(".model") else Encoder(path)
+    return _Pieces(path) if path.endswith(".model") else shared_encoder(path)
 
 
-def long_length(encoder: Encoder, text: pa.ChunkedArray, limit: int) -> int:
+def long_length(encoder, text: pa.ChunkedArray, limit: int) -> int:
     """Tokens of one long text, encoded in pieces of about ``limit`` bytes."""
     data, _ = text_bytes(text)
     places = np.sort(safe_boundaries(data))
@@ -68,7 +68,7 @@ def token_counts(
         for step in steps(batches, "text", step_bytes):
             column = step.column("text")
             n_bytes = np.concatenate([byte_lengths(c) for c in column.chunks])
-            if len(column) == 1 and n_bytes[0] > step_bytes and isinstance(encoder, Encoder):
+            if len(column) == 1 and n_bytes[0] > step_bytes and not isinstance(encoder, _Pieces):
                 n_tokens = np.array([long_length(encoder, column, step_bytes)])
             else:
                 n_tokens = encoder.lengths(column)
