@@ -3,11 +3,11 @@
 Each rule's regular expression gives a Boolean query over trigrams: sets of
 lower-case trigrams, one of which any matching text must contain whole. The
 index has postings (trigram, key) for the trigrams that the rules name, the key
-being a hash of the text, so equal texts share one entry. Postings are
-intersected by counting, for each key, the trigrams of a set; only texts that
-pass are searched with that rule's expression. A rule without a mandatory
-trigram searches every text. A key that two texts share by chance only adds a
-candidate.
+being a hash of the id and the text, so a group of copies spreads over all
+tasks. Postings are intersected by counting, for each key, the trigrams of a
+set; only texts that pass are searched with that rule's expression. A rule
+without a mandatory trigram searches every text. A key that two texts share by
+chance only adds a candidate.
 
 Positions come from the lengths of the matches and of what lies between them.
 
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.text import let
 from harrow.llm.common import carried, kept
 
 # Strings that stand for a part of an expression, at most.
@@ -157,10 +158,6 @@ def trigram_query(pattern: str) -> Query:
 
 # --- index and candidates -----------------------------------------------
 
-def key_of(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, key) for each of the trigrams that a text contains; ``texts`` has key and text."""
     low = texts.select("key", F.lower("text").alias("low"))
@@ -185,13 +182,15 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 # --- spans --------------------------------------------------------------
 
 def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """For each value, all values before it combined; totals of TOTALS values are taken first."""
+    """For each value, all values before it combined; totals of TOTALS values are taken first.
+
+    The chunks are cut out once, as each ``slice`` copies the whole array.
+    """
     fold = lambda a: F.aggregate(a, zero, combine)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / TOTALS).cast("int")), lambda b: fold(F.slice(values, b * TOTALS + 1, F.lit(TOTALS))))
-    upto = F.transform(chunks, lambda x, b: fold(F.slice(chunks, F.lit(1), b)))
-    block = lambda i: F.floor(i / TOTALS).cast("int")
-    return F.transform(values, lambda x, i: combine(
-        F.get(upto, block(i)), fold(F.slice(values, block(i) * TOTALS + 1, i - block(i) * TOTALS))))
+    places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / TOTALS).cast("int"))
+    chunks = let(values, lambda v: F.transform(places, lambda b: F.slice(v, b * TOTALS + 1, F.lit(TOTALS))))
+    return let(chunks, lambda cs: let(F.transform(cs, fold), lambda sums: F.flatten(F.transform(cs, lambda c, b: let(
+        fold(F.slice(sums, F.lit(1), b)), lambda earlier: F.transform(c, lambda x, i: combine(earlier, fold(F.slice(c, F.lit(1), i)))))))))
 
 
 NO_SPANS = "CAST(array() AS array<struct<start:int,place:int,kind:string,end:int>>)"
@@ -245,7 +244,8 @@ def scan(
     everywhere = {k for k, q in queries.items() if q == ANYTHING}
     indexed = {k: q for k, q in queries.items() if k not in everywhere}
     rows, _ = carried(docs, doc_id, text, with_row)
-    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key_of(F.col("text")))
+    own_id = F.col(f"row.`{doc_id}`" if with_row else "row.doc_id")
+    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64(own_id, "text"))
     if not indexed:
         found = with_spans(rows, rules, lambda r: F.lit(True))
     else:
