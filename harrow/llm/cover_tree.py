@@ -9,7 +9,7 @@ within the radius of a centre, and a node's own centre is its first child's.
 For two nodes with centres q, r and radii s, t no inner product exceeds
 q.r + s|r| + t|q| + st. A first round searches each query group in the nodes of
 its own cell, which gives its worst kth score; a second round searches the
-other nodes that may still beat it. Within a pair of nodes the two trees are
+other nodes that may still beat it, with that score to begin from. Within a pair of nodes the two trees are
 descended together with the same bound. Scores are integers and exact.
 
 A cell, however many equal vectors it holds, is cut by a hash of the row, so a
@@ -106,10 +106,13 @@ class Vectors:
         return cls(ids, points if bound < 2.0 ** 53 else ints.astype(object), points)
 
 
-def search(queries: Vectors, data: Vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, data number, score) of the k best of every query, other ids only."""
+def search(queries: Vectors, data: Vectors, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, data number, score) of the k best of every query, other ids only.
+
+    ``least``: scores below it are not wanted, where better ones are known.
+    """
     best: list[list[tuple]] = [[] for _ in queries.ids]  # (-score, id, number), in order
-    worst = np.full(len(queries.ids), -np.inf)
+    worst = np.full(len(queries.ids), -np.inf) if least is None else least.copy()
 
     def bound(q: Node, r: Node) -> float:
         top = float(q.centre @ r.centre) + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius
@@ -127,7 +130,7 @@ def search(queries: Vectors, data: Vectors, k: int) -> tuple[np.ndarray, np.ndar
             own.sort()
             best[row] = own[:k]
             if len(own) >= k:
-                worst[row] = float(-best[row][-1][0])
+                worst[row] = max(worst[row], float(-best[row][-1][0]))
 
     def descend(q: Node, r: Node) -> None:
         if bound(q, r) < worst[q.rows].min():
@@ -150,9 +153,9 @@ def search(queries: Vectors, data: Vectors, k: int) -> tuple[np.ndarray, np.ndar
 
 # --- tables -------------------------------------------------------------
 
-def _matrix(column: pa.Array | pd.Series, size: int) -> np.ndarray:
-    values = np.concatenate(column.to_list()) if len(column) else np.zeros(0, np.int64)
-    return values.reshape(len(column), size).astype(np.int64)
+def _matrix(column: pd.Series, size: int) -> np.ndarray:
+    """Rows of little-endian integers."""
+    return np.frombuffer(b"".join(column), "<i8").reshape(len(column), size).astype(np.int64)
 
 
 def _bound(*matrices: np.ndarray) -> float:
@@ -162,12 +165,16 @@ def _bound(*matrices: np.ndarray) -> float:
 
 
 def _assigned(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Add the nearest pivot of the same number of components, and the distance to it."""
+    """(vec_id, packed, size, query, cell, away): integers as bytes, nearest pivot of that size and the distance to it."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
+            flat = batch.column("ints").flatten().to_numpy().astype("<i8")
+            starts = np.cumsum(sizes) - sizes
+            view = memoryview(np.ascontiguousarray(flat)).cast("B") if len(flat) else b""
+            packed = [bytes(view[8 * a: 8 * (a + n)]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
             cell, away = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
             for size in np.unique(sizes):
                 centres = shared.value.get(int(size))
@@ -175,14 +182,15 @@ def _assigned(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     centres = np.zeros((1, int(size)))
                 at = np.flatnonzero(sizes == size)
                 for some in np.array_split(at, -(-len(at) // 1024)):
-                    own = _matrix(batch.column("ints").take(pa.array(some)).to_pandas(), int(size)).astype(np.float64)
+                    own = flat[(starts[some][:, None] + np.arange(size)).reshape(-1)].reshape(len(some), int(size)).astype(np.float64)
                     squares = np.stack([((own - c) ** 2).sum(axis=1) for c in centres], axis=1)
                     cell[some] = squares.argmin(axis=1)
                     away[some] = np.sqrt(squares.min(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), pa.array(packed, pa.binary()), batch.column("size"), batch.column("query"), pa.array(cell), pa.array(away)],
+                ["vec_id", "packed", "size", "query", "cell", "away"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return arrow_map(vectors, assign, f"{schema}, cell int, away double")
+    return arrow_map(vectors, assign, "vec_id long, packed binary, size int, query boolean, cell int, away double")
 
 
 def _pivots(vectors: DataFrame, rows: int, node_rows: int) -> dict[int, np.ndarray]:
@@ -200,24 +208,28 @@ def _pivots(vectors: DataFrame, rows: int, node_rows: int) -> dict[int, np.ndarr
 RESULT = "query_id long, vec_id long, score long"
 
 
-def _searched(pairs: DataFrame, data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of every query of each pair (qnode, dnode) within that pair."""
-    left = data.select("dnode", "vec_id", "ints", "size").join(pairs, "dnode")
-    right = queries.select("qnode", F.col("vec_id").alias("q_id"), F.col("ints").alias("q_ints"), F.col("size").alias("q_size")).join(
-        pairs.select(F.col("qnode"), F.col("dnode").alias("q_dnode")), "qnode").withColumnRenamed("qnode", "q_node")
+def _searched(pairs: DataFrame, data: DataFrame, queries: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The k best of every query of each pair (qnode, dnode) within that pair.
+
+    Query groups come in ``blocks`` blocks, so a node's rows are sent once for each block.
+    """
+    block = F.pmod(F.xxhash64("qnode"), F.lit(blocks)).cast("int")
+    left = data.select("dnode", "vec_id", "packed").join(pairs.select("dnode", block.alias("block")).distinct(), "dnode")
+    right = queries.select("qnode", F.col("vec_id").alias("q_id"), F.col("packed").alias("q_packed"), F.col("size").alias("q_size"), "kth").join(
+        pairs.select("qnode", F.col("dnode").alias("q_dnode"), block.alias("q_block")), "qnode")
 
     def both(data_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(data_rows) or not len(query_rows):
             return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in RESULT.split(", ")})
         size = int(query_rows["q_size"].iloc[0])
-        d, q = _matrix(data_rows["ints"], size), _matrix(query_rows["q_ints"], size)
+        d, q = _matrix(data_rows["packed"], size), _matrix(query_rows["q_packed"], size)
         bound = _bound(d, q)
         own = Vectors.of(query_rows["q_id"].to_numpy(), q, bound)
         others = Vectors.of(data_rows["vec_id"].to_numpy(), d, bound)
-        i, j, score = search(own, others, k)
+        i, j, score = search(own, others, k, query_rows["kth"].to_numpy(np.float64, na_value=-np.inf))
         return pd.DataFrame({"query_id": own.ids[i], "vec_id": others.ids[j], "score": score})
 
-    return left.groupBy("qnode", "dnode").cogroup(right.groupBy("q_node", "q_dnode")).applyInPandas(both, RESULT)
+    return left.groupBy("block", "dnode").cogroup(right.groupBy("q_block", "q_dnode")).applyInPandas(both, RESULT)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -248,21 +260,24 @@ def top_k(
 
     def node(total: str) -> Column:
         parts = F.ceil(F.col(total) / node_rows)
-        return F.concat_ws("/", "size", "cell", F.pmod(F.xxhash64("vec_id", "ints"), F.greatest(parts, F.lit(1))))
+        return F.concat_ws("/", "size", "cell", F.pmod(F.xxhash64("vec_id", "packed"), F.greatest(parts, F.lit(1))))
 
-    placed = kept(cut.select("vec_id", "ints", "size", "cell", "away", "query", node("n").alias("dnode"), node("n_queries").alias("qnode")), "vectors")
-    queries = placed.where("query").dropDuplicates(["vec_id", "ints"])
+    placed = kept(cut.select("vec_id", "packed", "size", "cell", "away", "query", node("n").alias("dnode"), node("n_queries").alias("qnode")), "vectors")
+    queries = placed.where("query").dropDuplicates(["vec_id", "packed"]).withColumn("kth", F.lit(None).cast("double"))
+    blocks = max(1, -(-placed.where("query").count() // node_rows))
     ball = [F.max("away").alias("radius")]
     nodes = placed.groupBy("size", "cell", "dnode").agg(*ball)
     groups = queries.groupBy("size", "cell", "qnode").agg(*ball)
     home = kept(groups.join(nodes, ["size", "cell"]).select("qnode", "dnode"), "pairs")
-    first = kept(_best(_searched(home, placed, queries, k), k), "first-round")
+    first = kept(_best(_searched(home, placed, queries, k, blocks), k), "first-round")
 
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    worst = queries.select("vec_id", "qnode").join(kth, "vec_id", "left").groupBy("qnode").agg(
-        F.min(F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))).alias("worst"))
+    # A little less than the score, for the rounding of large ones.
+    score = F.col("score").cast("double")
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (score - 1e-15 * F.abs(score)).alias("kth"))
+    known = queries.drop("kth").join(kth, "vec_id", "left")
+    worst = known.groupBy("qnode").agg(F.min(F.coalesce(F.col("kth"), F.lit(float("-inf")))).alias("worst"))
     far = _far_pairs(groups.join(worst, "qnode"), nodes, pivots)
-    second = _searched(kept(far, "pairs"), placed, queries, k)
+    second = _searched(kept(far, "pairs"), placed, known, k, blocks)
     return _best(first.select("query_id", "vec_id", "score").unionByName(second), k)
 
 
