@@ -187,7 +187,7 @@ def pack_documents(
     bins = pieces.where("open").select("bin", "fill", "node")
     last = bins.agg(F.max("node")).first()[0]
     moves = None
-    while last:
+    while last is not None:
         round_ = kept(merged(bins, capacity, fan_in, slack, forward), "bins")
         own = round_.where("bin <> root").select("bin", "root", "shift")
         if moves is None:
@@ -198,7 +198,7 @@ def pack_documents(
                 "bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")
             ).unionByName(own)
         bins = round_.where("open").select(F.col("root").alias("bin"), "fill", "node")
-        last //= fan_in
+        last = last // fan_in if last >= fan_in else None
     result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     if moves is None:
         return pieces.withColumn("sequence_id", F.col("bin")).select(*result)
