@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from harrow.llm.common import forget, kept
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, or larger ones only."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,19 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
 
     Each round moves edges towards the smallest node of their neighbourhood and
-    is written out; the rounds end when the edges are stars and stay the same.
+    is written out; the rounds end when the edges are stars around smallest nodes.
     No node's neighbours ever meet in one place: only minima are taken.
     """
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = kept(oriented, "edges")
-    state = _state(now)
-    while True:
+    while not _are_stars(now):
         large = kept(_large_star(now), "edges")
         after = kept(_small_star(large), "edges")
         forget(large)
         forget(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
+        now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

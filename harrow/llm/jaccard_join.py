@@ -12,16 +12,26 @@ share * max(|x|, |y|) / 100`` shingles, so the first ``|x| - ceil(share * |x| /
 the triangle inequality alone would put every document into every region. The
 order puts frequent shingles last, so passages that many documents share make no
 region unless a document has little else. The list of frequent shingles is
-bounded and changes only the order, never the result.
+bounded and changes only the order, never the result. Two documents need to be
+compared in the region of their first common shingle only, and only if what
+follows it in both is enough for a link (``positions_allow``).
 
-Inner levels. A region chooses documents as pivots and measures the distance of
-its documents to them. Documents that link to a pivot are one component. A
+Inner levels. A small region takes every document as a pivot and so ends at
+once. A larger one chooses a few documents as pivots and measures the distance
+of its documents to them. Documents that link to a pivot are one component. A
 region is done when its documents are one component; else it goes on with
 pivots from outside its largest component, comparing only documents of other
 components whose sizes and distances to the region's first pivot are within the
-threshold of the triangle inequality. A small region, and any region after
-``LEVELS`` levels, takes all those documents as pivots and so ends exactly. So
-the links that are found connect just what all links connect.
+threshold of the triangle inequality. After ``LEVELS`` levels it takes all those
+documents as pivots, which ends it exactly. So the links that are found connect
+just what all links connect. Pivots are the documents whose region comes first
+in their order: those have the fewest shingles of their own and lie in the middle
+of a group of near copies.
+
+Before two texts are compared, the difference of their sketches (shingles
+counted by leading bits of the hash) must allow a link: it never exceeds the
+number of shingles that only one of them has. Texts meet in one task per pivot
+and chunk of its partners, sorted, one text at a time.
 
 Exact copies share a digest of the whole set and are tied to the smallest id;
 a task passes on one of them. Links, regions and components stay distributed.
@@ -45,6 +55,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import arrow_map, forget, kept, steps, text_bytes
 from harrow.llm.components import components
 from harrow.llm.words import NOT_SPACE, mix, words
+from harrow.operators.skew import fits_broadcast
 
 STEP_BYTES = 4 << 20
 # Shingles counted together when frequent ones are looked for, how often one must be
@@ -52,11 +63,15 @@ STEP_BYTES = 4 << 20
 COUNTED = 2 << 20
 FREQUENT = 16
 LISTED = 1 << 16
-# Regions up to this size compare all documents of different components at once.
+# Regions up to this size compare all their documents at once.
 SMALL = 32
 # Pivots of a larger region at each level, and levels before it is finished in one.
-PIVOTS = 3
-LEVELS = 6
+PIVOTS = 8
+LEVELS = 3
+# Partners of one pivot that are compared in one task.
+PARTNERS = 256
+# Region names are so many bits of a shingle's hash; a clash only adds candidates.
+REGION_BITS = 48
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,12 +104,26 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles begin with which bits; about eight for each count."""
+    bits = max(4, int(len(own) // 8).bit_length())
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """At most the number of shingles in one set and not in the other."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)).sum())
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def signatures(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2) of each document, and rows (shingle, times) of shingles seen together."""
+    """(doc_id, n, d1, d2, sketch) of each document, and rows (shingle, times) of shingles seen together."""
 
     def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.sort(np.concatenate(held))
@@ -103,10 +132,10 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
         more = times > 1
         n = int(more.sum())
         if n:
-            empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(every[new[more]].view(np.int64)), pa.array(times[more])], names)
 
-    names = ["doc_id", "n", "d1", "d2", "shingle", "times"]
+    names = ["doc_id", "n", "d1", "d2", "sketch", "shingle", "times"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -116,7 +145,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
             pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [step.column("doc_id").combine_chunks(), pa.array([len(x) for x in own], pa.int32()), pa.array(pairs[:, 0].copy()),
-                 pa.array(pairs[:, 1].copy()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], names)
+                 pa.array(pairs[:, 1].copy()), pa.array([sketch(x) for x in own], pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], names)
             for x, d in zip(own, digests, strict=True):
                 if len(x) and d not in seen:
                     seen.add(d)
@@ -128,7 +157,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
         if held:
             yield from frequent(held)
 
-    return arrow_map(rows, sign, "doc_id long, n int, d1 long, d2 long, shingle long, times long")
+    return arrow_map(rows, sign, "doc_id long, n int, d1 long, d2 long, sketch binary, shingle long, times long")
 
 
 def prefix(own: np.ndarray, hot: np.ndarray, share: int) -> np.ndarray:
@@ -139,9 +168,11 @@ def prefix(own: np.ndarray, hot: np.ndarray, share: int) -> np.ndarray:
 
 
 def regions(rows: DataFrame, frequent: np.ndarray, width: int, share: int) -> DataFrame:
-    """(r1, r2, size, doc_id, n, pivot, pivot_n): regions of two documents or more.
+    """(r1, r2, size, doc_id, n, pos, pivot, pivot_n, pivot_pos): regions of two documents or more.
 
-    Regions with the same documents are one; r1 and r2 hash its documents.
+    ``pos`` is the place of the region's shingle among the document's. Regions
+    with the same documents are one, r1 and r2 hash its documents, and the place
+    is that of the first of their shingles.
     """
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
@@ -167,74 +198,118 @@ def regions(rows: DataFrame, frequent: np.ndarray, width: int, share: int) -> Da
             if ids:
                 n = [len(x) for x in firsts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(np.array(sizes, np.int32), n))],
-                    ["shingle", "doc_id", "n"])
+                    [pa.array((np.concatenate(firsts) >> np.uint64(64 - REGION_BITS)).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(np.array(sizes, np.int32), n)),
+                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]))],
+                    ["shingle", "doc_id", "n", "pos"])
 
-    members = arrow_map(rows, emit, "shingle long, doc_id long, n int")
+    members = arrow_map(rows, emit, "shingle long, doc_id long, n int, pos int")
     region = Window.partitionBy("shingle")
-    # The first pivot is the region's smallest id: near copies agree on it across regions.
-    first = F.min(F.struct("doc_id", "n")).over(region)
+    # What follows the place allows partners of so many shingles at most. Of two that link, the
+    # smaller one's bound reaches the larger one, so it is not below its own size; who has no
+    # such partner within its bound leaves the region.
+    most = ((100 + share) * (F.col("n") - F.col("pos")) / share - F.col("n")).alias("most")
+    members = members.select("*", most).withColumn(
+        "least", F.min(F.when(F.col("most") >= F.col("n"), F.col("n"))).over(region)).where(F.col("most") >= F.col("least"))
+    first = F.min(F.struct("pos", "doc_id", "n")).over(region)
     found = members.select(
-        "doc_id", "n", F.count("*").over(region).cast("int").alias("size"), first.alias("first"),
+        "doc_id", "n", "pos", F.count("*").over(region).cast("int").alias("size"), first.alias("first"),
         F.bit_xor(F.xxhash64("doc_id", "n")).over(region).alias("r1"),
         F.bit_xor(F.xxhash64("n", F.lit("second"), "doc_id")).over(region).alias("r2"),
-    ).where("size > 1").select("r1", "r2", "size", "doc_id", "n", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("pivot_n"))
-    return found.distinct()
+    ).where("size > 1").groupBy("r1", "r2", "size", "doc_id", "n").agg(F.min("pos").alias("pos"), F.min("first").alias("first"))
+    return found.select("r1", "r2", "size", "doc_id", "n", "pos", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").alias("pivot_pos"))
 
 
-def candidate_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items) of the documents of some region."""
+def positions_allow(n: str, i: str, m: str, j: str, share: int) -> Column:
+    """Sets of n and m shingles whose first common one is number i and j may have enough in common."""
+    return (100 + share) * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= share * (F.col(n) + F.col(m))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, "text", STEP_BYTES):
-            sets = shingle_sets(step.column("text"), width)
-            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [step.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc_id", "items"])
 
-    return arrow_map(rows.join(ids, "doc_id", "left_semi"), emit, "doc_id long, items array<long>")
+def allowed(rows: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, na, nb, sa, sb) whose sketches allow a link, each once."""
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            apart = [sketch_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            good = pa.array((100 + share) * np.array(apart, np.int64) <= (100 - share) * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-def sizes_allow(n: str, m: str, share: int) -> Column:
-    """A link needs the smaller set to have that share of the larger one."""
-    return 100 * F.least(F.col(n), F.col(m)) >= share * F.greatest(F.col(n), F.col(m))
+    return arrow_map(rows.select("a", "b", "na", "nb", "sa", "sb"), keep, "a long, b long").distinct()
 
 
-def measured(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Add the size and the sketch of both documents to pairs (a, b)."""
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def measured(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """(a, b, distance, linked) of pairs (a, b)."""
-    left = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
-    right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
-    both = pairs.join(left, "b").join(right, "a").select(
-        "a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("o"))
-    return both.select(
-        "a", "b", (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("distance"),
-        (100 * F.col("o") >= share * (F.col("na") + F.col("nb") - F.col("o"))).alias("linked"))
+    chunks = F.ceil(F.col("partners") / PARTNERS)
+    placed = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"))
+    partners = placed.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", "b", "text")
+    pivots = placed.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select(
+        "a", "chunk", F.lit(None).cast("long").alias("b"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, own = None, []  # the pivot's sets: one, unless rows share its id
+        for step in steps(batches, "text", STEP_BYTES):
+            sets = shingle_sets(step.column("text"), width)
+            found: list[tuple] = []
+            for a, chunk, b, items in zip(step.column("a").to_pylist(), step.column("chunk").to_pylist(), step.column("b").to_pylist(), sets, strict=True):
+                if (a, chunk) != place:
+                    place, own = (a, chunk), []
+                if b is None:
+                    own.append(items)
+                    continue
+                for x in own:
+                    both = len(np.intersect1d(x, items, assume_unique=True))
+                    either = len(x) + len(items) - both
+                    if either:
+                        found.append((a, b, 1 - both / either, 100 * both >= share * either and both > 0))
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["a", "b", "distance", "linked"])
+
+    together = pivots.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return arrow_map(together, compare, "a long, b long, distance double, linked boolean")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the regions whose documents, but for the pivots so far, are in several components."""
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+    labelled = members.where("not done").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "label", F.coalesce("component", "doc_id")).drop("component")
-    open_ = labelled.where("not done").groupBy("r1", "r2").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("left")).where("low <> high")
-    per_label = labelled.where("not done").groupBy("r1", "r2", "label").agg(F.count("*").alias("many"))
-    largest = per_label.groupBy("r1", "r2").agg(F.max(F.struct("many", "label"))["label"].alias("largest"))
-    return labelled.where("not done").join(open_.select("r1", "r2", "left"), ["r1", "r2"]).join(largest, ["r1", "r2"])
+    per_label = labelled.groupBy("r1", "r2", "label").agg(F.count("*").alias("many"))
+    open_ = per_label.groupBy("r1", "r2").agg(
+        F.count("*").alias("labels"), F.sum("many").alias("left"), F.max(F.struct("many", "label"))["label"].alias("largest")).where("labels > 1")
+    return labelled.join(open_.drop("labels"), ["r1", "r2"])
+
+
+def _first_pairs(members: DataFrame, share: int) -> DataFrame:
+    """All pairs of small regions, and each larger region's first pivot with its documents."""
+    small = members.where(F.col("size") <= SMALL)
+    left = small.select("r1", "r2", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"))
+    right = small.select("r1", "r2", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+    every = left.join(right, ["r1", "r2"]).where((F.col("a") < F.col("b")) & positions_allow("na", "ia", "nb", "ib", share)).select("a", "b")
+    star = members.where(
+        (F.col("size") > SMALL) & (F.col("doc_id") != F.col("pivot")) & positions_allow("n", "pos", "pivot_n", "pivot_pos", share))
+    return every.unionByName(star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).distinct()
 
 
 def _next_pairs(rows: DataFrame, share: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of new pivots with documents of other components, and which rows have been pivots."""
-    order = Window.partitionBy("r1", "r2").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("r1", "r2").orderBy("pos", "doc_id")
     chosen = rows.where("label <> largest").withColumn("place", F.row_number().over(order)).where(
         (F.col("left") <= SMALL) | (F.col("place") <= PIVOTS) | F.lit(level >= LEVELS))
-    pivots = kept(chosen.select("r1", "r2", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("away").alias("aa")), "pivots")
+    pivots = kept(chosen.select("r1", "r2", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("sketch").alias("sa"),
+                                F.col("label").alias("la"), F.col("away").alias("aa")), "pivots")
     # Distances to the region's first pivot: by the triangle inequality a link's differ by the threshold at most.
     window = F.coalesce(F.abs(F.col("aa") - F.col("away")) <= 1 - share / 100 + 1e-9, F.lit(True))
-    pairs = rows.join(pivots, ["r1", "r2"]).where(
-        (F.col("al") != F.col("label")) & sizes_allow("n", "an", share) & window).select(
-        F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    return pairs, pivots.select("r1", "r2", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
+    pairs = rows.withColumnsRenamed({"doc_id": "b", "n": "nb", "pos": "ib", "sketch": "sb"}).join(pivots, ["r1", "r2"]).where(
+        (F.col("la") != F.col("label")) & positions_allow("na", "ia", "nb", "ib", share) & window)
+    return allowed(pairs, share), pivots.select("r1", "r2", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
 
 
 def near_duplicates(
@@ -251,7 +326,7 @@ def near_duplicates(
     signed = kept(signatures(rows, width), "signatures")
     listed = signed.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(
         F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(LISTED).select("shingle").collect()
-    own = signed.where("shingle is null").select("doc_id", "n", "d1", "d2")
+    own = signed.where("shingle is null").select("doc_id", "n", "d1", "d2", "sketch")
 
     # Exact copies: each tied to the smallest id of its digest.
     groups = own.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("high")).where("b <> high")
@@ -260,37 +335,36 @@ def near_duplicates(
 
     frequent = np.array([r[0] for r in listed], np.int64).view(np.uint64)
     members = kept(regions(rows, frequent, width, share), "regions")
-    sets = kept(candidate_sets(rows, members.select("doc_id").distinct(), width), "sets")
-    pairs = members.where((F.col("doc_id") != F.col("pivot")) & sizes_allow("n", "pivot_n", share)).select(
-        F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = kept(measured(pairs, sets, share), "distances")
-    links = [copies, found.where("linked").select("a", "b")]
-
-    away = found.groupBy("a", "b").agg(F.min("distance").alias("away")).select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "away")
-    rest = members.where("size > 2").join(away, ["pivot", "doc_id"], "left").select(
-        "r1", "r2", "doc_id", "n", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"),
-        (F.col("doc_id") == F.col("pivot")).alias("done"))
-    rest = kept(rest, "regions")
-    level = 0
-    while True:
+    sketches = own.where("doc_id is not null and n > 0").select("doc_id", "n", "sketch")
+    large = members.where(F.col("size") > SMALL)
+    pairs = kept(allowed(with_sketches(_first_pairs(members, share), sketches), share), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
+    ids = kept(ids, "candidates")
+    # Few candidates are sent to every task; with many, Spark may shuffle the texts once.
+    texts = kept(rows.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id", "left_semi"), "texts")
+    found = kept(measured(pairs, texts, width, share), "distances")
+
+    away = found.groupBy("a", "b").agg(F.min("distance").alias("away"))
+    away = away.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "away")
+    rest = kept(large.join(away, ["pivot", "doc_id"], "left").join(sketches, ["doc_id", "n"]).select(
+        "r1", "r2", "doc_id", "n", "pos", "sketch", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"),
+        (F.col("doc_id") == F.col("pivot")).alias("done")), "regions")
+    links = kept(copies.unionByName(found.where("linked").select("a", "b")).distinct(), "links")
+    labels = kept(components(links), "components")
+    level = 1
+    while not (open_rows := kept(_unresolved(rest, labels), "open")).isEmpty():
         level += 1
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        edges = kept(edges.distinct(), "links")
-        labels = kept(components(edges), "components")
-        links = [edges]
-        open_rows = kept(_unresolved(rest, labels), "open")
-        if open_rows.isEmpty():
-            break
         pairs, pivots = _next_pairs(open_rows, share, level)
-        found = kept(measured(pairs, sets, share), "distances")
-        links.append(found.where("linked").select("a", "b"))
+        found = kept(measured(kept(pairs, "pairs"), texts, width, share), "distances")
         # Documents that have met their whole region leave it.
-        after = open_rows.select("r1", "r2", "doc_id", "n", "away", "done").join(pivots, ["r1", "r2", "doc_id"], "left").select(
-            "r1", "r2", "doc_id", "n", "away", F.coalesce("now", F.lit(False)).alias("done"))
+        after = open_rows.drop("done").join(pivots, ["r1", "r2", "doc_id"], "left").select(
+            "r1", "r2", "doc_id", "n", "pos", "sketch", "away", F.coalesce("now", F.lit(False)).alias("done"))
         rest, before = kept(after.where("not done"), "regions"), rest
         forget(before)
         forget(open_rows)
+        more = found.where("linked").select("a", "b")
+        if not more.isEmpty():
+            links = kept(links.unionByName(more).distinct(), "links")
+            labels = kept(components(links), "components")
     return own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
