@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from harrow.session import shared_dir
 
 # Text held by one step of an Arrow stage at most, unless a single text is longer.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 8 << 20
+# Rows that Spark sends to a worker at once come to about this size.
+BATCH_BYTES = 8 << 20
 
 
 def residue(doc_id: str, modulus: int) -> Column:
@@ -22,7 +24,8 @@ def residue(doc_id: str, modulus: int) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose worker gives memory back as soon as Arrow frees it."""
+    """``mapInArrow`` in batches of bounded size, whose worker gives memory back as soon as Arrow frees it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())

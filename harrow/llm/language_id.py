@@ -22,7 +22,6 @@ kept as they are in the struct ``row``; an empty table gives no row.
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 
@@ -31,18 +30,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import STEP_BYTES, arrow_map, carried, steps
+from harrow.llm.common import arrow_map, carried, steps
 
 UNKNOWN = "und"
 BLANK = 32
 # Characters are below 2**21, so three of them fit into one integer that sorts like the text.
 BITS = 21
+# The n-grams of a step take some fifty bytes for each byte of text.
+STEP_BYTES = 2 << 20
+# Different n-grams that a task holds before it passes their counts on.
+HELD = 1 << 20
+
+
+_table: np.ndarray | None = None
+
+
+def _shared_letters() -> np.ndarray:
+    """The table of this worker process, which outlives a task."""
+    import harrow.llm.language_id as own  # a function sent to a worker has globals of its own
+
+    if own._table is None:
+        own._table = own._letters()
+    return own._table
 
 
-@functools.cache
 def _letters() -> np.ndarray:
     """For each character: the lower-case letter, or a blank."""
-    table = np.full(sys.maxunicode + 1, BLANK, np.int64)
+    table = np.full(sys.maxunicode + 1, BLANK, np.int32)
     for code in range(sys.maxunicode + 1):
         c = chr(code)
         if c.isalpha():
@@ -54,7 +68,7 @@ def _letters() -> np.ndarray:
 def _stream(text: str) -> np.ndarray:
     """Letters of a text with one blank before, between and after the words."""
     codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _letters()[codes]
+    out = _shared_letters()[codes].astype(np.int64)
     blank = out == BLANK
     return out[~(blank & np.concatenate(([False], blank[:-1])))]
 
@@ -75,11 +89,19 @@ def ngrams(text: str) -> np.ndarray:
 
 def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order, and how often each occurs."""
+    if not len(codes):
+        return codes, np.zeros(0, np.int64)
     codes = np.sort(codes)
     new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[new], np.diff(np.append(new, len(codes)))
 
 
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two lists of distinct codes together."""
+    found, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return found, np.bincount(at, np.concatenate((a[1], b[1])), len(found)).astype(np.int64)
+
+
 def ranked(codes: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent codes, most frequent first, ties in order of the code."""
     if not len(codes):
@@ -97,17 +119,23 @@ def learn_profiles(
 ) -> DataFrame:
     """(lang, gram, rank) of the most frequent n-grams of each language, ranks from 0."""
 
+    def passed_on(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for name, (found, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(counts)], ["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for step in steps(batches, "text", step_bytes):
             by_lang: dict[str, list[np.ndarray]] = {}
             for name, value in zip(step.column("lang").to_pylist(), step.column("text").to_pylist(), strict=True):
                 by_lang.setdefault(name, []).append(ngrams(value))
             for name, parts in by_lang.items():
-                codes = np.concatenate(parts)
-                if len(codes):
-                    found, counts = _counts(codes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found)), pa.array(found), pa.array(counts)], ["lang", "gram", "n"])
+                own = _counts(np.concatenate(parts))
+                held[name] = _added(held[name], own) if name in held else own
+            if sum(len(found) for found, _ in held.values()) > HELD:
+                yield from passed_on(held)
+                held = {}
+        yield from passed_on(held)
 
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
