@@ -245,12 +245,16 @@ def with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs (a, b)."""
+    """(a, b, distance, linked) of pairs (a, b), a written table.
+
+    While the pairs are few they go to the texts, else Spark may shuffle both.
+    """
+    few = F.broadcast if fits_broadcast(pairs) else lambda x: x
     chunks = F.ceil(F.col("partners") / PARTNERS)
     placed = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"))
-    partners = placed.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", "b", "text")
-    pivots = placed.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select(
+    partners = texts.withColumnRenamed("doc_id", "b").join(few(placed), "b").select("a", "chunk", "b", "text")
+    pivots = texts.withColumnRenamed("doc_id", "a").join(few(placed.select("a", "chunk").distinct()), "a").select(
         "a", "chunk", F.lit(None).cast("long").alias("b"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
