@@ -36,6 +36,11 @@ and chunk of its partners, sorted, one text at a time.
 Exact copies share a digest of the whole set and are tied to the smallest id;
 a task passes on one of them. Links, regions and components stay distributed.
 
+``near_duplicates`` needs the components only. ``counted_links`` and ``link_pairs``
+go on inside them: a link joins two sets of one component, so each pair of a
+component's different sets, of sizes that allow a link, meets once in one task,
+in blocks of sets whose intersections are counted as a product of matrices.
+
 Defined results: a NULL or empty text, or one without words, has no shingle and
 links with nothing; a NULL id has its count and component NULL and links with
 nothing; rows that share an id are one node; other columns are not looked at; an
@@ -45,6 +50,7 @@ empty table gives no row. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +79,13 @@ PARTNERS = 256
 # Region names are so many bits of a shingle's hash; a clash only adds candidates.
 REGION_BITS = 48
 
+# All links of a component: different sets of a chunk and their shingles, chunks of a
+# block, and shingles that are looked at together.
+CHUNK = 32
+CHUNK_SHINGLES = 1 << 16
+CHUNKS = 32
+COLUMNS = 4096
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -316,17 +329,10 @@ def _next_pairs(rows: DataFrame, share: int, level: int) -> tuple[DataFrame, Dat
     return allowed(pairs, share), pivots.select("r1", "r2", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
 
 
-def near_duplicates(
-    docs: DataFrame, share: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
-
-    Two documents link when 100 * intersection >= share * union of their sets;
-    ``component_id`` is the smallest id that links reach.
-    """
+def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, d1, d2, sketch) of each row of (doc_id, text), and (node, component) of the linked ids."""
     if not 50 <= share <= 100:
         raise ValueError("share must be between 50 and 100")
-    rows = _texts(docs, doc_id, text)
     signed = kept(signatures(rows, width), "signatures")
     listed = signed.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(
         F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(LISTED).select("shingle").collect()
@@ -370,5 +376,216 @@ def near_duplicates(
         if not more.isEmpty():
             links = kept(links.unionByName(more).distinct(), "links")
             labels = kept(components(links), "components")
+    return own, labels
+
+
+def near_duplicates(
+    docs: DataFrame, share: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    Two documents link when 100 * intersection >= share * union of their sets;
+    ``component_id`` is the smallest id that links reach.
+    """
+    own, labels = _joined(_texts(docs, doc_id, text), share, width)
     return own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+# --- all links ------------------------------------------------------------
+
+def _classes(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """(d1, d2, n, rep, ids, component): different sets, their smallest id and number of ids."""
+    some = own.where("n > 0 and doc_id is not null").select("d1", "d2", "n", "doc_id").distinct()
+    classes = some.groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("ids"))
+    return classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _dealt(classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of components of several, with ``band`` and ``chunk``; and (component, band, chunks).
+
+    A component of one chunk has one band. Larger ones are cut by size into bands so
+    wide that only classes of the same and of neighbouring bands can link.
+    """
+    chunks = lambda: F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    whole = classes.groupBy("component").agg(F.count("*").alias("many"), chunks().alias("chunks")).where("many > 1")
+    step = max(math.log(100 / share), 0.01) * (1 + 1e-9)
+    band = F.when(F.col("chunks") > 1, F.floor(F.log("n") / step)).otherwise(0).cast("int")
+    placed = classes.join(whole, "component").withColumn("band", band).withColumn("alone", F.col("chunks") == 1).drop("many", "chunks")
+    placed = kept(placed, "classes")
+    bands = kept(placed.groupBy("component", "band").agg(chunks().alias("chunks")), "bands")
+    return placed.join(bands, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("d1", "d2"), "chunks").cast("int")).drop("chunks"), bands
+
+
+def linked_sets(a: list[np.ndarray], b: list[np.ndarray] | None, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the linked pairs of two lists of sets, or of one list (first number below the second)."""
+    sets = a if b is None else a + b
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    times = np.diff(np.append(np.flatnonzero(new), len(every)))
+    # Shingles of one set alone are in no intersection.
+    several = np.repeat(times > 1, times)
+    column, of = (np.cumsum(new) - 1)[several], of[several]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    m, first = len(a), 0 if b is None else len(a)
+    both = np.zeros((m, len(sets) - first), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [low, low + COLUMNS]).tolist())
+        has = np.zeros((len(sets), int(column[at][-1]) - low + 1), np.float32)
+        has[of[at], column[at] - low] = 1
+        both += np.rint(has[:m] @ has[first:].T).astype(np.int64)
+    either = sizes[:m, None] + sizes[None, first:] - both
+    found = (both > 0) & (100 * both >= share * either)
+    return np.nonzero(np.triu(found, 1) if b is None else found)
+
+
+def _packed(sets: list[np.ndarray]) -> tuple[bytes, int]:
+    found, at = np.unique(np.concatenate(sets), return_inverse=True)
+    whole = np.concatenate(([len(sets), len(found)], [len(x) for x in sets], found.view(np.int64), at)).astype(np.int64).tobytes()
+    return pa.compress(whole, "zstd", asbytes=True), len(whole)
+
+
+def _unpacked(value: bytes, size: int) -> list[np.ndarray]:
+    whole = np.frombuffer(pa.decompress(value, size, "zstd", asbytes=True), np.int64)
+    n, m = int(whole[0]), int(whole[1])
+    sizes, found, at = whole[2: 2 + n], whole[2 + n: 2 + n + m].view(np.uint64), whole[2 + n + m:]
+    return np.split(found[at], np.cumsum(sizes)[:-1])
+
+
+def _all_links(rows: DataFrame, own: DataFrame, labels: DataFrame, share: int, width: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """The classes, and the links between them: as pairs (a, b) of their smallest ids, or (rep, d1, d2, links) summed in parts.
+
+    A link joins two classes of one component. Each pair of classes meets in one
+    task: those of a small component at once, those of a larger one in blocks of
+    chunks. So no pair is a row unless pairs are asked for.
+    """
+    classes = kept(_classes(own, labels), "classes")
+    placed, bands = _dealt(classes, share)
+    placed = kept(placed, "placed")
+    texts = rows.join(F.broadcast(placed) if fits_broadcast(placed) else placed, rows["doc_id"] == placed["rep"]).select(
+        "component", "band", "chunk", "alone", "rep", "d1", "d2", "ids", "text")
+    columns = ["a", "b"] if pairs else ["rep", "d1", "d2", "links"]
+
+    def told(x: tuple, y: tuple | None) -> list[np.ndarray]:
+        """Result columns from (reps, d1, d2, ids, sets) of one block or two."""
+        i, j = linked_sets(x[4], None if y is None else y[4], share)
+        second = x if y is None else y
+        if pairs:
+            return [np.minimum(x[0][i], second[0][j]), np.maximum(x[0][i], second[0][j])]
+        one = np.bincount(i, second[3][j], len(x[0])).astype(np.int64)
+        two = np.bincount(j, x[3][i], len(second[0])).astype(np.int64)
+        parts = [(x, one + two)] if y is None else [(x, one), (y, two)]
+        return [np.concatenate(c) for c in zip(*[(*[v[k][n > 0] for k in range(3)], n[n > 0]) for v, n in parts], strict=True)]
+
+    packed = ["component", "band", "chunk", "reps", "d1s", "d2s", "idss", "sets", "bytes"]
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.int64()]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, alone, held = None, True, {}
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            *ints, sets = zip(*[(*k, *v) for k, v in held.items()], strict=True)
+            d1, d2, rep, ids = (np.array(x, np.int64) for x in ints)
+            if alone:
+                out = told((rep, d1, d2, ids, list(sets)), None)
+                n = len(out[0])
+                if n:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in out], *[pa.nulls(n, t) for t in types]], columns + packed)
+                return
+            value, size = _packed(list(sets))
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.nulls(1, pa.int64()) for _ in columns], *[pa.array([v], t) for v, t in zip(
+                    [*place, *[x.tolist() for x in (rep, d1, d2, ids)], value, size], types, strict=True)]], columns + packed)
+
+        for step in steps(batches, "text", STEP_BYTES):
+            sets = shingle_sets(step.column("text"), width)
+            fields = [step.column(c).to_pylist() for c in ("component", "band", "chunk", "alone", "rep", "d1", "d2", "ids")]
+            for c, band, chunk, single, rep, d1, d2, ids, items in zip(*fields, sets, strict=True):
+                if (c, band, chunk) != place:
+                    yield from finish()
+                    place, alone, held = (c, band, chunk), single, {}
+                # Rows that share an id may have other texts.
+                if (d1, d2) not in held and np.frombuffer(_digest(items), "<i8").tolist() == [d1, d2]:
+                    held[d1, d2] = (rep, ids, items)
+        yield from finish()
+
+    key = ["component", "band", "chunk"]
+    schema = ", ".join(f"{c} long" for c in columns)
+    first = kept(arrow_map(
+        texts.repartition(*key).sortWithinPartitions(*key), pack,
+        schema + ", component long, band int, chunk int, reps array<long>, d1s array<long>, d2s array<long>, idss array<long>, sets binary, bytes long"), "links")
+    chunks = first.where("component is not null").select(*packed)
+    sized = bands.withColumn("blocks", F.ceil(F.col("chunks") / CHUNKS).cast("int")).drop("chunks")
+    beside = lambda name, by: sized.select("component", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    chunks = chunks.join(beside("same", 0), key[:2]).join(beside("above", -1), key[:2], "left").join(beside("below", 1), key[:2], "left")
+    block = F.floor(F.col("chunk") / CHUNKS).cast("int")
+    each = lambda n, fn: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), fn)
+    # Places where a chunk meets others: band ``low`` block i with itself (step 0) or the band above (step 1), block j.
+    within = each("same", lambda j: F.struct(F.col("band").alias("low"), F.lit(0).alias("step"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block > j).cast("int").alias("side")))
+    over = each("above", lambda j: F.struct(F.col("band").alias("low"), F.lit(1).alias("step"), block.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    under = each("below", lambda i: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), i.alias("i"), block.alias("j"), F.lit(1).alias("side")))
+    met = chunks.select("component", F.explode(F.concat(within, over, under)).alias("m"), *packed[3:]).select("component", "m.*", *packed[3:])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sides = None, ([], [])
+
+        def block_of(side: list) -> tuple:
+            return (*[np.concatenate([v[k] for v in side]) for k in range(4)], [x for v in side for x in v[4]])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            one, two = sides
+            alone = place is not None and place[2] == 0 and place[3] == place[4]
+            if one and (two or alone):
+                out = told(block_of(one), None if alone else block_of(two))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], columns)
+
+        for step in steps(batches, "sets", STEP_BYTES):
+            for r in step.to_pylist():
+                if (now := (r["component"], r["low"], r["step"], r["i"], r["j"])) != place:
+                    yield from finish()
+                    place, sides = now, ([], [])
+                sides[r["side"]].append((*[np.array(r[c], np.int64) for c in packed[3:7]], _unpacked(r["sets"], r["bytes"])))
+        yield from finish()
+
+    at = ["component", "low", "step", "i", "j"]
+    second = arrow_map(met.repartition(*at).sortWithinPartitions(*at), compare, schema)
+    return classes, first.where("component is null").select(*columns).unionByName(second)
+
+
+def counted_links(
+    docs: DataFrame, share: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document.
+
+    ``n_links`` is the number of other documents that it links to, exact copies
+    included. Rows with the same id and set are one document; an id counts once
+    for each of its different sets.
+    """
+    rows = _texts(docs, doc_id, text)
+    own, labels = _joined(rows, share, width)
+    classes, found = _all_links(rows, own, labels, share, width, pairs=False)
+    summed = found.groupBy("rep", "d1", "d2").agg(F.sum("links").alias("links"))
+    total = classes.join(summed, ["rep", "d1", "d2"], "left").select(
+        "d1", "d2", F.col("component").alias("of_set"), (F.coalesce("links", F.lit(0)) + F.col("ids") - 1).alias("links"))
+    # Sets without shingles and rows without an id link with nothing.
+    return own.join(total, ["d1", "d2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def link_pairs(
+    docs: DataFrame, share: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(a, b) of all links between different sets, each named by the smallest id that has it, a <= b.
+
+    Each pair of sets is there once. Ids with the same set link too; they are not listed.
+    """
+    rows = _texts(docs, doc_id, text)
+    own, labels = _joined(rows, share, width)
+    return _all_links(rows, own, labels, share, width, pairs=True)[1]

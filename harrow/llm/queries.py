@@ -29,6 +29,10 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"), share=75, width=5)
 
 
+def op2_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.counted_links(table(spark, folder, "documents"), share=75, width=5)
+
+
 def op3_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -79,7 +83,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_jaccard_join, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks, op7_cover_tree_top_k,
-    op8_decontamination, op9_hidden_markov, op10_token_counts,
+    op1_language_id, op2_jaccard_join, op2_jaccard_links, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks,
+    op7_cover_tree_top_k, op8_decontamination, op9_hidden_markov, op10_token_counts,
 )}
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
