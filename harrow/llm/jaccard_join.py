@@ -216,6 +216,9 @@ def regions(rows: DataFrame, frequent: np.ndarray, width: int, share: int) -> Da
                     ["shingle", "doc_id", "n", "pos"])
 
     members = arrow_map(rows, emit, "shingle long, doc_id long, n int, pos int")
+    # Repeated rows of other tasks: a row that comes twice would cancel out of r1 and r2.
+    again = F.lag(F.struct("doc_id", "n")).over(Window.partitionBy("shingle").orderBy("doc_id", "n", "pos")).eqNullSafe(F.struct("doc_id", "n"))
+    members = members.withColumn("again", again).where("not again").drop("again")
     region = Window.partitionBy("shingle")
     # What follows the place allows partners of so many shingles at most. Of two that link, the
     # smaller one's bound reaches the larger one, so it is not below its own size; who has no
@@ -326,7 +329,7 @@ def _next_pairs(rows: DataFrame, share: int, level: int) -> tuple[DataFrame, Dat
     window = F.coalesce(F.abs(F.col("aa") - F.col("away")) <= 1 - share / 100 + 1e-9, F.lit(True))
     pairs = rows.withColumnsRenamed({"doc_id": "b", "n": "nb", "pos": "ib", "sketch": "sb"}).join(pivots, ["r1", "r2"]).where(
         (F.col("la") != F.col("label")) & positions_allow("na", "ia", "nb", "ib", share) & window)
-    return allowed(pairs, share), pivots.select("r1", "r2", F.col("a").alias("doc_id"), F.lit(True).alias("now"))
+    return allowed(pairs, share), pivots.select("r1", "r2", F.col("a").alias("doc_id"), F.col("na").alias("n"), F.lit(True).alias("now")).distinct()
 
 
 def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +348,8 @@ def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFra
 
     frequent = np.array([r[0] for r in listed], np.int64).view(np.uint64)
     members = kept(regions(rows, frequent, width, share), "regions")
-    sketches = own.where("doc_id is not null and n > 0").select("doc_id", "n", "sketch")
+    sketched = own.where("doc_id is not null and n > 0")
+    sketches = sketched.select("doc_id", "n", "sketch")
     large = members.where(F.col("size") > SMALL)
     pairs = kept(allowed(with_sketches(_first_pairs(members, share), sketches), share), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
@@ -356,9 +360,14 @@ def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFra
 
     away = found.groupBy("a", "b").agg(F.min("distance").alias("away"))
     away = away.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "away")
-    rest = kept(large.join(away, ["pivot", "doc_id"], "left").join(sketches, ["doc_id", "n"]).select(
-        "r1", "r2", "doc_id", "n", "pos", "sketch", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"),
-        (F.col("doc_id") == F.col("pivot")).alias("done")), "regions")
+    # An id with several texts is no point of the metric: it has no distance to the pivot, and is done text by text.
+    several = kept(sketched.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2")]).where(
+        "min_d1 <> max_d1 or min_d2 <> max_d2").select("doc_id", F.lit(True).alias("several")), "several")
+    of_pivot = several.select(F.col("doc_id").alias("pivot"), F.col("several").alias("pivots"))
+    point = F.col("several").isNull() & F.col("pivots").isNull()
+    first = (F.col("doc_id") == F.col("pivot")) & point
+    rest = kept(large.join(away, ["pivot", "doc_id"], "left").join(sketches, ["doc_id", "n"]).join(several, "doc_id", "left").join(of_pivot, "pivot", "left").select(
+        "r1", "r2", "doc_id", "n", "pos", "sketch", F.when(first, 0.0).when(point, F.col("away")).alias("away"), first.alias("done")).distinct(), "regions")
     links = kept(copies.unionByName(found.where("linked").select("a", "b")).distinct(), "links")
     labels = kept(components(links), "components")
     level = 1
@@ -367,7 +376,7 @@ def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFra
         pairs, pivots = _next_pairs(open_rows, share, level)
         found = kept(measured(kept(pairs, "pairs"), texts, width, share), "distances")
         # Documents that have met their whole region leave it.
-        after = open_rows.drop("done").join(pivots, ["r1", "r2", "doc_id"], "left").select(
+        after = open_rows.drop("done").join(pivots, ["r1", "r2", "doc_id", "n"], "left").select(
             "r1", "r2", "doc_id", "n", "pos", "sketch", "away", F.coalesce("now", F.lit(False)).alias("done"))
         rest, before = kept(after.where("not done"), "regions"), rest
         forget(before)

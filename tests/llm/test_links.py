@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from data import AWKWARD, FOLDER, awkward, empty, given, rows
-from test_text import family, grouped, shingles
+from test_text import check_components, family, grouped, shingles
 
 from harrow.llm import jaccard_join, queries
 
@@ -63,3 +63,30 @@ def test_links_query(spark):
     docs = [(d, t) for d, t, *_ in given("documents")]
     _, number = all_links(docs)
     assert {r.doc_id: r.n_links for r in queries.op2_jaccard_links(spark, FOLDER).collect()} == {d: number[shingles(t)] for d, t in docs}
+
+
+def test_repeated_rows_do_not_cancel(spark, monkeypatch):
+    """The same part twice, in other tasks: regions keep the names of their documents."""
+    rng = np.random.default_rng(9)
+    docs = family(rng, 50, 90, 0, own=40) + family(rng, 30, 150, 4, base=1000) + family(rng, 20, 60, 1, base=2000)
+    table = lambda times: spark.createDataFrame(spark.sparkContext.parallelize(times * docs, times), "doc_id long, text string")
+    once, twice = table(1), table(2)
+    none = np.zeros(0, np.uint64)
+    names = lambda df: sorted((r.r1, r.r2, r.size, r.doc_id, r.pivot) for r in jaccard_join.regions(df, none, 5, 75).collect())
+    want = names(once)
+    assert len({x[:2] for x in want}) > 3
+    assert names(twice) == want
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    found = [tuple(r) for r in jaccard_join.near_duplicates(twice).collect()]
+    components = grouped(docs)
+    assert sorted(found) == sorted(2 * [(d, len(shingles(t)), components[d]) for d, t in docs])
+
+
+def test_texts_that_share_an_id_in_large_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng = np.random.default_rng(10)
+    docs = family(rng, 40, 90, 0, own=40) + family(rng, 40, 90, 5, base=1000)
+    # Ids of the first group also have a text of the second, and some have another of the first.
+    docs += [(i, docs[40 + 3 * i][1]) for i in range(0, 12, 2)] + [(i, docs[i + 9][1] + " end") for i in range(5)]
+    check_components(spark, docs)
+    check_components(spark, docs[::-1] + docs[:60])
