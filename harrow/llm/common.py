@@ -48,11 +48,13 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table written by ``kept`` that no later step reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        forget_folder(df.sparkSession, folder)
+
+
+def forget_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.Table]:

@@ -1,22 +1,23 @@
 """A hidden Markov language model over the words of a corpus.
 
-The vocabulary is open and grows with the corpus; the states emit word classes
-(a hash of the word, ``CLASSES`` of them, and one for the end of a text), and a
-word has its share of its class: (c + 0.1) / (n + 0.1 * (v + 1)) for a word
-counted c times in a class of n tokens and v different words, the last share
-being that of all other words. So the states' tables have a fixed size, and
-word counts are exact and unbounded.
+The vocabulary is open and grows with the corpus; the states emit words and the
+end of a text. A word that training has not seen has the share of all such words.
+A state's share of a word is its expected count + 0.1 / states, over the state's
+total. The first shares are those of the unigram model, with noise from a table
+of ``CLASSES`` rows that a hash of the word picks; nothing learned goes by it.
 
 Work is dealt in blocks of documents. A block holds its distinct words once and
 its texts as numbers of them, written to the shared folder; counts are summed
 over the blocks by word in one shuffle and go back to the blocks as numbers.
-Each Baum-Welch round reads the blocks, adds the expected counts up within each
-task, and sums them over tasks as fixed-point integers, so the order of
-addition does not matter. Only tables of that fixed size reach the driver.
+Each Baum-Welch round reads the blocks and sends the expected counts of their
+words, packed by buckets of words, to one task for each bucket, which adds them
+up in the order of blocks and sends the sums back to the blocks; the counts of
+words that no other block has stay with the block. Only totals by
+state reach the driver: first states, moves, and the sums of emissions.
 
-Training uses segments of at most ``SEGMENT`` tokens, all of them; a segment
-that continues a text has an initial distribution of its own. The score is the
-scaled forward recursion over the whole text.
+Training and scores run over whole texts. Long ones are run through in segments
+of ``SEGMENT`` steps: the forward pass keeps its state at the cuts, the backward
+pass goes from the last segment to the first and carries its state over.
 
 Defined results: a NULL or empty text is the end alone; a NULL id counts as the
 empty text in ``residue``; repeated rows count repeatedly; other columns are not
@@ -26,6 +27,7 @@ no row.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from harrow.llm.common import arrow_map, kept, ragged, steps, text_bytes
+from harrow.llm.common import arrow_map, forget, forget_folder, kept, load_bytes, ragged, save_bytes, steps, text_bytes
 from harrow.llm.words import NOT_SPACE, mix, words
+from harrow.session import shared_dir
 
+# Bits of a block's number within its task, and of a word's number within its block.
+BLOCK_BITS, PLACE_BITS = 12, 31
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 END = CLASSES
@@ -46,8 +52,9 @@ BLOCK_BYTES = 12 << 20
 STEP_BYTES = 3 << 20
 # Tokens of the sequences that are run through together.
 LANES_TOKENS = 1 << 18
-# Fixed-point places of expected counts.
-SCALE = 1 << 10
+# Words of all blocks in one bucket, about, and tasks of a round at most.
+BUCKET_WORDS = 1 << 18
+TASKS = 8192
 ADDED = 0.1
 
 
@@ -62,7 +69,7 @@ def _open(value: bytes, size: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(value, size * kind.itemsize, "zstd", asbytes=True), kind)
 
 
-BLOCKS = "block long, word string, place int, class int, n long, n_docs int, n_tokens long, doc_id array<long>, training binary, lengths binary, tokens binary, classes binary, n_words int"
+BLOCKS = "block long, word string, place int, n long, n_docs int, n_tokens long, doc_id array<long>, training binary, lengths binary, tokens binary, classes binary, n_words int"
 
 
 def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_bytes: int) -> DataFrame:
@@ -94,13 +101,13 @@ def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_byte
         for i in range(0, n, 1 << 16):
             m = min(n - i, 1 << 16)
             yield _rows({"block": pa.array(np.full(m, block)), "word": coded.dictionary.slice(i, m).cast(pa.string()),
-                         "place": pa.array(np.arange(i, i + m, dtype=np.int32)), "class": pa.array(classes[i: i + m]),
+                         "place": pa.array(np.arange(i, i + m, dtype=np.int32)),
                          "n": pa.array(counts[i: i + m])}, m)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held, size = TaskContext.get().partitionId() << BLOCK_BITS, [], 0
         for step in steps(batches, "text", STEP_BYTES):
             data, at = text_bytes(step.column("text"))
             train = step.column("training").to_numpy().astype(bool)
@@ -117,7 +124,7 @@ def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_byte
     return arrow_map(rows, build, BLOCKS)
 
 
-_TYPES = {"word": pa.string(), "place": pa.int32(), "class": pa.int32(), "n": pa.int64(), "n_docs": pa.int32(), "n_tokens": pa.int64(),
+_TYPES = {"word": pa.string(), "place": pa.int32(), "n": pa.int64(), "n_docs": pa.int32(), "n_tokens": pa.int64(),
           "doc_id": pa.list_(pa.int64()), "training": pa.binary(), "lengths": pa.binary(), "tokens": pa.binary(), "classes": pa.binary(),
           "n_words": pa.int32(), "block": pa.int64()}
 
@@ -135,25 +142,41 @@ class Block:
     training: np.ndarray
     lengths: np.ndarray  # tokens of each text, without the end
     tokens: np.ndarray  # number of the word
-    classes: np.ndarray  # of each distinct word
+    classes: np.ndarray  # of each distinct word: its row of the first noise
+    counts: np.ndarray  # of each distinct word in all training texts
+    words: np.ndarray  # number of each distinct word that is the same in all blocks; -1 for a word of this block alone
+    shared: np.ndarray  # places of words that training has seen and other blocks have, by number
 
     @classmethod
-    def of(cls, row: pa.Table | pa.RecordBatch, i: int) -> Block:
-        get = lambda name: row.column(name)[i]
+    def of(cls, row: pa.Table, numbers: pa.Table) -> Block:
+        get = lambda name: row.column(name)[0]
         n, t = get("n_docs").as_py(), get("n_tokens").as_py()
+        place, many = numbers.column("place").to_numpy(), get("n_words").as_py()
+        counts, same = np.zeros(many, np.int64), np.zeros(many, np.int64)
+        counts[place], same[place] = numbers.column("c").to_numpy(), numbers.column("id").to_numpy()
+        some = np.flatnonzero((counts > 0) & (same >= 0))
         return cls(
             get("doc_id").values, _open(get("training").as_py(), n, bool), _open(get("lengths").as_py(), n, np.int32).astype(np.int64),
-            _open(get("tokens").as_py(), t, np.int32), _open(get("classes").as_py(), get("n_words").as_py(), "<u4").astype(np.int32),
+            _open(get("tokens").as_py(), t, np.int32), _open(get("classes").as_py(), many, "<u4").astype(np.int32), counts, same, some[np.argsort(same[some])],
         )
 
+    def save(self, path: str) -> None:
+        save_bytes(path, pickle.dumps((self.doc_ids.to_pylist(), [(a.dtype.str, len(a), _squeeze(a)[0]) for a in (
+            self.training, self.lengths, self.tokens, self.classes, self.counts, self.words, self.shared)])))
+
+    @classmethod
+    def load(cls, path: str) -> Block:
+        ids, arrays = pickle.loads(load_bytes(path))
+        return cls(pa.array(ids, pa.int64()), *[_open(value, n, kind) for kind, n, value in arrays])
+
     def observed(self, docs: np.ndarray) -> np.ndarray:
-        """Classes of the words of some texts, each text followed by the end."""
+        """Numbers of the words of some texts, each text followed by the end, which has the last number."""
         begins = np.cumsum(self.lengths) - self.lengths
         lengths = self.lengths[docs]
-        out = np.full(int(lengths.sum()) + len(docs), END, np.int32)
+        out = np.full(int(lengths.sum()) + len(docs), len(self.classes), np.int32)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(lengths + 1) - 1] = False
-        out[inside] = self.classes[self.tokens[ragged(begins[docs], lengths)]]
+        out[inside] = self.tokens[ragged(begins[docs], lengths)]
         return out
 
 
@@ -162,9 +185,9 @@ class Block:
 @dataclass
 class Model:
     first: np.ndarray  # (states,) where a text begins
-    again: np.ndarray  # (states,) where a training segment continues one
+    again: np.ndarray  # (states,) where a sequence continues another
     move: np.ndarray  # (states, states)
-    emit: np.ndarray  # (classes + 1, states)
+    emit: np.ndarray  # (words or classes, and the end; states)
 
 
 def initial(states: int, share: np.ndarray, seed: int = 7) -> Model:
@@ -197,49 +220,67 @@ class Lanes:
         by_time[place] = self.lane
         self.lane = by_time
 
-    def forward(self, emitted: np.ndarray, start: np.ndarray, move: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Scale of every token and, if asked for, the scaled forward probabilities."""
+    def forward(self, model: Model, start: np.ndarray, cut: tuple[int, int], alpha: np.ndarray | None, keep: bool) -> tuple:
+        """Emissions and scale of every token between two times, its scaled forward probabilities if asked for, and the last of them."""
+        low, high = cut
+        base = self.at[low]
+        emitted = model.emit[self.observed[base: self.at[high]]]
         scale = np.empty(len(emitted))
         all_alpha = np.empty_like(emitted) if keep else None
-        alpha = None
-        for t, n in enumerate(self.active.tolist()):
-            a, b = self.at[t], self.at[t + 1]
-            alpha = (start if alpha is None else alpha[:n] @ move) * emitted[a:b]
+        for t in range(low, high):
+            n, a, b = int(self.active[t]), self.at[t] - base, self.at[t + 1] - base
+            alpha = (start if alpha is None else alpha[:n] @ model.move) * emitted[a:b]
             total = alpha.sum(axis=1)
             alpha /= total[:, None]
             scale[a:b] = total
             if keep:
                 all_alpha[a:b] = alpha
-        return scale, all_alpha
+        return emitted, scale, all_alpha, alpha
+
+    def cuts(self) -> list[tuple[int, int]]:
+        every = len(self.active)
+        return [(t, min(t + SEGMENT, every)) for t in range(0, every, SEGMENT)]
 
     def log10_likelihood(self, model: Model) -> np.ndarray:
         """Of each sequence, in the order given."""
-        scale, _ = self.forward(model.emit[self.observed], np.broadcast_to(model.first, (self.active[0], len(model.first))), model.move, False)
+        start, alpha = np.broadcast_to(model.first, (self.active[0], len(model.first))), None
+        total = np.zeros(len(self.order))
+        for cut in self.cuts():
+            _, scale, _, alpha = self.forward(model, start, cut, alpha, False)
+            total += np.bincount(self.lane[self.at[cut[0]]: self.at[cut[1]]], np.log10(scale), len(self.order))
         out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.lane, np.log10(scale), len(self.order))
+        out[self.order] = total
         return out
 
     def expected(self, model: Model, continued: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts: first states, states of continued sequences, moves, emissions."""
-        emitted = model.emit[self.observed]
         later = continued[self.order]
         start = np.where(later[:, None], model.again, model.first)
-        scale, alpha = self.forward(emitted, start, model.move, True)
-        emitted /= scale[:, None]
-        beta = np.ones_like(alpha)
-        weighted = emitted  # becomes emission * beta / scale
-        for t in range(len(self.active) - 2, -1, -1):
-            n, a, b = int(self.active[t + 1]), self.at[t], self.at[t + 1]
-            own = weighted[b: b + n]
-            own *= beta[b: b + n]
-            beta[a: a + n] = own @ model.move.T
-        states = alpha * beta
-        states /= states.sum(axis=1, keepdims=True)
-        before = ragged(self.at[:-2], self.active[1:]) if len(self.active) > 1 else np.zeros(0, np.int64)
-        moves = model.move * (alpha[before].T @ weighted[self.at[1]:]) if len(before) else np.zeros_like(model.move)
+        cuts, entering = self.cuts(), [None]
+        for cut in cuts[:-1]:
+            entering.append(self.forward(model, start, cut, entering[-1], False)[3])
+        moves, emits, after = np.zeros_like(model.move), np.zeros_like(model.emit), None
+        for cut, alpha in zip(cuts[::-1], entering[::-1], strict=True):
+            low, high = cut
+            base, at = self.at[low], self.at - self.at[low]
+            emitted, scale, alpha, _ = self.forward(model, start, cut, alpha, True)
+            weighted = emitted / scale[:, None]  # becomes emission * beta / scale
+            beta = np.ones_like(alpha)
+            for t in range(high - 1, low - 1, -1):
+                if after is not None:
+                    beta[at[t]: at[t] + len(after)] = after @ model.move.T
+                    if t == high - 1:
+                        moves += alpha[at[t]: at[t] + len(after)].T @ after
+                after = weighted[at[t]: at[t + 1]]
+                after *= beta[at[t]: at[t + 1]]
+            states = alpha * beta
+            states /= states.sum(axis=1, keepdims=True)
+            if high - low > 1:
+                moves += alpha[ragged(at[low: high - 1], self.active[low + 1: high])].T @ weighted[at[low + 1]:]
+            seen = self.observed[base: self.at[high]]
+            emits += np.stack([np.bincount(seen, states[:, k], len(model.emit)) for k in range(states.shape[1])], axis=1)
         begun = states[: self.active[0]]
-        emits = np.stack([np.bincount(self.observed, states[:, k], CLASSES + 1) for k in range(states.shape[1])], axis=1)
-        return begun[~later].sum(axis=0), begun[later].sum(axis=0), moves, emits
+        return begun[~later].sum(axis=0), begun[later].sum(axis=0), model.move * moves, emits
 
 
 def grouped(lengths: np.ndarray, limit: int = LANES_TOKENS) -> Iterator[np.ndarray]:
@@ -262,55 +303,138 @@ def segments(lengths: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.n
     return np.minimum(size, lengths[of] - number * size), number > 0
 
 
-def block_expected(block: Block, model: Model) -> np.ndarray:
-    """Expected counts of a block's training texts as rows: classes and end, first, again, moves."""
-    states = len(model.first)
-    total = np.zeros((CLASSES + 3 + states, states))
+def block_expected(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of a block's training texts: first states, moves, and emissions of its words and the end."""
     docs = np.flatnonzero(block.training)
+    first, moves, emits = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros_like(model.emit)
     observed, lengths = block.observed(docs), block.lengths[docs] + 1
-    sizes, continued = segments(lengths)
-    begins = np.cumsum(sizes) - sizes
-    for group in grouped(sizes):
-        lanes = Lanes(observed[ragged(begins[group], sizes[group])], sizes[group])
-        first, again, moves, emits = lanes.expected(model, continued[group])
-        total[: CLASSES + 1] += emits
-        total[CLASSES + 1] += first
-        total[CLASSES + 2] += again
-        total[CLASSES + 3:] += moves
-    return total
-
-
-def baum_welch_round(corpus: DataFrame, model: Model, added: np.ndarray) -> Model:
-    """One round over all blocks; ``added`` is added to each state's count of each class."""
-    states = len(model.first)
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = block_expected(Block.of(batch, i), shared.value)
-                total = own if total is None else total + own
-        if total is not None:
-            fixed = np.rint(total * SCALE).astype(np.int64)
-            rows = np.flatnonzero(fixed.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), *[pa.array(fixed[rows, k]) for k in range(states)]], ["row", *[f"s{k}" for k in range(states)]])
-
-    columns = [f"s{k}" for k in range(states)]
-    summed = arrow_map(corpus, expect, "row long, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(
-        *[F.sum(c).alias(c) for c in columns])
-    total = np.zeros((CLASSES + 3 + states, states))
-    for r in summed.collect():  # a row for each class, start and state
-        total[r[0]] = r[1:]
+    begins = np.cumsum(lengths) - lengths
+    for group in grouped(lengths):
+        lanes = Lanes(observed[ragged(begins[group], lengths[group])], lengths[group])
+        one, _, two, three = lanes.expected(model, np.zeros(len(group), bool))
+        first += one
+        moves += two
+        emits += three
+    return first, moves, emits
+
+
+@dataclass
+class Round:
+    """What all blocks share in a round; the words' shares come with the blocks."""
+
+    first: np.ndarray
+    move: np.ndarray
+    noise: np.ndarray | None  # the first round's shares of classes and end, by state
+    size: np.ndarray | None  # and the counts of the classes
+    total: np.ndarray | None  # later rounds: counts of each state with what is added
+    end: np.ndarray | None  # and its counts of the end
+    buckets: int
+    folder: str  # where blocks keep the counts of the words that no other block has
+
+    def model(self, block: Block, path: str, sums: pa.Table) -> Model:
+        """The model over the words of a block, from the sums of expected counts of its words and the counts of its own words."""
+        states = len(self.first)
+        if self.total is None:
+            emit = self.noise[block.classes] * ((block.counts + ADDED) / self.size[block.classes])[:, None]
+            end = self.noise[END]
+        else:
+            counts = np.zeros((len(block.counts), states))
+            places, of = _buckets(block, self.buckets)
+            alone = _alone(block)
+            if len(alone):
+                counts[alone] = _open(load_bytes(f"{self.folder}/{path.rsplit('/', 1)[1]}"), len(alone) * states, np.float32).reshape(-1, states)
+            for bucket, data in zip(sums.column("bucket").to_pylist(), sums.column("data").to_pylist(), strict=True):
+                own = places[of[bucket]: of[bucket + 1]]
+                counts[own] = _open(data, len(own) * states, np.float32).reshape(-1, states)
+            emit, end = (counts + ADDED / states) / self.total, (self.end + ADDED / states) / self.total
+        return Model(self.first, self.first, self.move, np.concatenate((emit, end[None])))
+
+
+def _buckets(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that training has seen and other blocks have, by bucket and number, and where each bucket begins."""
+    places = block.shared
+    bucket = (mix(block.words[places].astype(np.uint64)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return places[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _alone(block: Block) -> np.ndarray:
+    """Places of the words that training has seen in this block alone."""
+    return np.flatnonzero((block.counts > 0) & (block.words < 0))
+
+
+EXPECTED = "block long, bucket int, size int, words binary, data binary"
+SUMS = "block long, bucket int, data binary"
+
+
+# The bucket of the totals of blocks.
+TOTALS = -1
+
+
+def with_sums(index: DataFrame, sums: DataFrame | None) -> PandasCogroupedOps:
+    """Each block's path with its sums, a task for each block as far as Spark may have so many."""
+    spark = index.sparkSession
+    parts = min(max(1, index.count()), TASKS)
+    given = sums.where(F.col("bucket") != TOTALS) if sums is not None else spark.createDataFrame([], SUMS)
+    return index.repartition(parts, "block").groupBy("block").cogroup(given.repartition(parts, "block").groupBy("block"))
+
+
+def baum_welch_round(index: DataFrame, sums: DataFrame | None, now: Round, words_: int) -> tuple[DataFrame, Round]:
+    """One round over all blocks: the sums of expected counts by word for each block, and what all blocks share."""
+    states, buckets = len(now.first), now.buckets
+    spark = index.sparkSession
+    folder = shared_dir(spark, "own-words")
+    shared = spark.sparkContext.broadcast(now)
+
+    def expect(paths: pa.Table, given: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        block = Block.load(paths.column("path")[0].as_py())
+        number = paths.column("block")[0].as_py()
+        path = paths.column("path")[0].as_py()
+        first, moves, emits = block_expected(block, shared.value.model(block, path, given))
+        alone = _alone(block)
+        if len(alone):
+            save_bytes(f"{folder}/{path.rsplit('/', 1)[1]}", _squeeze(emits[alone].astype(np.float32))[0])
+        places, of = _buckets(block, buckets)
+        rows = [(number, TOTALS, None, None, np.concatenate((first, moves.ravel(), emits[:-1].sum(axis=0), emits[-1])).tobytes())]
+        for k in range(buckets):
+            own = places[of[k]: of[k + 1]]
+            if len(own):
+                names = np.diff(block.words[own], prepend=0)
+                rows.append((number, k, len(own), *_squeeze(names, emits[own].astype(np.float32))))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(EXPECTED.split(", "), zip(*rows, strict=True), kinds, strict=True)})
+
+    def add(parts: pa.Table) -> pa.Table:
+        if parts.column("bucket")[0].as_py() == TOTALS:
+            return parts.select(["block", "bucket", "data"])
+        parts = parts.sort_by("block")
+        sizes = parts.column("size").to_numpy()
+        names = np.concatenate([np.cumsum(_open(v, n, np.int64)) for v, n in zip(parts.column("words").to_pylist(), sizes.tolist(), strict=True)])
+        data = np.concatenate([_open(v, n * states, np.float32) for v, n in zip(parts.column("data").to_pylist(), sizes.tolist(), strict=True)]).reshape(-1, states)
+        _, at = np.unique(names, return_inverse=True)
+        whole = np.stack([np.bincount(at, data[:, k]) for k in range(states)], axis=1)
+        whole = whole.astype(np.float32)
+        back = [_squeeze(whole[x])[0] for x in np.split(at, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": parts.column("block"), "bucket": parts.column("bucket"), "data": pa.array(back, pa.binary())})
+
+    found = with_sums(index, sums).applyInArrow(expect, EXPECTED)
+    after = kept(found.repartition(min(buckets, TASKS) + 1, "bucket").groupBy("bucket").applyInArrow(add, SUMS), "word-sums")
+    parts = after.where(F.col("bucket") == TOTALS).select("block", "data").collect()  # a short row for each block
+    if sums is not None:
+        forget(sums)
+    if now.folder:
+        forget_folder(spark, now.folder)
+    # Lets Spark remove the shuffle files of rounds that are done.
+    spark.sparkContext._jvm.System.gc()
     shared.destroy()
-    total /= SCALE
-    emit = total[: CLASSES + 1] + added[:, None]
-    return Model(
-        _even(total[CLASSES + 1] + 1 / states), _even(total[CLASSES + 2] + 1 / states),
-        np.stack([_even(x + 1 / states) for x in total[CLASSES + 3:]]), emit / emit.sum(axis=0),
-    )
+    # In the order of blocks, so that the sum is the same in every run.
+    total = np.sum([np.frombuffer(r.data) for r in sorted(parts, key=lambda r: r.block)], axis=0)
+    first, moves, words_total, end = np.split(total, np.cumsum([states, states * states, states]))
+    # ``words_`` different words and the end were seen; all other words count as one.
+    return after, Round(
+        _even(first + 1 / states), np.stack([_even(x + 1 / states) for x in moves.reshape(states, states)]), None, None,
+        words_total + end + ADDED / states * (words_ + 2), end, buckets, folder)
 
 
 def _even(x: np.ndarray) -> np.ndarray:
@@ -320,11 +444,12 @@ def _even(x: np.ndarray) -> np.ndarray:
 # --- corpora ------------------------------------------------------------
 
 def word_counts(words_: DataFrame) -> DataFrame:
-    """(block, place, class, c, n, first): how often the corpus has each word of each block."""
+    """(block, place, c, id, first): how often the corpus has each word of each block, a number of the word, -1 in a single block, and where it is first."""
     by_word = Window.partitionBy("word")
-    spot = F.struct("block", "place")
+    spot = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
+    least = F.min(spot).over(by_word)
     return words_.select(
-        "block", "place", "class", "n", F.sum("n").over(by_word).alias("c"), (F.min(spot).over(by_word) == spot).alias("first"))
+        "block", "place", F.sum("n").over(by_word).alias("c"), F.when(F.count("*").over(by_word) > 1, least).otherwise(-1).alias("id"), (least == spot).alias("first"))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -340,45 +465,65 @@ def score_documents(
     model; both are log10 probabilities of the words and the end.
     """
     taken = kept(blocks(docs, training, doc_id, text, block_bytes), "word-blocks")
+    spark = docs.sparkSession
     corpus = taken.where("word is null").select("block", "n_docs", "n_tokens", "doc_id", "training", "lengths", "tokens", "classes", "n_words")
-    counts = kept(word_counts(taken.where("word is not null").select("block", "word", "place", "class", "n")), "word-counts")
-
-    # Tables of one row for each class.
-    per_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).collect()
+    counts = kept(word_counts(taken.where("word is not null").select("block", "word", "place", "n")), "word-counts")
+    folder = shared_dir(spark, "blocks")
+
+    def prepare(texts: pa.Table, numbers: pa.Table) -> pa.Table:
+        """Write a block with its counts; its path, and the counts of words by class that it is the first to have."""
+        pa.set_memory_pool(pa.system_memory_pool())
+        block, number = Block.of(texts.combine_chunks(), numbers), texts.column("block")[0].as_py()
+        path = f"{folder}/block-{number}"
+        block.save(path)
+        own = np.zeros(len(block.words), bool)
+        own[numbers.column("place").to_numpy()] = numbers.column("first").to_numpy(zero_copy_only=False)
+        own &= block.counts > 0
+        tokens = np.bincount(block.classes[own], block.counts[own], CLASSES).astype(np.int64)
+        many = np.bincount(block.classes[own], minlength=CLASSES)
+        some = np.flatnonzero(many)
+        return pa.table({"block": [number], "path": [path], "seen": pa.array([len(block.shared)]), "class": pa.array([some.tolist()], pa.list_(pa.int64())),
+                         "n": pa.array([tokens[some].tolist()], pa.list_(pa.int64())), "v": pa.array([many[some].tolist()], pa.list_(pa.int64()))})
+
+    index = kept(corpus.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        prepare, "block long, path string, seen long, class array<long>, n array<long>, v array<long>"), "block-index")
+    # The size of each class of the first noise: a table of one row for each class.
+    per_class = index.select(F.explode(F.arrays_zip("class", "n", "v")).alias("x")).groupBy("x.class").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect()
     tokens, different = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in per_class:
         tokens[r[0]], different[r[0]] = r[1], r[2]
+    seen = index.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
     n_docs = docs.select(F.count_if(training)).first()[0]
+    words_ = int(different.sum())
     tokens[END], different[END] = n_docs, n_docs > 0
     n, v = int(tokens.sum()), int(different.sum())
     size = tokens + ADDED * (different + 1)
-    share = size / size.sum()
 
-    model = initial(states, share)
+    begun = initial(states, size / size.sum())
+    now, sums = Round(begun.first, begun.move, begun.emit, size, None, None, int(seen // BUCKET_WORDS) + 1, ""), None
+    index = index.select("block", "path")
+    forget(taken)
+    forget(counts)
     for _ in range(rounds if n_docs else 0):
-        model = baum_welch_round(corpus, model, ADDED * (different + 1) / states)
-    shared = docs.sparkSession.sparkContext.broadcast((model, size))
+        sums, now = baum_welch_round(index, sums, now, words_)
+    shared = spark.sparkContext.broadcast(now)
     unit = n + ADDED * (v + 1)
     end_base = np.log10((n_docs + ADDED) / unit)
 
-    def score(texts: pa.Table, numbers: pa.Table) -> pa.Table:
-        own, size = shared.value
-        block = Block.of(texts.combine_chunks(), 0)
-        c = np.zeros(len(block.classes), np.int64)
-        c[numbers.column("place").to_numpy()] = numbers.column("c").to_numpy()
+    def score(paths: pa.Table, given: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        block = Block.load(paths.column("path")[0].as_py())
+        own, c = shared.value.model(block, paths.column("path")[0].as_py(), given), block.counts
         of = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        sums = lambda values: np.bincount(of, values[block.tokens], len(block.lengths))
-        added = np.log10(c + ADDED)
-        within = sums(added - np.log10(size[block.classes]))
-        paths = np.empty(len(block.lengths))
+        total = lambda values: np.bincount(of, values[block.tokens], len(block.lengths))
+        paths_ = np.empty(len(block.lengths))
         for group in grouped(block.lengths + 1):
-            paths[group] = Lanes(block.observed(group), block.lengths[group] + 1).log10_likelihood(own)
-        known = sums((c > 0).astype(np.float64)).astype(np.int64) + (n_docs > 0)
+            paths_[group] = Lanes(block.observed(group), block.lengths[group] + 1).log10_likelihood(own)
+        known = total((c > 0).astype(np.float64)).astype(np.int64) + (n_docs > 0)
         return pa.table({
             "doc_id": block.doc_ids, "held_out": pa.array(~block.training), "n_tokens": pa.array(block.lengths + 1),
-            "n_known": pa.array(known), "base_score": pa.array(sums(added - np.log10(unit)) + end_base), "score": pa.array(paths + within),
+            "n_known": pa.array(known), "base_score": pa.array(total(np.log10(c + ADDED) - np.log10(unit)) + end_base), "score": pa.array(paths_),
         })
 
-    together = corpus.groupBy("block").cogroup(counts.select("block", "place", "c").groupBy("block"))
-    scored = together.applyInArrow(score, RESULT)
+    scored = with_sums(index, sums).applyInArrow(score, RESULT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
