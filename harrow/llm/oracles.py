@@ -145,7 +145,55 @@ SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+# Cut into units, and put together in the order of the form.
+OP11 = """
+WITH t AS (
+  SELECT doc_id, text, l, len(l)::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h
+  FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS l FROM documents)),
+h AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+         ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM t),
+p AS (
+  SELECT doc_id, text, n, array_to_string(l[:least(x, y)], '') AS prefix, array_to_string(l[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(l[greatest(x, y) + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain'
+              WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p"""
+
+# Phrases of two and three words with their lowest-scoring cut.
+OP13 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, p
+  FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+        FROM documents)),
+w AS (
+  SELECT lang, piece, unnest(l) AS w, generate_subscripts(l, 1) AS pos
+  FROM (SELECT lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS l FROM pieces) WHERE len(l) > 0),
+r AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY piece ORDER BY pos)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM r GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM r WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM r WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE NOT EXISTS (FROM f3 t WHERE t.lang = p.lang AND 100 * t.f >= 50 * p.f AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2))
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, x.f, y.f, 1
+  FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, x.f, y.f, 2
+  FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w3),
+scored AS (SELECT *, ((1000000 * a::HUGEINT * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 SQL = {
     "op1_language_id": OP1, "op2_jaccard_join": OP2, "op3_chat_tree": OP3, "op5_secret_scan": OP5, "op7_cover_tree_top_k": OP7,
-    "op8_decontamination": OP8,
+    "op8_decontamination": OP8, "op11_fill_in_middle": OP11, "op13_phrase_mining": OP13,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import (
-    chat_tree, cover_tree, decontaminate, hmm, jaccard_join, language_id, oracles, packing, secret_scan, token_blocks, token_counts,
+    chat_tree, cover_tree, decontaminate, fill_middle, hmm, jaccard_join, language_id, oracles, packing, phrases, secret_scan, token_blocks, token_counts,
 )
 from harrow.llm.common import residue
 
@@ -82,8 +82,22 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), VOCABULARY, limit=512)
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"), seed=1, rate=90, spm=20)
+    output, form = F.col("output"), F.col("form")
+    prefix_chars, middle_chars = fill_middle.part_chars(output, form)
+    return made.select(
+        "doc_id", "n", "form", prefix_chars.alias("prefix_chars"), middle_chars.alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(fill_middle.restored(output, form), 256).alias("restored_sha256"))
+
+
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=10, max_words=3, share=50, first=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_jaccard_join, op2_jaccard_links, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks,
-    op7_cover_tree_top_k, op8_decontamination, op9_hidden_markov, op10_token_counts,
+    op7_cover_tree_top_k, op8_decontamination, op9_hidden_markov, op10_token_counts, op11_fill_in_middle,
+    op13_phrase_mining,
 )}
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
