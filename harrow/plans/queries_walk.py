@@ -45,7 +45,7 @@ def _walk(t: Tables) -> dict[str, DataFrame]:
     base = F.concat(F.lit("https://board.example/b"), F.col("page_id") % 7, F.lit("/"))
     number = (
         F.when(F.col("page_id") % 11 == 10, None).when(F.col("page_id") % 13 == 12, F.concat(F.lit("gone/"), "page_id"))
-        .when(F.col("page_id") % 17 == 16, F.col("page_id") % 7).otherwise(F.col("page_id") + 7)
+        .when(F.col("page_id") % 17 == 16, (F.col("page_id") % 7).cast("string")).otherwise((F.col("page_id") + 7).cast("string"))
     )
     link = F.concat(F.lit("<p><a REL=next href='/b"), F.col("page_id") % 7, F.lit("/"), number, F.lit("'>on</a></p>"))
     pages = t.pages.select("page_id", base.alias("site"), F.concat(base, "page_id").alias("url"), F.concat("html", F.coalesce(link, F.lit(""))).alias("html"))
