@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import (
-    chat_tree, cover_tree, decontaminate, fill_middle, hmm, jaccard_join, language_id, oracles, packing, phrases, secret_scan, token_blocks, token_counts,
+    chat_tree, cover_tree, decontaminate, fill_middle, hmm, jaccard_join, language_id, neighbour_graph, oracles, packing, phrases, secret_scan, token_blocks, token_counts,
 )
 from harrow.llm.common import residue
 
@@ -91,6 +91,10 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(output, 256).alias("output_sha256"), F.sha2(fill_middle.restored(output, form), 256).alias("restored_sha256"))
 
 
+def op12_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"), least=10, max_words=3, share=50, first=2000)
 
@@ -98,6 +102,6 @@ def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_jaccard_join, op2_jaccard_links, op3_chat_tree, op4_best_fit_packing, op5_secret_scan, op6_token_blocks,
     op7_cover_tree_top_k, op8_decontamination, op9_hidden_markov, op10_token_counts, op11_fill_in_middle,
-    op13_phrase_mining,
+    op12_neighbour_graph, op13_phrase_mining,
 )}
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
