@@ -518,9 +518,19 @@ def search(graph: Graph, queries: DataFrame, width: int = BEAM, starts: int = ST
             break
         near = front.join(graph.links, "node").select("query", "near")
     found = beams.select("query", F.explode("ids").alias("node"))
-    squares = F.aggregate(F.zip_with("vector", "asked", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    steps = F.zip_with("vector", "asked", lambda x, y: x - y)
     return found.join(graph.nodes.select("node", "vector"), "node").join(
-        queries.select("query", F.col("vector").alias("asked")), "query").select("query", "node", F.sqrt(squares).alias("score"))
+        queries.select("query", F.col("vector").alias("asked")), "query").select("query", "node", _length(steps).alias("score"))
+
+
+def _length(steps: Column) -> Column:
+    """Euclidean length; of components whose squares leave the range of a double, by the largest of them."""
+    def summed(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+
+    squares, top = summed(steps), F.array_max(F.transform(steps, F.abs))
+    scaled = top * F.sqrt(summed(F.transform(steps, lambda x: x / top)))
+    return F.when(squares.between(1e-280, 1e300), F.sqrt(squares)).when(top == 0, 0.0).otherwise(scaled)
 
 
 def nearest(

@@ -10,7 +10,6 @@ from harrow.llm import neighbour_graph as G
 from pyspark.sql import functions as F
 
 ROWS = "vec_id long, embedding array<double>, label string, node string, score string"
-EVERY_TENTH = F.col("vec_id") % 10 == 0
 
 
 def frame(spark, rows):
@@ -29,7 +28,7 @@ def brute(rows, k=10, is_query=lambda i: i % 10 == 0):
 
 
 def found(df, **more):
-    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in G.nearest(df, EVERY_TENTH, **more).collect())
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in G.nearest(df, F.col("vec_id") % 10 == 0, **more).collect())
 
 
 def assert_same(got, wanted):
@@ -88,7 +87,7 @@ def test_descent_improves_the_trees(spark):
         return sum(len(true[v] & links[v]) for v in true) / (8 * len(true))
 
     before, after = share(0), share(3)
-    assert after > before + 0.2
+    assert after > 1.5 * before
 
 
 def test_queries_from_outside_the_graph(spark):
