@@ -1,23 +1,32 @@
 """ST1-ST5: the list -> detail -> image flow as streams.
 
 The stages are plain functions on DataFrames, so a batch run (ST5) and a stream
-use the same code. A stream's results go to one folder per micro-batch, written
-by overwriting: a replayed batch replaces its own folder, nothing is lost or
-doubled when an executor or the driver dies (ST4).
+use the same code. What a stream must remember (which articles it has seen, how
+many images of an article are done) is kept in Spark's state store, so a batch
+costs what its own rows cost, however long the stream has run. A stream's results
+go to one folder per micro-batch, written by overwriting, and stored tables note the
+number of the batch: a replayed batch replaces itself, nothing is lost or doubled
+when an executor or the driver dies (ST4).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harrow.functions import urls as U
 from harrow.operators.skew import keep_first, without_known
 from harrow.operators.state import upsert_articles
 from harrow.operators.stats import completed_articles
+from harrow.session import materialized
+from harrow.sources.state_table import StateTable
 
 BatchStep = Callable[[DataFrame, int], DataFrame]
 
@@ -40,13 +49,6 @@ def ingest(stream: DataFrame, step: BatchStep, out: str, checkpoint: str, mode:
     )
 
 
-def earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """What the batches before ``batch_id`` have written."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(out).where(F.col("batch") < batch_id).drop("batch")
-
-
 def new_entries(entries: DataFrame, order: list[str], *known: DataFrame | None) -> DataFrame:
     """W1 + J2: first occurrence of every article that is not known yet."""
     fresh = keep_first(entries, ["site", "article_id"], order)
@@ -59,21 +61,55 @@ def new_entries(entries: DataFrame, order: list[str], *known: DataFrame | None)
     return fresh
 
 
+def first_seen(entries: DataFrame, order: list[str], keys: tuple[str, ...] = ("site", "article_id")) -> DataFrame:
+    """ST1: of a stream, the first row of every key, when the key comes for the first time.
+
+    The state store holds one row for each key: its first row by (batch, ``order``),
+    an arrival being the time Spark gives the micro-batch and gives again when it is
+    replayed. A key is new in a batch if its first arrival is its latest one. Minima
+    are combined before the shuffle, so a hot key costs no more than others. Entries
+    without a key are left out. For the output mode ``update``.
+    """
+    rest = [c for c in entries.columns if c not in keys]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    place = F.struct("_arrived", *[x for o in order for x in (F.col(o).isNull(), F.col(o))])
+    grouped = (
+        entries.where(known).withColumn("_arrived", F.current_timestamp())
+        .groupBy(*keys).agg(F.min_by(F.struct("_arrived", *rest), place).alias("_first"), F.max("_arrived").alias("_latest"))
+    )
+    return grouped.where(F.col("_first._arrived") == F.col("_latest")).select(
+        *[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in entries.columns])
+
+
+def first_seen_within(entries: DataFrame, at: str, forget_after: str, keys: tuple[str, ...] = ("site", "article_id")) -> DataFrame:
+    """ST1 with bounded state: a key counts as seen for ``forget_after`` of the event time ``at``.
+
+    Of equal keys in one micro-batch any one stays.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return entries.where(known).withWatermark(at, forget_after).dropDuplicatesWithinWatermark(list(keys))
+
+
 def stream_new_articles(
-    entries: DataFrame, order: list[str], finished: DataFrame | None, out: str, checkpoint: str
+    entries: DataFrame, order: list[str], finished: DataFrame | None, out: str, checkpoint: str,
+    at: str | None = None, forget_after: str | None = None,
 ) -> StreamingQuery:
-    """ST1: new articles of a stream of list entries.
+    """ST1: new articles of a stream of list entries; no earlier output is read.
 
-    What earlier batches found is read back from ``out`` (ids only), so the seen
-    set lives on shared storage and not in memory.
+    Finished articles are looked up in each batch. With ``forget_after`` an article
+    is forgotten again (see ``first_seen_within``).
     """
+    fresh = first_seen_within(entries, at, forget_after) if at and forget_after else first_seen(entries, order)
 
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        seen = earlier(batch.sparkSession, out, batch_id)
-        ids = None if seen is None else seen.select("site", "article_id")
-        return new_entries(batch, order, ids, finished)
+    def step(batch: DataFrame, _: int) -> DataFrame:
+        # One id may occur on very many sites, and streams run without adaptive execution.
+        return batch if finished is None else without_known(batch, finished, "article_id", salt_by="site")
 
-    return ingest(entries, step, out, checkpoint)
+    return ingest(fresh, step, out, checkpoint, "append" if at and forget_after else "update")
 
 
 def image_tasks(articles: DataFrame, root: Column, images: str = "images") -> DataFrame:
@@ -93,18 +129,83 @@ def name_collisions(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("save_path").agg(F.count("*").alias("n_images")).where("n_images > 1")
 
 
-def stream_completions(outcomes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """ST3: articles whose images are all processed; state is one counter per article.
+def _counted(outcomes: DataFrame, at: str | None) -> DataFrame:
+    """(article_id, processed, total_count[, at]): one row for each article of an Arrow batch."""
+    kind = outcomes.schema["article_id"].dataType.simpleString()
+    columns = ["article_id", "outcome", "total_count", *([at] if at else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table({
+                "article_id": batch.column("article_id"), "processed": pc.cast(pc.is_valid(batch.column("outcome")), pa.int64()),
+                "total_count": pc.cast(batch.column("total_count"), pa.int64()), **({at: batch.column(at)} if at else {})})
+            wanted = [("processed", "sum"), ("total_count", "max"), *([(at, "max")] if at else [])]
+            summed = table.group_by("article_id").aggregate(wanted)
+            yield from summed.select(["article_id", *[f"{c}_{f}" for c, f in wanted]]).rename_columns(["article_id", *[c for c, _ in wanted]]).to_batches()
+
+    return outcomes.select(*columns).mapInArrow(run, f"article_id {kind}, processed long, total_count long" + (f", {at} timestamp" if at else ""))
+
+
+def complete(outcomes: DataFrame, at: str | None = None, give_up: str | None = None) -> DataFrame:
+    """ST3: (article_id, processed, total_count) of an article when its last image is processed.
 
-    The counters are combined on the map side first, so a hot article costs no
-    more than any other.
+    The state is one counter for each article that is not complete yet; it goes when
+    the article is reported. Of articles that never get all their outcomes it goes
+    after ``give_up`` of the event time ``at``, where these are given. An outcome that
+    comes after the report begins a counter of its own.
     """
-    counted = outcomes.groupBy("article_id").agg(
-        F.count("outcome").alias("processed"), F.max("total_count").alias("total_count")
-    )
-    return ingest(
-        counted, lambda batch, _: batch.where(F.col("processed") >= F.col("total_count")), out, checkpoint, "update"
-    )
+    kind = outcomes.schema["article_id"].dataType.simpleString()
+    patience = int(pd.Timedelta(give_up).total_seconds() * 1000) if at and give_up else 0
+    counted = _counted(outcomes, at if patience else None)
+    if patience:
+        counted = counted.withWatermark(at, give_up)
+
+    def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        processed, total = state.get if state.exists else (0, 0)
+        last = None
+        for some in rows:
+            processed += int(some["processed"].sum())
+            total = max(total, int(some["total_count"].fillna(0).max()))
+            last = some[at].max() if patience else None
+        if processed >= total > 0:
+            state.remove()
+            yield pd.DataFrame({"article_id": [key[0]], "processed": [processed], "total_count": [total]})
+        else:
+            state.update((processed, total))
+            if patience and not pd.isna(last):
+                state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + patience)
+
+    return counted.groupBy("article_id").applyInPandasWithState(
+        count, f"article_id {kind}, processed long, total_count long", "processed long, total_count long", "update",
+        GroupStateTimeout.EventTimeTimeout if patience else GroupStateTimeout.NoTimeout)
+
+
+def stream_completions(
+    outcomes: DataFrame, out: str, checkpoint: str, record: Callable[[DataFrame, int], None] | None = None,
+    at: str | None = None, give_up: str | None = None,
+) -> StreamingQuery:
+    """ST3: articles whose images are all processed, each reported once; ``record`` stores a batch of them first."""
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        if record is None:
+            return batch
+        done = materialized(batch, "completed")
+        record(done, batch_id)
+        return done
+
+    return ingest(complete(outcomes, at, give_up), step, out, checkpoint, "update")
+
+
+def recorder(articles: StateTable, snapshots: DataFrame, now: Column, writer: str) -> Callable[[DataFrame, int], None]:
+    """ST3: stores the completed articles of a batch with their flag set, once for each batch number of ``writer``."""
+
+    def record(done: DataFrame, batch_id: int) -> None:
+        articles.update(completion_rows(snapshots, done), lambda old, new: upsert_articles(old, new, now), writer, batch_id)
+
+    return record
 
 
 def finished_articles(completions: DataFrame) -> DataFrame:
@@ -114,15 +215,19 @@ def finished_articles(completions: DataFrame) -> DataFrame:
     )
 
 
-def record_completions(articles: DataFrame, snapshots: DataFrame, done: DataFrame, now: Column) -> DataFrame:
-    """ST3/ST5: store the completed articles with their flag set."""
-    rows = (
+def completion_rows(snapshots: DataFrame, done: DataFrame) -> DataFrame:
+    """The articles of ``done`` as a batch for the article table, their flag set."""
+    return (
         snapshots.join(done.select("article_id"), "article_id", "left_semi")
         .withColumn("images_downloaded", F.lit(True))
         .withColumn("created_at", F.lit(None).cast("timestamp"))
         .withColumn("seq", F.lit(0))
     )
-    return upsert_articles(articles, rows, now)
+
+
+def record_completions(articles: DataFrame, snapshots: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """ST5: store the completed articles with their flag set."""
+    return upsert_articles(articles, completion_rows(snapshots, done), now)
 
 
 def completions(outcomes: DataFrame) -> DataFrame:
