@@ -44,8 +44,10 @@ from pyspark.sql import functions as F
 from harrow.llm.common import arrow_map, forget, kept, ragged, steps, text_bytes
 from harrow.llm.words import mix, words
 
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 WINDOW_BYTES = 1 << 20
+# Parts in which the phrases of a language are ranked first.
+RANKED_APART = 64
 # Rows of one Arrow batch of an operator's output.
 OUT_ROWS = 1 << 16
 # What ends a piece, and what lies between words.
@@ -413,7 +415,7 @@ def collocations(
         "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"),
         F.array("f").alias("firsts"), F.array("f").alias("lasts"))
     relation, old = rows.where("seq IS NOT NULL").select("block", "own", "n_codes", "places", "seq"), rows
-    levels = []
+    levels, before = [], counted
     for k in range(1, max_words):
         relation = kept(_extended(relation, counted.where("block IS NOT NULL").select("block", "code", "id"), k - 1), "relation")
         forget(old)
@@ -427,6 +429,8 @@ def collocations(
             found = found.withColumn("id", F.lit(None).cast("long"))
         phrases = kept(_named(found, phrases), "phrases")
         levels.append(phrases)
+        forget(before)
+        before = counted
     forget(old)
     kept_phrases = []
     for k, here in enumerate(levels):
@@ -438,6 +442,10 @@ def collocations(
             most = around.groupBy("id").agg(F.max("a").alias("most"))
             scored = scored.join(most, "id", "left").where(100 * F.coalesce("most", F.lit(0)) < share * F.col("a"))
         kept_phrases.append(scored.select("lang", "phrase", "a", "l", "r", "score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = reduce(DataFrame.unionByName, kept_phrases).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    every = reduce(DataFrame.unionByName, kept_phrases).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART)))
+    # One language may hold most phrases: the best of each part are ranked once more.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    apart = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = every.withColumn("rank", apart).where(F.col("rank") <= first).drop("part")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
