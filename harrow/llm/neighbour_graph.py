@@ -400,98 +400,44 @@ def _started(queries: DataFrame, graph: Graph, starts: int) -> DataFrame:
     return arrow_map(queries, run, "query long, near array<long>")
 
 
+def _row(beam: pa.Table, **changed: np.ndarray) -> pa.Table:
+    """The beam's one row with some of its lists replaced."""
+    names = [f.split()[0] for f in BEAMS.split(", ")]
+    return pa.table({c: _lists(np.array([0, len(changed[c])]), changed[c]) if c in changed else beam.column(c)
+                     for c in [*names, *[c for c in changed if c not in names]]})
+
+
+def _list(beam: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.array(beam.column(column)[0].values, kind)
+
+
 def _unseen(beams: DataFrame, near: DataFrame) -> DataFrame:
-    """The beams with all of ``near`` noted as seen, and a row (query, other) for each node seen for the first time."""
-    columns = [c for c in beams.columns if c != "query"]
-    rows = beams.unionByName(near.select("query", F.col("near").alias("ids"), *[
-        F.lit(None).cast(beams.schema[c].dataType).alias(c) for c in columns if c != "ids"])).withColumn("other", F.lit(None).cast("long"))
+    """The beams, all of ``near`` noted as seen, with the list ``met`` of what is seen for the first time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema: pa.Schema | None = None
-
-        def ended(row: pa.RecordBatch, met: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            seen = np.array(row.column("seen")[0].values if row.column("seen")[0].is_valid else [], np.int64)
-            new = np.setdiff1d(np.concatenate(met), seen) if met else np.zeros(0, np.int64)
-            every = np.union1d(seen, new)
-            index = row.schema.get_field_index("seen")
-            yield row.set_column(index, row.schema.field("seen"), _lists(np.array([0, len(every)]), every).cast(row.schema.field("seen").type))
-            query = row.column("query")[0].as_py()
-            empty = {c: pa.nulls(len(new), row.schema.field(c).type) for c in row.schema.names}
-            empty |= {"query": pa.array(np.full(len(new), query)), "other": pa.array(new)}
-            yield pa.RecordBatch.from_arrays([empty[c] for c in row.schema.names], schema=row.schema)
-
-        query, row, met = None, None, []
-        for batch in batches:
-            schema = batch.schema
-            names = batch.column("query").to_numpy()
-            for a, b in _runs(names):
-                if row is not None and names[a] != query:
-                    yield from ended(row, met)
-                    row, met = None, []
-                query = names[a]
-                beam = np.array(batch.column("code").slice(a, b - a).is_valid())
-                for i in np.flatnonzero(beam):
-                    row = pa.RecordBatch.from_arrays([c.take(pa.array([a + int(i)])) for c in batch.columns], schema=schema)
-                others = batch.column("ids").slice(a, b - a).filter(pa.array(~beam))
-                met = [np.unique(np.concatenate([*met, np.array(others.flatten(), np.int64)]))]
-        if row is not None:
-            yield from ended(row, met)
-
-    return arrow_map(rows.repartition("query").sortWithinPartitions("query"), run, f"{BEAMS}, other long")
-
-
-def _runs(names: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, end) of the runs of equal values."""
-    if len(names):
-        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        yield from zip(starts.tolist(), [*starts[1:].tolist(), len(names)], strict=True)
+    def run(beam: pa.Table, others: pa.Table) -> pa.Table:
+        seen = _list(beam, "seen", np.int64)
+        met = np.setdiff1d(np.array(others.column("near").combine_chunks().flatten(), np.int64), seen)
+        return _row(beam, seen=np.union1d(seen, met), met=met)
+
+    return beams.groupBy("query").cogroup(near.select(F.col("query").alias("asker"), "near").groupBy("asker")).applyInArrow(run, f"{BEAMS}, met array<long>")
 
 
 def _measured(beams: DataFrame, met: DataFrame, width: int) -> DataFrame:
     """The beams after the nodes of ``met`` (query, other, code, scale) were measured; what was in a beam before is opened."""
-    nothing = [c for c in beams.columns if c not in ("query", "code", "scale")]
-    rows = beams.withColumn("other", F.lit(None).cast("long")).unionByName(
-        met.select("query", "other", "code", "scale", *[F.lit(None).cast(beams.schema[c].dataType).alias(c) for c in nothing]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entered(row: pa.RecordBatch, ids: list[np.ndarray], squares: list[np.ndarray]) -> pa.RecordBatch:
-            old, away = np.array(row.column("ids")[0].values, np.int64), np.array(row.column("away")[0].values, np.float64)
-            every = np.concatenate([old, *ids])
-            far = np.concatenate([away, *squares])
-            opened = np.arange(len(every)) < len(old)
-            order = np.lexsort((every, far))[:width]
-            at = np.array([0, len(order)])
-            new = {"ids": _lists(at, every[order]), "away": _lists(at, far[order]), "opened": _lists(at, opened[order])}
-            names = [c for c in row.schema.names if c != "other"]
-            return pa.RecordBatch.from_arrays([new[c] if c in new else row.column(c) for c in names], names)
-
-        query, row, ids, far = None, None, [], []
-        for batch in batches:
-            names = batch.column("query").to_numpy()
-            other = batch.column("other")
-            for a, b in _runs(names):
-                if row is not None and names[a] != query:
-                    yield entered(row, ids, far)
-                    row, ids, far = None, [], []
-                query = names[a]
-                if not other[a].is_valid:  # the beam's row comes first
-                    row = pa.RecordBatch.from_arrays([c.take(pa.array([a])) for c in batch.columns], schema=batch.schema)
-                    size = row.column("size")[0].as_py()
-                    mine = np.frombuffer(row.column("code")[0].as_py(), np.int8) * row.column("scale")[0].as_py()
-                    a += 1
-                if a < b:
-                    some = np.arange(a, b)
-                    own = _codes(batch.column("code"), some, size) * batch.column("scale").to_numpy()[a:b][:, None]
-                    ids.append(other.to_numpy(zero_copy_only=False)[a:b].astype(np.int64))
-                    top = max(np.abs(own).max(), np.abs(mine).max())
-                    far.append(np.sqrt((((own - mine) / top) ** 2).sum(axis=1)) * top)
-                    if len(ids) > 64:
-                        order = np.lexsort((np.concatenate(ids), np.concatenate(far)))[:width]
-                        ids, far = [np.concatenate(ids)[order]], [np.concatenate(far)[order]]
-        if row is not None:
-            yield entered(row, ids, far)
-
-    return arrow_map(rows.repartition("query").sortWithinPartitions("query", F.col("other").asc_nulls_first()), run, BEAMS)
+    def run(beam: pa.Table, others: pa.Table) -> pa.Table:
+        ids, away = _list(beam, "ids", np.int64), _list(beam, "away", np.float64)
+        opened = np.arange(len(ids) + others.num_rows) < len(ids)
+        if others.num_rows:
+            mine = np.frombuffer(beam.column("code")[0].as_py(), np.int8) * beam.column("scale")[0].as_py()
+            own = _codes(others.column("code").combine_chunks(), np.arange(others.num_rows), len(mine)) * others.column("scale").to_numpy()[:, None]
+            top = max(np.abs(own).max(), np.abs(mine).max())
+            ids = np.concatenate((ids, others.column("other").to_numpy()))
+            away = np.concatenate((away, np.sqrt((((own - mine) / top) ** 2).sum(axis=1)) * top))
+        best = np.lexsort((ids, away))[:width]
+        return _row(beam, ids=ids[best], away=away[best], opened=opened[best])
+
+    return beams.groupBy("query").cogroup(met.select(F.col("query").alias("asker"), "other", "code", "scale").groupBy("asker")).applyInArrow(run, BEAMS)
 
 
 def search(graph: Graph, queries: DataFrame, width: int = BEAM, starts: int = STARTS, most_rounds: int = 64) -> DataFrame:
@@ -507,8 +453,8 @@ def search(graph: Graph, queries: DataFrame, width: int = BEAM, starts: int = ST
     vectors = graph.nodes.select(F.col("node").alias("other"), "code", "scale")
     for _ in range(most_rounds):
         noted = kept(_unseen(beams, near), "seen")
-        met = noted.where("other IS NOT NULL").select("query", "other").join(vectors, "other")
-        after = kept(_measured(noted.where("other IS NULL").drop("other"), met, width), "beams")
+        met = noted.select("query", F.explode("met").alias("other")).join(vectors, "other")
+        after = kept(_measured(noted.drop("met"), met, width), "beams")
         forget(beams)
         forget(noted)
         beams = after
