@@ -47,6 +47,25 @@ def number_from_text(c: Column) -> Column:
     return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def integer_key(c: Column) -> Column:
+    """A value that orders whole numbers of any length as numbers; NULL for other texts.
+
+    The number of digits, negative below zero, then the digits, which a negative number has complemented.
+    """
+    text = strip(c)
+    digits = F.regexp_extract(text, r"^[+-]?0*([0-9]*)$", 1)
+    below = F.startswith(text, F.lit("-"))
+    size = F.when(below, -F.length(digits)).otherwise(F.length(digits))
+    key = F.struct(size.alias("size"), F.when(below, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"))
+    return F.when(text.rlike("^[+-]?[0-9]+$"), key)
+
+
+def integer_text(key: Column) -> Column:
+    """The number of an ``integer_key`` in plain digits."""
+    digits = key["digits"]
+    return F.when(key["size"] == 0, "0").when(key["size"] < 0, F.concat(F.lit("-"), F.translate(digits, "0123456789", "9876543210"))).otherwise(digits)
+
+
 def encode_json(c: Column, dtype: T.DataType) -> Column:
     """NULL -> ``null``, nested values -> JSON, anything else -> its text."""
     nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))

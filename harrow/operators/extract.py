@@ -116,9 +116,8 @@ def forum_images(nodes: Column, base: Column, found: Column, formats=None) -> Co
     return F.filter(urls, lambda u: U.is_image_url(u, formats))
 
 
-def thread_list(parsed: DataFrame, list_rule: Rule | Column, link_rule: Rule | Column, *keys: str) -> DataFrame:
-    """One row per list element with a usable link; rules are fixed or from a column."""
-    nodes, base = _nodes(), F.col("url")
+def thread_entries(nodes: Column, base: Column, list_rule: Rule | Column, link_rule: Rule | Column) -> Column:
+    """(title, thread_url) of every list element with a usable link, in order; rules are fixed or from a column."""
 
     def match(rule, scope=None):
         return find_all(nodes, rule, scope) if isinstance(rule, list) else dom.find_all_by(nodes, rule, scope)
@@ -127,16 +126,20 @@ def thread_list(parsed: DataFrame, list_rule: Rule | Column, link_rule: Rule | C
         return let(
             F.get(match(link_rule, subtree(nodes, item)), F.lit(0)),
             lambda link: F.struct(
-                item["lo"].alias("lo"),
-                U.resolve_url(base, filled_attr(link, "href")).alias("thread_url"),
                 text_of(nodes, link).alias("title"),
+                U.resolve_url(base, filled_attr(link, "href")).alias("thread_url"),
             ),
         )
 
-    items = F.filter(F.transform(match(list_rule), row), lambda r: r["thread_url"].isNotNull())
+    return F.filter(F.transform(match(list_rule), row), lambda r: r["thread_url"].isNotNull())
+
+
+def thread_list(parsed: DataFrame, list_rule: Rule | Column, link_rule: Rule | Column, *keys: str) -> DataFrame:
+    """One row per list element with a usable link."""
+    items = thread_entries(_nodes(), F.col("url"), list_rule, link_rule)
     return (
         parsed.select(*keys, F.posexplode(items).alias("pos", "t"))
-        .select(*keys, (F.col("pos") + 1).alias("pos"), "t.title", F.col("t.thread_url").alias("thread_url"))
+        .select(*keys, (F.col("pos") + 1).alias("pos"), "t.title", "t.thread_url")
         .withColumn("thread_id", U.thread_id(F.col("thread_url")))
     )
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harrow.operators.skew import BLOCK, lookup, running, without_known
+from harrow.functions.text import integer_key, integer_text
+from harrow.operators.skew import BLOCK, RANGE_ROWS, lookup, running, without_known
 
 MAX_STREAK = 10
 
@@ -83,7 +84,7 @@ def page_counts(entries: DataFrame, known: DataFrame | None = None, by: str = "s
     return every.join(news, [by, "page"], "left").fillna({"n_new": 0})
 
 
-def no_new_streak(pages: DataFrame, by: str = "site", start: Column | int = 1, block: int = BLOCK) -> DataFrame:
+def no_new_streak(pages: DataFrame, by: str = "site", start: Column | int = 1, block: int = RANGE_ROWS) -> DataFrame:
     """``streak`` of pages without a new entry that ends at each page."""
     start = F.lit(start) if isinstance(start, int) else start
     last_new = F.when(F.col("n_new") > 0, F.col("page"))
@@ -97,7 +98,7 @@ def no_new_streak(pages: DataFrame, by: str = "site", start: Column | int = 1, b
 def crawl_extent(
     pages: DataFrame,
     by: str = "site",
-    start_page: int = 1,
+    start_page: Column | int = 1,
     max_pages: int | None = None,
     max_streak: int = MAX_STREAK,
     crawler_type: str = "news",
@@ -108,7 +109,8 @@ def crawl_extent(
 
     ``pages`` has (by, page, fetched, n_articles, n_new, has_more). A page that
     is absent or not fetched ends the crawl, as does the page after the last one.
-    Pages are scanned in blocks, as in ``skew.running``.
+    ``start_page`` may be a column of ``pages`` with one value for each ``by``. Pages
+    are scanned in blocks of page numbers.
 
     News lists also stop at a page without entries and after ``max_streak`` pages
     without a new one, and stay ``running`` when a limit stopped them. Boards
@@ -118,8 +120,11 @@ def crawl_extent(
     fetched.
     """
     news = crawler_type == "news"
+    pages = pages.withColumn("_start", start_page if isinstance(start_page, Column) else F.lit(start_page))
+    start_page = F.col("_start")
     last_page = max_pages if news or resumed or max_pages is None else start_page + max_pages - 1
-    pages = pages.where(F.col("page") >= start_page).withColumn("_block", F.floor(F.col("page") / F.lit(block)))
+    number_type = pages.schema["page"].dataType
+    pages = pages.where(F.col("page") >= start_page).withColumn("_start", start_page.cast(number_type)).withColumn("_block", F.floor(F.col("page") / F.lit(block)))
     inside = W.partitionBy(by, "_block").orderBy("page")
     blocks = W.partitionBy(by).orderBy("_block")
     last_new = F.when(F.col("n_new") > 0, F.col("page"))
@@ -137,7 +142,7 @@ def crawl_extent(
         .withColumn("_next", F.lead("page").over(inside))
         .join(carried, [by, "_block"])
     )
-    streak = F.col("page") - F.coalesce(F.greatest("_here", "_before"), F.lit(start_page - 1))
+    streak = F.col("page") - F.coalesce(F.greatest("_here", "_before"), start_page - 1)
     tests = [
         ~F.col("fetched"),
         F.col("n_articles") == 0 if news else F.lit(False),
@@ -148,11 +153,11 @@ def crawl_extent(
     number = F.when(tests[0], 1)
     for i, test in enumerate(tests[1:], start=2):
         number = number.when(test, i)
-    nothing = F.lit(None).cast(pages.schema["page"].dataType)
+    nothing = F.lit(None).cast(number_type)
     gap = F.coalesce("_next", "_after").isNull() | (F.coalesce("_next", "_after") != F.col("page") + 1)
     missing_next = F.when(gap, F.col("page") + 1)
     is_first = F.col("_previous").isNull() & (F.col("page") == F.col("_first"))
-    missing_start = F.when(is_first & (F.col("page") > start_page), F.lit(start_page)).otherwise(nothing)
+    missing_start = F.when(is_first & (F.col("page") > start_page), start_page).otherwise(nothing)
     stops = F.array(
         F.struct(F.when(number.isNotNull(), F.col("page")).alias("page"), number.alias("why")),
         F.struct(missing_next.alias("page"), F.lit(1).alias("why")),
@@ -201,24 +206,32 @@ def last_of_page(entries: DataFrame, by: str = "site") -> DataFrame:
 
 
 def last_new_so_far(
-    entries: DataFrame, known: DataFrame | None = None, by: str = "site", block: int = BLOCK
+    entries: DataFrame, known: DataFrame | None = None, by: str = "site", block: int = RANGE_ROWS
 ) -> DataFrame:
-    """Per page the last new entry on it or, failing that, before it."""
-    place = F.struct("page", "pos", "article_id")
-    news = first_places(entries, known, by).groupBy(by, "page").agg(F.max(place).alias("_last"))
+    """Per page the last new entry on it or, failing that, before it; its URL too, where entries have ``article_url``."""
+    found = first_places(entries, known, by)
+    urls = ["article_url"] if "article_url" in entries.columns else []
+    if urls:
+        # Of several entries in one place the URL of the article that counts.
+        found = found.join(entries.groupBy(by, "page", "pos", "article_id").agg(F.min("article_url").alias("article_url")), [by, "page", "pos", "article_id"])
+    news = found.groupBy(by, "page").agg(F.max(F.struct("page", "pos", "article_id", *urls)).alias("_last"))
     pages = entries.select(by, "page").distinct().join(news, [by, "page"], "left")
     return running(pages, [by], "page", [], F.col("_last"), "_so_far", block=block).select(
-        by, "page", F.col("_so_far.article_id").alias("last_new_id")
+        by, "page", F.col("_so_far.article_id").alias("last_new_id"), *[F.col("_so_far.article_url").alias("last_new_url") for _ in urls]
     )
 
 
-def beyond_max(entries: DataFrame, by: list[str], order: str, ties: list[str], ids: str, seed: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """Numeric ids greater than every id before them; ``seed`` is the stored maximum."""
-    number = F.col(ids).try_cast("bigint")
+def beyond_max(entries: DataFrame, by: list[str], order: str, ties: list[str], ids: str, seed: Column | None = None, block: int = RANGE_ROWS) -> DataFrame:
+    """Whole-number ids greater than every id before them; ``seed`` is the stored maximum.
+
+    Ids may have any number of digits; ``max_before`` is the greatest one as text.
+    """
+    number = integer_key(F.col(ids).cast("string"))
     scanned = running(entries, by, order, ties, number, "max_before", strict=True, block=block)
     if seed is not None:
-        scanned = scanned.withColumn("max_before", F.greatest("max_before", seed))
-    return scanned.withColumn("beyond_max", F.coalesce(number > F.col("max_before"), F.lit(False)))
+        scanned = scanned.withColumn("max_before", F.greatest("max_before", integer_key(seed.cast("string"))))
+    return scanned.withColumn("beyond_max", F.coalesce(number > F.col("max_before"), F.lit(False))).withColumn(
+        "max_before", integer_text(F.col("max_before")))
 
 
 def first_pages(

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from harrow.session import materialized
 
 BLOCK = 4096
+# Rows of a range of a running value.
+RANGE_ROWS = 1 << 20
 HOT_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 NULL_SALTS = 256
@@ -148,35 +150,27 @@ def running(
     value: Column,
     name: str,
     strict: bool = False,
-    block: int = BLOCK,
+    block: int = RANGE_ROWS,
 ) -> DataFrame:
     """Running maximum of ``value`` per ``by`` in the order ``order, *ties``.
 
-    ``order`` is an integer column and (by, order) holds few rows, as pages of a
-    site do. Rows are scanned inside blocks of about ``block`` rows; one row per
-    block then carries the maximum of all earlier blocks into it. A block is a range
-    of order values as wide as the key's rows are apart, so sparse values (ids,
-    timestamps) do not make a block of every row. ``strict`` leaves the current row
-    out. The value may be a struct, so "last non-null" is the maximum of (order, value).
+    A scan in two passes. The rows are sorted into ranges of about ``block`` rows by
+    (by, order, ties), cut where the rows lie and not where the values lie, so neither
+    a hot key nor values far apart make one range larger than another; only rows equal
+    in all of these stay together. The first pass takes the maximum of each key's part
+    of each range; one row for each such part then carries the maximum of the parts
+    before it into the second pass. The table is written first and its rows are
+    counted, so this starts jobs. ``strict`` leaves the current row out. The value may
+    be a struct, so "last non-null" is the maximum of (order, value).
     """
-    ranges = df.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("_rows"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_high").cast("double") - F.col("_low") + 1) * block / F.col("_rows")))
-    place = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
-    blocked = (
-        join_marks(df, ranges.select(*by, "_low", width.alias("_width")), by, [])
-        .withColumn("_v", value).withColumn("_block", place)
-    )
-    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        blocked.groupBy(*by, "_block").agg(F.max("_v").alias("_m"))
-        .withColumn("_carry", F.max("_m").over(before))
-        .drop("_m")
-    )
-    inside = W.partitionBy(*by, "_block").orderBy(order, *ties)
+    places = [*by, order, *ties]
+    valued = materialized(df.withColumn("_v", value), "values")
+    ranges = max(1, -(-valued.count() // block))
+    ranged = materialized(valued.repartitionByRange(ranges, *places).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carry = ranged.groupBy(*by, "_range").agg(F.max("_v").alias("_m")).withColumn("_carry", F.max("_m").over(before)).drop("_m")
+    inside = W.partitionBy(*by, "_range").orderBy(order, *ties)
     inside = inside.rowsBetween(W.unboundedPreceding, -1 if strict else W.currentRow)
-    return (
-        blocked.withColumn("_here", F.max("_v").over(inside))
-        .join(carry, [*by, "_block"], "left")
-        .withColumn(name, F.array_max(F.array("_here", "_carry")))
-        .select(*df.columns, name)
-    )
+    scanned = ranged.withColumn("_here", F.max("_v").over(inside))
+    return join_marks(scanned, carry, [], [*by, "_range"]).withColumn(
+        name, F.array_max(F.array("_here", "_carry"))).select(*df.columns, name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.text import integer_key
+
 
 def storage_statistics(threads: DataFrame, images: DataFrame) -> DataFrame:
     """A1: one row of totals over both tables."""
@@ -108,8 +110,8 @@ def completed_articles(image_tasks: DataFrame) -> DataFrame:
 
 
 def id_range(articles: DataFrame, ids: str, *by: str) -> DataFrame:
-    """Smallest and largest numeric id as text; other ids are ignored."""
-    number = F.col(ids).try_cast("bigint")
+    """Smallest and largest whole-number id, of any length, as it is written; other ids are ignored."""
+    number = integer_key(F.col(ids))
     return articles.groupBy(*by).agg(
         F.min_by(ids, number).alias("min_article_id"),
         F.max_by(ids, number).alias("max_article_id"),

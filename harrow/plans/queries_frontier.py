@@ -128,11 +128,13 @@ def w5_last_of_page(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES}, lasts AS (
-  SELECT site, page, max_by(article_id, pos) FILTER (is_new) AS last_id FROM marked GROUP BY 1, 2)
-SELECT site, page, last_value(last_id IGNORE NULLS) OVER (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING)
-  AS last_new_id FROM lasts""")
+  SELECT site, page, max_by(article_id, pos) FILTER (is_new) AS last_id, max_by('/' || article_id || '?p=' || pos, pos) FILTER (is_new) AS last_url
+  FROM marked GROUP BY 1, 2)
+SELECT site, page, last_value(last_id IGNORE NULLS) OVER w AS last_new_id, last_value(last_url IGNORE NULLS) OVER w AS last_new_url
+FROM lasts WINDOW w AS (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING)""")
 def w5_last_new_so_far(t: Tables) -> DataFrame:
-    return frontier.last_new_so_far(entries(t), block=64)
+    listed = entries(t).withColumn("article_url", F.concat(F.lit("/"), "article_id", F.lit("?p="), "pos"))
+    return frontier.last_new_so_far(listed, block=64)
 
 
 @query("""
@@ -141,7 +143,19 @@ WITH o AS (SELECT o_orderstatus, o_orderkey, o_custkey, greatest(max(o_custkey)
 SELECT *, o_custkey > max_before AS beyond_max FROM o""")
 def w6_beyond_max(t: Tables) -> DataFrame:
     ordered = t.orders.select("o_orderstatus", "o_orderkey", "o_custkey")
-    return frontier.beyond_max(ordered, ["o_orderstatus"], "o_orderkey", [], "o_custkey", F.lit(100).cast("bigint"), block=512)
+    marked = frontier.beyond_max(ordered, ["o_orderstatus"], "o_orderkey", [], "o_custkey", F.lit(100), block=4096)
+    return marked.withColumn("max_before", F.col("max_before").cast("bigint"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, (CAST(o_custkey AS HUGEINT) - 700) * 1000000000000000000000 + o_orderkey AS id FROM orders),
+b AS (SELECT *, max(id) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
+SELECT o_orderkey, CAST(before AS VARCHAR) AS max_before, coalesce(id > before, false) AS beyond_max FROM b""")
+def w6_beyond_max_long(t: Tables) -> DataFrame:
+    """Ids of more than twenty digits, some of them negative."""
+    number = (F.col("o_custkey").cast("decimal(10,0)") - 700) * F.lit("1000000000000000000000").cast("decimal(22,0)") + F.col("o_orderkey")
+    ordered = t.orders.select("o_orderkey", number.cast("string").alias("id"), F.lit("all").alias("site"))
+    return frontier.beyond_max(ordered, ["site"], "o_orderkey", [], "id", block=4096).select("o_orderkey", "max_before", "beyond_max")
 
 
 @query(f"""WITH {ENTRIES}, starts AS (SELECT site, max(page) // 2 AS start_page FROM counts GROUP BY 1)
