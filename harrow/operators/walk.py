@@ -103,17 +103,18 @@ def board_walk(
     return {"pages": walked.select(*keys, "page", "url", "fetched", work.alias("work")), "ends": ends}
 
 
-def walk_checkpoints(walk: dict[str, DataFrame], entries: DataFrame, by: str = "url") -> DataFrame:
+def walk_checkpoints(walk: dict[str, DataFrame], listed: DataFrame) -> DataFrame:
     """The checkpoint rows a walk leaves (see ``state.save_checkpoints``).
 
-    ``entries`` has (url of the list page, pos, thread_id, thread_url). The last
-    thread is that of the last crawled page that has any.
+    ``listed`` has (site, board, page, pos, thread_id, thread_url), all entries of
+    the pages crawled. The last thread is that of the last page that has any.
     """
-    crawled = walk["pages"].where("work = 'crawl' AND fetched").select("site", "board", "page", F.col("url").alias(by))
+    keys = ["site", "board"]
     place = F.struct("page", "pos")
-    last = crawled.join(entries, by).groupBy("site", "board").agg(
+    last = listed.groupBy(*keys).agg(
         F.max_by("thread_id", place).alias("last_thread_id"), F.max_by("thread_url", place).alias("last_thread_url"), F.count("*").alias("listed"))
-    counters = F.create_map(F.lit("pages"), F.greatest(F.col("next_page") - F.col("start_page"), F.lit(0)).cast("bigint"), F.lit("listed"), F.coalesce("listed", F.lit(0)).cast("bigint"))
-    return walk["ends"].join(last, ["site", "board"], "left").select(
-        "site", "board", F.col("next_page").cast("int").alias("current_page"), "last_thread_id", "last_thread_url", "status", counters.alias("stats"),
+    pages = F.greatest(F.col("next_page") - F.col("start_page"), F.lit(0)).cast("bigint")
+    counters = F.create_map(F.lit("pages"), pages, F.lit("listed"), F.coalesce("listed", F.lit(0)).cast("bigint"))
+    return walk["ends"].join(last, keys, "left").select(
+        *keys, F.col("next_page").cast("int").alias("current_page"), "last_thread_id", "last_thread_url", "status", counters.alias("stats"),
         F.when(F.col("status") == ERROR, F.col("stop_reason")).alias("last_error"))

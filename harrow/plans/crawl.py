@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrow.functions import urls as U
 from harrow.operators import dom, extract, frontier
 from harrow.operators.dedup import url_duplicates
+from harrow.operators.keyfilter import passing
 from harrow.operators.profile import detected_rules, forum_type, page_profiles, site_profiles
 from harrow.operators.skew import keep_first
 from harrow.operators.state import upsert_threads
@@ -39,7 +40,8 @@ def forum_crawl(
     )
     listed = frontier.new_threads(keep_first(materialized(listed, "listed"), "thread_id", ["page_id", "pos"]), stored)
     listed = materialized(listed, "new-threads")
-    wanted = thread_pages.join(listed.select(F.col("thread_url").alias("url")).distinct(), "url", "left_semi")
+    # A few pages that are not wanted may pass; they fall out of the joins with their URLs.
+    wanted = passing(thread_pages, listed.select(F.col("thread_url").alias("url")), "url")
     details_in = dom.parse_pages(with_site_rules(wanted, rules, page_id="url"), implied_ends=True)
     details = extract.thread_detail(details_in, F.col("image_rule"), "forum_type", "base_url").drop("thread_id")
     details = materialized(details, "thread-details")
@@ -96,7 +98,7 @@ def news_crawl(
     extent = materialized(frontier.crawl_extent(pages, start_page=start_page, max_pages=max_pages), "extent")
     fresh = frontier.crawled_pages(marked.where("is_new"), extent, start_page=start_page)
     fresh = materialized(fresh, "new-articles")
-    wanted = article_pages.join(fresh.select(F.col("article_url").alias("url")).distinct(), "url", "left_semi")
+    wanted = passing(article_pages, fresh.select(F.col("article_url").alias("url")), "url")
     details = materialized(extract.article_detail(dom.parse_pages(wanted)), "article-details")
     full = frontier.merge_detail(fresh, details, "article_url")
     return {

@@ -100,10 +100,11 @@ def test_many_pages_with_one_next_page(spark):
 def test_checkpoints_of_a_walk(spark):
     pages = spark.createDataFrame([(1, "a", True, "b"), (2, "b", True, "c"), (3, "c", True, "gone"), (4, "z", True, None)], PAGES)
     targets = spark.createDataFrame([("s", "one", "a"), ("s", "two", "z")], TARGETS)
-    entries = spark.createDataFrame([("a", 1, "t1", "/1"), ("b", 1, "t2", "/2"), ("b", 2, "t3", "/3"), ("z", 1, None, None)], "url string, pos int, thread_id string, thread_url string")
+    listed = spark.createDataFrame(
+        [("s", "one", 2, 1, "t2", "/2"), ("s", "one", 2, 2, "t3", "/3")], "site string, board string, page long, pos int, thread_id string, thread_url string")
     walk = board_walk(targets, pages, points(spark, [("s", "one", 2, "running")]))
-    rows = {r.board: r for r in walk_checkpoints(walk, entries).collect()}
+    rows = {r.board: r for r in walk_checkpoints(walk, listed).collect()}
     one, two = rows["one"], rows["two"]
     assert (one.current_page, one.last_thread_id, one.last_thread_url, one.status, one.last_error) == (4, "t3", "/3", "error", "fetch_failed")
     assert one.stats == {"pages": 2, "listed": 2}
-    assert (two.current_page, two.last_thread_id, two.status, two.stats) == (2, None, "completed", {"pages": 1, "listed": 1})
+    assert (two.current_page, two.last_thread_id, two.status, two.stats) == (2, None, "completed", {"pages": 1, "listed": 0})
