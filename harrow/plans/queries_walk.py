@@ -40,25 +40,29 @@ walked AS (
   FROM walk w JOIN limits t ON t.site = w.site AND t.board = w.board LEFT JOIN links n ON n.url = w.url)"""
 
 
-def _walk(t: Tables) -> dict[str, DataFrame]:
-    """Links come from the parsed pages."""
+def boards(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pages of the boards (page_id, url, html), the boards (site, board, url) and their checkpoints."""
     base = F.concat(F.lit("https://board.example/b"), F.col("page_id") % 7, F.lit("/"))
     number = (
         F.when(F.col("page_id") % 11 == 10, None).when(F.col("page_id") % 13 == 12, F.concat(F.lit("gone/"), "page_id"))
         .when(F.col("page_id") % 17 == 16, (F.col("page_id") % 7).cast("string")).otherwise((F.col("page_id") + 7).cast("string"))
     )
     link = F.concat(F.lit("<p><a REL=next href='/b"), F.col("page_id") % 7, F.lit("/"), number, F.lit("'>on</a></p>"))
-    pages = t.pages.select("page_id", base.alias("site"), F.concat(base, "page_id").alias("url"), F.concat("html", F.coalesce(link, F.lit(""))).alias("html"))
-    read = materialized(t.parsed(pages.drop("site")).select(
+    pages = t.pages.select("page_id", F.concat(base, "page_id").alias("url"), F.concat("html", F.coalesce(link, F.lit(""))).alias("html"))
+    named = t.pages.select("page_id", base.alias("site"), F.concat(base, "page_id").alias("url"), F.col("page_id").cast("string").alias("board"))
+    targets = named.groupBy("site").agg(F.min_by("url", "page_id").alias("url")).select("site", F.lit("all").alias("board"), "url").unionByName(
+        named.where("page_id % 5 = 0").select("site", "board", "url"))
+    checkpoints = named.where("page_id % 10 = 0").select(
+        "site", "board", F.lit(3).alias("current_page"), F.when(F.col("page_id") % 30 == 0, "completed").otherwise("running").alias("status"))
+    return pages, targets, checkpoints
+
+
+def _walk(t: Tables) -> dict[str, DataFrame]:
+    """Links come from the parsed pages."""
+    pages, targets, checkpoints = boards(t)
+    read = materialized(t.parsed(pages).select(
         "page_id", "url", F.col("nodes").isNotNull().alias("fetched"), E.next_page(F.col("nodes"), F.col("url"), PAGER).alias("next_url")), "read-pages")
-    pages = pages.drop("html")
-    boards = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url")).select("site", F.lit("all").alias("board"), "url").unionByName(
-        pages.where("page_id % 5 = 0").select("site", F.col("page_id").cast("string").alias("board"), "url"))
-    even = pages.where("page_id % 10 = 0")
-    checkpoints = even.select(
-        "site", F.col("page_id").cast("string").alias("board"), F.lit(3).alias("current_page"),
-        F.when(F.col("page_id") % 30 == 0, "completed").otherwise("running").alias("status"))
-    return walk.board_walk(boards, read, checkpoints, max_pages=9)
+    return walk.board_walk(targets, read, checkpoints, max_pages=9)
 
 
 @query(f"""WITH RECURSIVE {_WALK}
