@@ -10,8 +10,8 @@ from harrow.operators import dedup, frontier
 from harrow.operators.dom import flat_links
 from harrow.operators.skew import without_known
 from harrow.plans import sql
-from harrow.session import materialized
 from harrow.plans.registry import Tables, query
+from harrow.session import materialized
 
 
 @query("""
@@ -29,7 +29,8 @@ def d1_link_duplicates(t: Tables) -> DataFrame:
     links = flat_links(t.pages, "page_id", "url").select(
         "page_id", "pos", U.resolve_url(F.col("url"), F.col("href")).alias("image_url")
     )
-    return dedup.url_duplicates(links, "image_url", ["page_id", "pos"]).drop("image_url", "url_hash")
+    # Read twice below: once for the firsts, once for the marks.
+    return dedup.url_duplicates(materialized(links, "links"), "image_url", ["page_id", "pos"]).drop("image_url", "url_hash")
 
 
 @query("""

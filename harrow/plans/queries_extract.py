@@ -122,8 +122,7 @@ SELECT page_id, CASE WHEN page_id % 5 = 0 THEN l[1]
   ELSE coalesce(CASE WHEN l[1] = good[1] THEN l[1] END, list_filter(good, lambda x: regexp_matches(x, '[0-9]'))[1], good[1]) END AS link
 FROM ok""")
 def e8_article_link(t: Tables) -> DataFrame:
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    n = F.col("page_id")
+    hrefs, n = F.col("hrefs"), F.col("page_id")
 
     def change(x: Column, i: Column) -> Column:
         return (
@@ -135,7 +134,8 @@ def e8_article_link(t: Tables) -> DataFrame:
     links = F.array_join(F.transform(F.transform(hrefs, change), lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), "")
     first = F.concat(F.lit('<a href="'), F.get(F.transform(hrefs, change), F.lit(0)), F.lit('">x</a>'))
     title = F.when(n % 5 == 0, F.concat(F.lit('<b class="title">'), first, F.lit("</b>"))).otherwise('<b class="title">t</b>')
-    pages = _rewritten(t, F.concat(F.lit('<div class="article">'), links, title, F.lit("</div>")))
+    html = F.concat(F.lit('<div class="article">'), links, title, F.lit("</div>"))
+    pages = dom.parse_pages(dom.page_links(t.pages, "page_id").select("page_id", html.alias("html")))
     nodes = F.col("nodes")
     return pages.select(
         "page_id",
@@ -291,6 +291,5 @@ def t4_document_order(t: Tables) -> DataFrame:
 WITH {sql.LINKS}, firsts AS (SELECT page_id, substr(href, 2, 1) AS letter, min(pos) AS first_pos FROM links GROUP BY 1, 2)
 SELECT page_id, string_agg(letter, ',' ORDER BY first_pos) AS letters FROM firsts GROUP BY 1""")
 def u3_ordered_distinct(t: Tables) -> DataFrame:
-    hrefs = F.regexp_extract_all("html", F.lit(sql.LINK), F.lit(1))
-    letters = F.array_distinct(F.transform(hrefs, lambda h: F.substring(h, 2, 1)))
-    return t.pages.where(F.size(hrefs) > 0).select("page_id", F.array_join(letters, ",").alias("letters"))
+    letters = F.array_distinct(F.transform("hrefs", lambda h: F.substring(h, 2, 1)))
+    return dom.page_links(t.pages, "page_id").where(F.size("hrefs") > 0).select("page_id", F.array_join(letters, ",").alias("letters"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import urls as U
 from harrow.operators import frontier
-from harrow.operators.dom import flat_links
+from harrow.operators.dom import flat_links, page_links
 from harrow.plans import sql
 from harrow.plans.registry import Tables, query
 from harrow.session import materialized
@@ -112,8 +112,7 @@ def w3_crawled_pages(t: Tables) -> DataFrame:
 
 @query(f"WITH {sql.LINKS} SELECT page_id, href AS image_url, CAST(pos AS INTEGER) AS image_index FROM links")
 def w4_image_index(t: Tables) -> DataFrame:
-    hrefs = F.regexp_extract_all("html", F.lit(sql.LINK), F.lit(1))
-    return frontier.image_index(t.pages.select("page_id", hrefs.alias("images")))
+    return frontier.image_index(page_links(t.pages, "page_id").withColumnRenamed("hrefs", "images"))
 
 
 @query(f"""WITH {sql.LINKS}

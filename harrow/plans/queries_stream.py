@@ -75,9 +75,8 @@ def st2_image_tasks(t: Tables) -> DataFrame:
 
     def articles(pages: DataFrame) -> DataFrame:
         url = F.col("url")
-        hrefs = F.regexp_extract_all("html", F.lit(sql.LINK), F.lit(1))
-        images = F.transform(hrefs, lambda h: F.concat(U.base_url(url), h, F.lit("-30x20.jpg")))
-        return pages.select(U.host(url).alias("site"), U.article_id(url).alias("article_id"), images.alias("images"))
+        images = F.transform("hrefs", lambda h: F.concat(U.base_url(url), h, F.lit("-30x20.jpg")))
+        return dom.page_links(pages, "url").select(U.host(url).alias("site"), U.article_id(url).alias("article_id"), images.alias("images"))
 
     tasks = C.image_tasks(articles(_streamed(t).pages), F.lit("img"))
     C.ingest(tasks, lambda batch, _: batch, f"{root}/out", f"{root}/checkpoint").awaitTermination()
