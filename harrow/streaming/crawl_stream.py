@@ -146,41 +146,48 @@ def _counted(outcomes: DataFrame, at: str | None) -> DataFrame:
     return outcomes.select(*columns).mapInArrow(run, f"article_id {kind}, processed long, total_count long" + (f", {at} timestamp" if at else ""))
 
 
-def complete(outcomes: DataFrame, at: str | None = None, give_up: str | None = None) -> DataFrame:
+def complete(outcomes: DataFrame, at: str | None = None, give_up: str | None = None, buckets: int = 256) -> DataFrame:
     """ST3: (article_id, processed, total_count) of an article when its last image is processed.
 
-    The state is one counter for each article that is not complete yet; it goes when
-    the article is reported. Of articles that never get all their outcomes it goes
-    after ``give_up`` of the event time ``at``, where these are given. An outcome that
-    comes after the report begins a counter of its own.
+    The state holds a counter for each article that is not complete yet, as one table
+    for each of ``buckets`` hash buckets, so a batch takes a few steps over columns
+    for each bucket and none for each article; a cluster with many articles under way
+    gives more buckets. A counter goes when its article is reported and, where the
+    event time ``at`` and ``give_up`` are given, when nothing was heard of the article
+    for so long. An outcome that comes after the report begins a counter of its own.
     """
     kind = outcomes.schema["article_id"].dataType.simpleString()
     patience = int(pd.Timedelta(give_up).total_seconds() * 1000) if at and give_up else 0
     counted = _counted(outcomes, at if patience else None)
     if patience:
         counted = counted.withWatermark(at, give_up)
-
-    def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        processed, total = state.get if state.exists else (0, 0)
-        last = None
-        for some in rows:
-            processed += int(some["processed"].sum())
-            total = max(total, int(some["total_count"].fillna(0).max()))
-            last = some[at].max() if patience else None
-        if processed >= total > 0:
+    bucketed = counted.withColumn("_bucket", F.pmod(F.xxhash64("article_id"), F.lit(buckets)))
+
+    def count(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = [some.drop(columns="_bucket") for some in rows]
+        if state.exists:
+            held = pa.ipc.open_stream(state.get[0]).read_pandas()
+            if patience:
+                held = held[held[at].isna() | (held[at] > pd.Timestamp(state.getCurrentWatermarkMs() - patience, unit="ms"))]
+            told.insert(0, held)
+        every = pd.concat(told, ignore_index=True)
+        every["total_count"] = every["total_count"].fillna(0).astype("int64")
+        sums = {"processed": "sum", "total_count": "max", **({at: "max"} if patience else {})}
+        every = every.groupby("article_id", sort=False, as_index=False).agg(sums)
+        done = (every["total_count"] > 0) & (every["processed"] >= every["total_count"])
+        left = pa.Table.from_pandas(every[~done], preserve_index=False)
+        if left.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, left.schema) as out:
+                out.write_table(left)
+            state.update((sink.getvalue().to_pybytes(),))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"article_id": [key[0]], "processed": [processed], "total_count": [total]})
-        else:
-            state.update((processed, total))
-            if patience and not pd.isna(last):
-                state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + patience)
-
-    return counted.groupBy("article_id").applyInPandasWithState(
-        count, f"article_id {kind}, processed long, total_count long", "processed long, total_count long", "update",
-        GroupStateTimeout.EventTimeTimeout if patience else GroupStateTimeout.NoTimeout)
+        if done.any():
+            yield every.loc[done, ["article_id", "processed", "total_count"]]
+
+    return bucketed.groupBy("_bucket").applyInPandasWithState(
+        count, f"article_id {kind}, processed long, total_count long", "open binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_completions(
