@@ -54,7 +54,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     from harrow.plans import (  # noqa: F401
-        queries_dedup, queries_extract, queries_frontier, queries_profile, queries_rules, queries_runs, queries_state, queries_stream, queries_text, queries_walk,
+        queries_dedup, queries_extract, queries_files, queries_frontier, queries_profile, queries_rules, queries_runs, queries_state, queries_stream, queries_text, queries_walk,
     )
 
 
