@@ -286,6 +286,89 @@ def page_tags(pages: DataFrame, tags: Sequence[str], attrs: Sequence[str] | None
     return pages.select(*keys, html).mapInArrow(run, f"{schema}, elements {TAG_TYPE}")
 
 
+def _enclosing(outer_lo: np.ndarray, outer_hi: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over intervals and positions in order, with a stack of the open intervals.
+
+    (nearest, depth) of each position and of each interval: the number of the
+    innermost interval around it, -1 if there is none, and how many there are.
+    """
+    stack: list[tuple[int, int]] = []  # (end, number)
+    near_outer, deep_outer = np.empty(len(outer_lo), np.int64), np.empty(len(outer_lo), np.int64)
+    near_inner, deep_inner = np.empty(len(inner), np.int64), np.empty(len(inner), np.int64)
+    starts, ends, places = outer_lo.tolist(), outer_hi.tolist(), inner.tolist()
+    n = 0
+    for k, place in enumerate([*places, None]):
+        # Intervals that begin before the position; an element is not inside itself.
+        while n < len(starts) and (place is None or starts[n] < place):
+            while stack and stack[-1][0] < starts[n]:
+                stack.pop()
+            near_outer[n], deep_outer[n] = (stack[-1][1] if stack else -1), len(stack)
+            stack.append((ends[n], n))
+            n += 1
+        if place is not None:
+            while stack and stack[-1][0] < place:
+                stack.pop()
+            near_inner[k], deep_inner[k] = (stack[-1][1] if stack else -1), len(stack)
+    return near_outer, deep_outer, near_inner, deep_inner
+
+
+ENCLOSED = (
+    "outers array<struct<lo:int,hi:int,tag:string,around:int,depth:int>>, "
+    "inners array<struct<lo:int,tag:string,attrs:map<string,string>,around:int,depth:int>>"
+)
+
+
+def enclosing(parsed: DataFrame, outer: list[list[dict]], inner: list[list[dict]], *keys: str) -> DataFrame:
+    """(keys, outers, inners): how the elements of two rules lie in each other.
+
+    ``around`` is the place in ``outers`` (from 0) of the innermost outer element
+    around an element, NULL if there is none, and ``depth`` the number of all of them:
+    those around it are ``around``, the ``around`` of that, and so on. Time and output
+    are linear in the elements, however deep they are nested; see ``inside_pairs``
+    for all pairs. A missing page gives NULL.
+    """
+    found = parsed.select(
+        *keys,
+        F.transform(find_all(F.col("nodes"), outer), lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), e["tag"].alias("tag"))).alias("outers"),
+        F.transform(find_all(F.col("nodes"), inner), lambda e: F.struct(e["lo"].alias("lo"), e["tag"].alias("tag"), e["attrs"].alias("attrs"))).alias("inners"),
+    )
+    schema = ", ".join(f"`{c}` {parsed.schema[c].dataType.simpleString()}" for c in keys)
+
+    def parts(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        flat = column.flatten()
+        lengths = np.array(column.value_lengths().fill_null(0), np.int64)
+        return np.append(0, np.cumsum(lengths)), [flat.field(c) for c in names]
+
+    def lists(offsets: np.ndarray, fields: dict[str, pa.Array], like: pa.Array) -> pa.Array:
+        structs = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), structs, mask=like.is_null())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outer_at, (o_lo, o_hi, o_tag) = parts(batch.column("outers"), ["lo", "hi", "tag"])
+            inner_at, (i_lo, i_tag, i_attrs) = parts(batch.column("inners"), ["lo", "tag", "attrs"])
+            los, his, places = o_lo.to_numpy(), o_hi.to_numpy(), i_lo.to_numpy()
+            found = [
+                _enclosing(los[a:b], his[a:b], places[c:d])
+                for a, b, c, d in zip(outer_at, outer_at[1:], inner_at, inner_at[1:], strict=False)]
+            columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+            around = [pa.array(x.astype(np.int32), mask=x < 0) for x in (columns[0], columns[2])]
+            depth = [pa.array(x.astype(np.int32)) for x in (columns[1], columns[3])]
+            outers = lists(outer_at, {"lo": o_lo, "hi": o_hi, "tag": o_tag, "around": around[0], "depth": depth[0]}, batch.column("outers"))
+            inners = lists(inner_at, {"lo": i_lo, "tag": i_tag, "attrs": i_attrs, "around": around[1], "depth": depth[1]}, batch.column("inners"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], outers, inners], names=[*keys, "outers", "inners"])
+
+    return found.mapInArrow(run, f"{schema}, {ENCLOSED}")
+
+
+def nearest_outer(parsed: DataFrame, outer: list[list[dict]], inner: list[list[dict]], *keys: str) -> DataFrame:
+    """One row for each inner element, with the innermost outer element around it, if any, and their number."""
+    near = lambda x: F.get("outers", x["around"])
+    rows = F.transform("inners", lambda i: F.struct(
+        i["lo"].alias("inner_lo"), i["attrs"].alias("attrs"), near(i)["lo"].alias("outer_lo"), near(i)["tag"].alias("outer_tag"), i["depth"].alias("depth")))
+    return enclosing(parsed, outer, inner, *keys).select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+
+
 def page_links(pages: DataFrame, *keys: str) -> DataFrame:
     """(keys, hrefs): the addresses of a page's anchors, in document order; NULL for a missing page."""
     anchors = page_tags(pages, ["a"], ["href"], *keys)

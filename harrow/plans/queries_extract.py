@@ -277,6 +277,19 @@ def j6_inside(t: Tables) -> DataFrame:
     return pairs.select("page_id", F.element_at("attrs", "href").alias("href"))
 
 
+@query(f"""
+WITH {sql.LINKS} SELECT page_id, href, CASE WHEN page_id % 2 = 0 THEN 'li' ELSE 'ul' END AS outer_tag,
+  CAST(CASE WHEN page_id % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) + CAST(page_id % 7 AS INTEGER) AS depth FROM links""")
+def j6_nearest(t: Tables) -> DataFrame:
+    """Pages wrapped into up to six sections; list items count as outer elements on even pages."""
+    wraps = (F.col("page_id") % 7).cast("int")
+    html = F.concat(F.repeat(F.lit("<section>"), wraps), F.regexp_extract("html", r"(?s)<nav>.*?</nav>", 0), F.repeat(F.lit("</section>"), wraps))
+    pages = t.pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.replace(html, F.lit("<li>"), F.lit('<li class="o">'))).otherwise(html))
+    outer = [[step("section")], [step("nav")], [step("ul")], [step("li", "o")]]
+    found = dom.nearest_outer(t.parsed(pages), outer, one("a"), "page_id")
+    return found.select("page_id", F.element_at("attrs", "href").alias("href"), "outer_tag", "depth")
+
+
 @query(f"WITH {sql.LINKS} SELECT page_id, pos, href FROM links")
 def t4_document_order(t: Tables) -> DataFrame:
     """Two overlapping rules still give every link once and in document order."""
