@@ -28,6 +28,10 @@ def _rewritten(t: Tables, html: Column) -> DataFrame:
     return t.parsed(t.pages.withColumn("html", html))
 
 
+_AD = "regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)"
+_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+
+
 @query(f"WITH {sql.LINKS} SELECT page_id, pos, href FROM links")
 def e1_flat_links(t: Tables) -> DataFrame:
     return dom.flat_links(t.pages, "page_id")
@@ -72,8 +76,15 @@ def e3_thread_detail(t: Tables) -> DataFrame:
     return E.thread_detail(pages, [[step("nav"), step("img")]], "page_id").drop("images", "metadata")
 
 
-_AD = "regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)"
-_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+@query(f"""
+WITH {sql.LINKS}, titles AS (
+  SELECT page_id, unnest(t) AS title, generate_subscripts(t, 1) AS pos FROM (SELECT page_id, {_NAV_TEXT} AS t FROM pages))
+SELECT page_id, pos, {sql.resolved()} AS thread_url, {sql.strip(sql.unescape('title'))} AS title FROM links JOIN titles USING (page_id, pos)""")
+def e2_forum_markup(t: Tables) -> DataFrame:
+    """Lists without end tags, as forums write them: a new item ends the one before."""
+    html = F.regexp_replace("html", "</li>|</ul>|</p>", "")
+    parsed = dom.parse_pages(spread(t.pages.withColumn("html", F.regexp_replace(html, "</nav>", "</ul></nav>"))), implied_ends=True)
+    return E.thread_list(parsed, NAV_ITEMS, one("a"), "page_id").select("page_id", "pos", "thread_url", "title")
 
 
 @query(f"""
@@ -89,6 +100,24 @@ def e4_thread_metadata(t: Tables) -> DataFrame:
     return pages.select("page_id", E.thread_metadata(F.col("nodes")).alias("m")).select("page_id", "m.*")
 
 
+@query(f"""
+WITH {sql.LINKS}, shown AS (
+  SELECT page_id, {sql.resolved()} AS image, min(pos) AS pos FROM links
+  WHERE regexp_matches(lower({sql.resolved()}), 'image|img|photo|pic|attachment|\\.(jpg|jpeg|png|gif|bmp|webp)$') GROUP BY 1, 2),
+listed AS (SELECT page_id, string_agg(image, ' ' ORDER BY pos) AS images FROM shown GROUP BY 1)
+SELECT page_id, coalesce(images, '') AS images, {sql.strip(sql.unescape(_H1))} AS author, {sql.strip(sql.unescape(_AD))} AS post_time,
+  page_id * 1001 AS views, CASE WHEN page_id % 2 = 0 THEN page_id + 5 END AS replies
+FROM pages LEFT JOIN listed USING (page_id)""")
+def e3_images_and_metadata(t: Tables) -> DataFrame:
+    """The pictures of a thread in their order, and its metadata."""
+    n = F.col("page_id")
+    views = F.format_string('<nav><i class="the-view">seen %,d times</i>', n * 1001)
+    replies = F.when(n % 2 == 0, F.format_string('<b class="replies">%d / 7</b>', n + 5)).otherwise("")
+    named = F.replace(F.replace("html", F.lit("<h1>"), F.lit('<h1 class="x username">')), F.lit('"ad"'), F.lit('"timer"'))
+    pages = _rewritten(t, F.replace(F.replace(named, F.lit("<nav>"), F.concat(views, replies)), F.lit("<a href="), F.lit("<img src=")))
+    return E.thread_detail(pages, [[step("nav"), step("img")]], "page_id").select("page_id", F.array_join("images", " ").alias("images"), "metadata.*")
+
+
 @query(f"SELECT page_id, {sql.text(_ARTICLE, 'chr(10)')} AS content FROM pages")
 def e5_thread_content(t: Tables) -> DataFrame:
     return _parsed(t).select("page_id", E.thread_content(F.col("nodes")).alias("content"))
@@ -113,6 +142,18 @@ def e7_article_list(t: Tables) -> DataFrame:
     return E.article_list(_parsed(t), "page_id", site_base=U.base_url(F.col("url")), rules=_NEWS_RULES)
 
 
+@query(f"""
+WITH {sql.LINKS}, titles AS (
+  SELECT page_id, unnest(t) AS title, generate_subscripts(t, 1) AS pos FROM (SELECT page_id, {_NAV_TEXT} AS t FROM pages))
+SELECT page_id, pos, {sql.article_id('href')} AS article_id, {sql.strip(sql.unescape('title'))} AS title, '{E.UNKNOWN_AUTHOR}' AS author,
+  CAST(NULL AS VARCHAR) AS date, '' AS summary, {sql.resolved()} AS article_url
+FROM links JOIN titles USING (page_id, pos)""")
+def e7_several_entries(t: Tables) -> DataFrame:
+    """Every item of a page's list is an entry."""
+    rules = {"article": NAV_ITEMS, "title": one("a")}
+    return E.article_list(_parsed(t), "page_id", site_base=U.base_url(F.col("url")), rules=rules)
+
+
 @query("""
 WITH hrefs AS (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
   lambda x, i: CASE WHEN i % 3 = 0 AND page_id % 2 = 0 THEN x || i WHEN regexp_matches(x, '^/[a-mA-M]') THEN x || '.PNG' ELSE x END) AS l
@@ -161,6 +202,19 @@ def e9_article_detail(t: Tables) -> DataFrame:
     return E.article_detail(_parsed(t), "page_id").withColumn("n_images", F.size("images")).drop("images")
 
 
+@query(f"""
+WITH {sql.LINKS}, shown AS (
+  SELECT page_id, {sql.resolved()} || '.JPG' AS image, min(pos) AS pos FROM links WHERE regexp_matches(href, '^/[a-m]') GROUP BY 1, 2
+  UNION ALL SELECT page_id, {sql.resolved()}, min(pos) FROM links
+  WHERE NOT regexp_matches(href, '^/[a-m]') AND regexp_matches(lower(href), '\\.(jpg|jpeg|png|gif|webp)') GROUP BY 1, 2),
+listed AS (SELECT page_id, string_agg(image, ' ' ORDER BY pos) AS images FROM shown GROUP BY 1)
+SELECT page_id, coalesce(images, '') AS images FROM pages LEFT JOIN listed USING (page_id)""")
+def e9_article_images(t: Tables) -> DataFrame:
+    """The pictures an article links to, each once and in order."""
+    pages = _rewritten(t, F.regexp_replace("html", '<a href="(/[a-m][^"]*)"', '<a href="$1.JPG"'))
+    return E.article_detail(pages, "page_id").select("page_id", F.array_join("images", " ").alias("images"))
+
+
 @query("""
 SELECT page_id, page_id % 5 = 0 OR page_id % 7 = 0
   OR regexp_matches(lower(html), '查看更多|load more|加载更多|show more|更多') AS has_more FROM pages""")

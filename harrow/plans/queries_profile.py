@@ -11,7 +11,8 @@ from harrow.operators import dom
 from harrow.operators import profile as P
 from harrow.operators.dom import step
 from harrow.plans import sql
-from harrow.plans.registry import Tables, query
+from harrow.plans.crawl import detect_rules
+from harrow.plans.registry import Tables, query, spread
 from harrow.sources.rules import process_images, with_presets
 
 
@@ -208,6 +209,34 @@ def p7_site_profiles(t: Tables) -> DataFrame:
     )
 
 
+_SITES = f"""{_PROFILE}, sites AS (
+  SELECT site, CASE WHEN sum(nxt) > 0 THEN 'a' ELSE '' END AS next_selector, avg(link) AS link, CASE WHEN sum(nxt) > 0 THEN 0.9 ELSE 0.0 END AS nxt FROM profile GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_SITES}
+SELECT site, '' AS list_selector, 0.0 AS list_confidence, 'a' AS link_selector, 'img' AS image_selector, 0.3 AS image_confidence, next_selector,
+  nxt AS next_confidence, round((0.0 + link + 0.3 + nxt) / 4, 6) AS overall, 'uncertain' AS status FROM sites""")
+def p7_site_votes(t: Tables) -> DataFrame:
+    """Every rule of a site with its confidence, and the verdict over all of them."""
+    typed = t.pages.withColumn("site", U.host(F.col("url"))).withColumn("forum_type", P.forum_type(F.col("html")))
+    sites = P.site_profiles(P.page_profiles(t.parsed(typed), "site", "page_id"))
+    return sites.select(
+        "site", F.col("thread_list.selector").alias("list_selector"), F.round("thread_list.confidence", 9).alias("list_confidence"),
+        F.col("thread_link.selector").alias("link_selector"), F.col("image.selector").alias("image_selector"),
+        F.round("image.confidence", 9).alias("image_confidence"), F.col("next_page.selector").alias("next_selector"),
+        F.round("next_page.confidence", 9).alias("next_confidence"), F.round("overall", 6).alias("overall"), "status")
+
+
+@query(f"""
+WITH {_SITES}
+SELECT site, 'Auto-custom' AS name, 'bbs' AS crawler_type, 'custom' AS forum_type, 'https://' || site AS base_url, '' AS thread_list_selector,
+  'a' AS thread_link_selector, 'img' AS image_selector, next_selector AS next_page_selector FROM sites""")
+def run_detected_rules(t: Tables) -> DataFrame:
+    """The rules guessed for every host, as a crawl would use them."""
+    return detect_rules(spread(t.pages))
+
+
 @query(f"""
 WITH {_OCCURRENCES}
 SELECT page_id, lo AS pos, 'a.' || split_part(classes, ' ', 1) AS by_class, 'a.' || replace(classes, ' ', '.') AS as_link,
