@@ -220,21 +220,25 @@ class Lanes:
         by_time[place] = self.lane
         self.lane = by_time
 
-    def forward(self, model: Model, start: np.ndarray, cut: tuple[int, int], alpha: np.ndarray | None, keep: bool) -> tuple:
-        """Emissions and scale of every token between two times, its scaled forward probabilities if asked for, and the last of them."""
+    def forward(self, model: Model, emit: np.ndarray, start: np.ndarray, cut: tuple[int, int], alpha: np.ndarray | None, keep: bool) -> tuple:
+        """Emissions and scale of every token between two times, its scaled forward probabilities if asked for, and the last of them.
+
+        ``emit`` has the states in rows, as have all arrays here: the sums over the few states run along the many lanes.
+        """
         low, high = cut
         base = self.at[low]
-        emitted = model.emit[self.observed[base: self.at[high]]]
-        scale = np.empty(len(emitted))
+        emitted = emit.take(self.observed[base: self.at[high]], axis=1)
+        scale = np.empty(emitted.shape[1])
         all_alpha = np.empty_like(emitted) if keep else None
+        move = np.ascontiguousarray(model.move.T)
         for t in range(low, high):
             n, a, b = int(self.active[t]), self.at[t] - base, self.at[t + 1] - base
-            alpha = (start if alpha is None else alpha[:n] @ model.move) * emitted[a:b]
-            total = alpha.sum(axis=1)
-            alpha /= total[:, None]
+            alpha = (start if alpha is None else move @ alpha[:, :n]) * emitted[:, a:b]
+            total = alpha.sum(axis=0)
+            alpha /= total
             scale[a:b] = total
             if keep:
-                all_alpha[a:b] = alpha
+                all_alpha[:, a:b] = alpha
         return emitted, scale, all_alpha, alpha
 
     def cuts(self) -> list[tuple[int, int]]:
@@ -243,10 +247,11 @@ class Lanes:
 
     def log10_likelihood(self, model: Model) -> np.ndarray:
         """Of each sequence, in the order given."""
-        start, alpha = np.broadcast_to(model.first, (self.active[0], len(model.first))), None
+        emit = np.ascontiguousarray(model.emit.T)
+        start, alpha = np.broadcast_to(model.first[:, None], (len(model.first), self.active[0])), None
         total = np.zeros(len(self.order))
         for cut in self.cuts():
-            _, scale, _, alpha = self.forward(model, start, cut, alpha, False)
+            _, scale, _, alpha = self.forward(model, emit, start, cut, alpha, False)
             total += np.bincount(self.lane[self.at[cut[0]]: self.at[cut[1]]], np.log10(scale), len(self.order))
         out = np.empty(len(self.order))
         out[self.order] = total
@@ -255,32 +260,35 @@ class Lanes:
     def expected(self, model: Model, continued: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts: first states, states of continued sequences, moves, emissions."""
         later = continued[self.order]
-        start = np.where(later[:, None], model.again, model.first)
+        emit = np.ascontiguousarray(model.emit.T)
+        start = np.where(later, model.again[:, None], model.first[:, None])
         cuts, entering = self.cuts(), [None]
         for cut in cuts[:-1]:
-            entering.append(self.forward(model, start, cut, entering[-1], False)[3])
-        moves, emits, after = np.zeros_like(model.move), np.zeros_like(model.emit), None
+            entering.append(self.forward(model, emit, start, cut, entering[-1], False)[3])
+        moves, emits, after = np.zeros_like(model.move), np.zeros_like(emit), None
         for cut, alpha in zip(cuts[::-1], entering[::-1], strict=True):
             low, high = cut
             base, at = self.at[low], self.at - self.at[low]
-            emitted, scale, alpha, _ = self.forward(model, start, cut, alpha, True)
-            weighted = emitted / scale[:, None]  # becomes emission * beta / scale
+            weighted, scale, alpha, _ = self.forward(model, emit, start, cut, alpha, True)
+            weighted /= scale  # becomes emission * beta / scale
             beta = np.ones_like(alpha)
             for t in range(high - 1, low - 1, -1):
                 if after is not None:
-                    beta[at[t]: at[t] + len(after)] = after @ model.move.T
+                    lanes = slice(at[t], at[t] + after.shape[1])
+                    np.matmul(model.move, after, out=beta[:, lanes])
                     if t == high - 1:
-                        moves += alpha[at[t]: at[t] + len(after)].T @ after
-                after = weighted[at[t]: at[t + 1]]
-                after *= beta[at[t]: at[t + 1]]
-            states = alpha * beta
-            states /= states.sum(axis=1, keepdims=True)
+                        moves += alpha[:, lanes] @ after.T
+                after = weighted[:, at[t]: at[t + 1]]
+                after *= beta[:, at[t]: at[t + 1]]
             if high - low > 1:
-                moves += alpha[ragged(at[low: high - 1], self.active[low + 1: high])].T @ weighted[at[low + 1]:]
+                moves += alpha.take(ragged(at[low: high - 1], self.active[low + 1: high]), axis=1) @ weighted[:, at[low + 1]:].T
+            states = np.multiply(alpha, beta, out=beta)
+            states /= states.sum(axis=0)
             seen = self.observed[base: self.at[high]]
-            emits += np.stack([np.bincount(seen, states[:, k], len(model.emit)) for k in range(states.shape[1])], axis=1)
-        begun = states[: self.active[0]]
-        return begun[~later].sum(axis=0), begun[later].sum(axis=0), model.move * moves, emits
+            for k, own in enumerate(states):
+                emits[k] += np.bincount(seen, own, emits.shape[1])
+        begun = states[:, : self.active[0]]
+        return begun[:, ~later].sum(axis=1), begun[:, later].sum(axis=1), model.move * moves, emits.T
 
 
 def grouped(lengths: np.ndarray, limit: int = LANES_TOKENS) -> Iterator[np.ndarray]:
