@@ -116,22 +116,28 @@ def forum_images(nodes: Column, base: Column, found: Column, formats=None) -> Co
     return F.filter(urls, lambda u: U.is_image_url(u, formats))
 
 
+def matches(nodes: Column, rule: Rule | Column, scope: Column | None = None) -> Column:
+    """The elements of a rule that is fixed or comes from a column."""
+    return find_all(nodes, rule, scope) if isinstance(rule, list) else dom.find_all_by(nodes, rule, scope)
+
+
+def first_match(nodes: Column, rule: Rule | Column, scope: Column | None = None) -> Column:
+    return F.get(matches(nodes, rule, scope), F.lit(0))
+
+
 def thread_entries(nodes: Column, base: Column, list_rule: Rule | Column, link_rule: Rule | Column) -> Column:
     """(title, thread_url) of every list element with a usable link, in order; rules are fixed or from a column."""
 
-    def match(rule, scope=None):
-        return find_all(nodes, rule, scope) if isinstance(rule, list) else dom.find_all_by(nodes, rule, scope)
-
     def row(item: Column) -> Column:
         return let(
-            F.get(match(link_rule, subtree(nodes, item)), F.lit(0)),
+            first_match(nodes, link_rule, subtree(nodes, item)),
             lambda link: F.struct(
                 text_of(nodes, link).alias("title"),
                 U.resolve_url(base, filled_attr(link, "href")).alias("thread_url"),
             ),
         )
 
-    return F.filter(F.transform(match(list_rule), row), lambda r: r["thread_url"].isNotNull())
+    return F.filter(F.transform(matches(nodes, list_rule), row), lambda r: r["thread_url"].isNotNull())
 
 
 def thread_list(parsed: DataFrame, list_rule: Rule | Column, link_rule: Rule | Column, *keys: str) -> DataFrame:
@@ -144,10 +150,10 @@ def thread_list(parsed: DataFrame, list_rule: Rule | Column, link_rule: Rule | C
     )
 
 
-def first_text(nodes: Column, rule: Rule, scope: Column | None = None, separator: str = "") -> Column:
+def first_text(nodes: Column, rule: Rule | Column, scope: Column | None = None, separator: str = "") -> Column:
     """Text of the first match; NULL when nothing matches."""
     return let(
-        find_first(nodes, rule, scope),
+        first_match(nodes, rule, scope),
         lambda e: F.when(e["lo"].isNotNull(), text_of(nodes, e, separator)),
     )
 
@@ -180,7 +186,7 @@ def thread_content(nodes: Column, rule: Rule = THREAD_CONTENT_RULE) -> Column:
 def thread_detail(parsed: DataFrame, image_rule: Rule | Column, *keys: str) -> DataFrame:
     """One row per thread page."""
     nodes, url = _nodes(), F.col("url")
-    found = find_all(nodes, image_rule) if isinstance(image_rule, list) else dom.find_all_by(nodes, image_rule)
+    found = matches(nodes, image_rule)
     return parsed.where(F.col("nodes").isNotNull()).select(
         *keys,
         url.alias("thread_url"),
@@ -193,17 +199,16 @@ def thread_detail(parsed: DataFrame, image_rule: Rule | Column, *keys: str) -> D
 
 def next_page(nodes: Column, url: Column, rule: Rule | Column) -> Column:
     """The resolved link of the first match, else NULL."""
-    first = find_first(nodes, rule) if isinstance(rule, list) else F.get(dom.find_all_by(nodes, rule), F.lit(0))
-    return let(first, lambda e: U.resolve_url(url, filled_attr(e, "href")))
+    return let(first_match(nodes, rule), lambda e: U.resolve_url(url, filled_attr(e, "href")))
 
 
-def article_link(nodes: Column, article: Column, title: Column, link_rule: Rule) -> Column:
+def article_link(nodes: Column, article: Column, title: Column, link_rule: Rule | Column) -> Column:
     """The link of a list entry, trying the safest place first."""
     def is_file(href: Column) -> Column:
         return U.contains_any(F.lower(href), FILE_LINK_MARKS)
 
     in_title = filled_attr(find_first(nodes, ANY_LINK, subtree(nodes, title)), "href")
-    by_rule = filled_attr(find_first(nodes, link_rule, subtree(nodes, article)), "href")
+    by_rule = filled_attr(first_match(nodes, link_rule, subtree(nodes, article)), "href")
     hrefs = F.filter(
         F.transform(find_all(nodes, ANY_LINK, subtree(nodes, article)), lambda e: dom.attr(e, "href")),
         lambda h: ~is_file(h),
@@ -216,14 +221,17 @@ def article_link(nodes: Column, article: Column, title: Column, link_rule: Rule)
     )
 
 
-def article_entries(nodes: Column, site_base: Column, rules: dict[str, Rule] | None = None) -> Column:
-    """The entries of a news list page; those without title or link are dropped."""
+def article_entries(nodes: Column, site_base: Column, rules: dict[str, Rule | Column] | None = None) -> Column:
+    """The entries of a news list page; those without title or link are dropped.
+
+    Rules are fixed, or columns of steps where every site has its own (``sources.rules.with_news_rules``).
+    """
     rules = {**ARTICLE_RULES, **(rules or {})}
 
     def row(article: Column) -> Column:
         scope = subtree(nodes, article)
         return let(
-            find_first(nodes, rules["title"], scope),
+            first_match(nodes, rules["title"], scope),
             lambda title: F.struct(
                 F.when(title["lo"].isNotNull(), text_of(nodes, title)).alias("title"),
                 F.coalesce(first_text(nodes, rules["author"], scope), F.lit(UNKNOWN_AUTHOR)).alias("author"),
@@ -242,7 +250,7 @@ def article_entries(nodes: Column, site_base: Column, rules: dict[str, Rule] | N
         )
 
     rows = F.filter(
-        F.transform(find_all(nodes, rules["article"]), row),
+        F.transform(matches(nodes, rules["article"]), row),
         lambda r: r["link"].isNotNull() & (r["title"] != ""),
     )
     return F.transform(rows, finished)

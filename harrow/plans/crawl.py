@@ -13,7 +13,7 @@ from harrow.operators.profile import detected_rules, forum_type, page_profiles,
 from harrow.operators.skew import keep_first
 from harrow.operators.state import upsert_threads
 from harrow.session import materialized
-from harrow.sources.rules import process_images, with_site_rules
+from harrow.sources.rules import news_rule_columns, process_images, with_news_rules, with_site_rules
 from harrow.streaming.crawl_stream import image_tasks
 
 
@@ -72,12 +72,17 @@ def news_crawl(
     article_rules: dict | None = None,
     max_pages: int | None = None,
     start_page: int = 1,
+    site_rules: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """News flow: list pages -> how far to go -> new articles -> detail -> image tasks.
 
-    ``list_pages`` has (site, page, url, html), ``article_pages`` (url, html).
+    ``list_pages`` has (site, page, url, html), ``article_pages`` (url, html). The
+    rules of the lists are the same for all sites, or each site has its own in
+    ``site_rules`` (see ``with_news_rules``).
     """
     nodes = F.col("nodes")
+    if site_rules is not None:
+        list_pages, article_rules = with_news_rules(list_pages, site_rules, page_id="url"), news_rule_columns()
     lists = dom.parse_pages(list_pages)
     found = extract.article_entries(nodes, U.base_url(F.col("url")), article_rules)
     read = materialized(

@@ -14,7 +14,7 @@ from harrow.operators.extract import one
 from harrow.operators.frontier import list_fields_win
 from harrow.plans import sql
 from harrow.plans.registry import Tables, query, spread
-from harrow.sources.rules import with_site_rules
+from harrow.sources.rules import news_rule_columns, with_news_rules, with_site_rules
 
 NAV_ITEMS = [[step("nav"), step("li")]]
 NAV_LINKS = [[step("nav"), step("a")]]
@@ -154,6 +154,25 @@ def e7_several_entries(t: Tables) -> DataFrame:
     return E.article_list(_parsed(t), "page_id", site_base=U.base_url(F.col("url")), rules=rules)
 
 
+@query(f"""
+WITH {sql.LINKS}, titles AS (
+  SELECT page_id, unnest(t) AS title, generate_subscripts(t, 1) AS pos FROM (SELECT page_id, {_NAV_TEXT} AS t FROM pages))
+SELECT page_id, pos, {sql.article_id('href')} AS article_id, {sql.strip(sql.unescape('title'))} AS title, {sql.resolved()} AS article_url
+FROM links JOIN titles USING (page_id, pos) WHERE page_id % 3 = 0
+UNION ALL
+SELECT page_id, 1, {sql.article_id('href')}, {sql.strip(sql.unescape(_H1))}, {sql.resolved('href', 'p.url')}
+FROM pages p JOIN links l USING (page_id) WHERE l.pos = 1 AND page_id % 3 = 1""")
+def e7_site_rules(t: Tables) -> DataFrame:
+    """Each site has rules of its own: list items, the whole body, or the usual ones, which find nothing here."""
+    site = F.concat(F.lit("s"), F.col("page_id") % 3)
+    rules = t.spark.createDataFrame(
+        [("s0", "nav li", "a", None), ("s1", "body", "h1", "nav a"), ("s2", " ", None, None)],
+        "site string, article_selector string, title_selector string, link_selector string")
+    parsed = dom.parse_pages(with_news_rules(spread(t.pages).withColumn("site", site), rules))
+    found = E.article_list(parsed, "page_id", site_base=U.base_url(F.col("url")), rules=news_rule_columns())
+    return found.select("page_id", "pos", "article_id", "title", "article_url")
+
+
 @query("""
 WITH hrefs AS (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
   lambda x, i: CASE WHEN i % 3 = 0 AND page_id % 2 = 0 THEN x || i WHEN regexp_matches(x, '^/[a-mA-M]') THEN x || '.PNG' ELSE x END) AS l

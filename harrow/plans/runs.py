@@ -20,7 +20,7 @@ from harrow.operators.skew import keep_first
 from harrow.operators.stats import completed_articles
 from harrow.operators.walk import board_walk, walk_checkpoints
 from harrow.session import materialized
-from harrow.sources.rules import process_images, with_site_rules
+from harrow.sources.rules import news_rule_columns, process_images, with_news_rules, with_site_rules
 from harrow.streaming.crawl_stream import completion_rows, image_tasks
 
 KEYS = ["site", "board"]
@@ -127,13 +127,15 @@ def news_run(
     start_page: int | None = None,
     resume: bool = True,
     outcomes: DataFrame | None = None,
+    site_rules: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One run over the news sites of ``list_pages`` (site, page, url, html).
 
     ``article_pages`` has (page_id, url, html). ``seen`` (``state.SEEN``) holds the
     ids that a site's earlier pages have shown; they count where a run goes on from
     its checkpoint. ``outcomes`` (article_id, outcome, total_count) tells what became
-    of the images; without it no article is stored as done. Returns ``extent`` (site,
+    of the images; without it no article is stored as done. ``site_rules`` gives each site
+    list rules of its own (see ``with_news_rules``). Returns ``extent`` (site,
     start_page, stop_page, stop_reason, status), ``new_articles``, ``failed``,
     ``articles`` (with details), ``image_tasks``, and the new tables ``stored``,
     ``seen`` and ``checkpoints``.
@@ -144,7 +146,10 @@ def news_run(
     points = frontier.resume_points(sites, checkpoints, F.lit(NEWS), wanted, max_pages, resume)
     points = materialized(points.where(F.col("action").isin("resume", "start")).select("site", "action", F.col("start_page").cast("long").alias("start_page")), "sites")
     # Sites that rest are not parsed; a few others may pass and fall out of the next join.
-    parsed = dom.parse_pages(passing(list_pages, points, "site"))
+    wanted_lists = passing(list_pages, points, "site")
+    if site_rules is not None:
+        wanted_lists, article_rules = with_news_rules(wanted_lists, site_rules, page_id="url"), news_rule_columns()
+    parsed = dom.parse_pages(wanted_lists)
     found = extract.article_entries(nodes, U.base_url(F.col("url")), article_rules)
     read = parsed.select(
         "site", F.col("page").cast("long").alias("page"), nodes.isNotNull().alias("fetched"), found.alias("entries"),

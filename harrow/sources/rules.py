@@ -112,6 +112,7 @@ def site_rules(files: DataFrame) -> DataFrame:
             "crawler",
             "image",
             F.when(prepend, F.concat(legacy, plain, objects)).otherwise(in_order).alias("targets"),
+            F.coalesce(legacy, F.array().cast("array<struct<type:string,name:string,url:string>>")).alias("legacy_boards"),
         )
     )
 
@@ -122,8 +123,13 @@ def targets(rules: DataFrame) -> DataFrame:
 
 
 def boards(rules: DataFrame) -> DataFrame:
-    """The boards to crawl."""
-    return targets(rules).where((F.col("type") == "board") & (F.col("url") != "")).select("site", "pos", "name", "url")
+    """The boards to crawl: a site's board targets or, where it has none, the boards of its older setting."""
+    is_board = lambda t: (t["type"] == "board") & (t["url"] != "")
+    listed = F.filter("targets", is_board)
+    older = rules["legacy_boards"] if "legacy_boards" in rules.columns else F.filter("targets", lambda _: F.lit(False))
+    none = rules.where(F.size(listed) == 0).select("site", F.posexplode(older).alias("pos", "t")).select("site", "pos", "t.*").where("url <> ''")
+    some = targets(rules).where((F.col("type") == "board") & (F.col("url") != ""))
+    return some.select("site", "pos", "name", "url").unionByName(none.select("site", "pos", "name", "url"))
 
 
 def page_entries(rules: DataFrame) -> DataFrame:
@@ -250,6 +256,35 @@ def with_site_rules(pages: DataFrame, rules: DataFrame, page_id: str = "page_id"
     return lookup(pages.withColumn("host", U.host(F.col(url))), steps, "host", page_id)
 
 
+# The selectors of a news list that a site does not set.
+NEWS_SELECTORS = {
+    "article": ".article", "title": ".title", "author": ".author", "date": ".date", "summary": ".body", "link": "a[href]",
+}
+
+
+def with_news_rules(pages: DataFrame, rules: DataFrame, site: str = "site", page_id: str = "page_id") -> DataFrame:
+    """J5 for news lists: attach the selectors of each page's site as steps, ``<name>_rule`` for each of ``NEWS_SELECTORS``.
+
+    ``rules`` has the site and any of ``<name>_selector``; what is absent, NULL or
+    blank, for a site or for all, is the usual selector. Of several rows of a site
+    the smallest counts.
+    """
+    given = [n for n in NEWS_SELECTORS if f"{n}_selector" in rules.columns]
+    if given:
+        one = rules.groupBy(site).agg(F.min(F.struct(*[f"{n}_selector" for n in given])).alias("_r")).select(site, "_r.*")
+        pages = lookup(pages, one, site, page_id)
+    steps = {
+        f"{n}_rule": selector_steps(F.coalesce(blank_to_null(F.trim(f"{n}_selector")), F.lit(usual)) if n in given else F.lit(usual))
+        for n, usual in NEWS_SELECTORS.items()
+    }
+    return pages.withColumns(steps).drop(*[f"{n}_selector" for n in given])
+
+
+def news_rule_columns() -> dict[str, Column]:
+    """The columns of ``with_news_rules`` as rules for ``extract.article_entries``."""
+    return {n: F.col(f"{n}_rule") for n in NEWS_SELECTORS}
+
+
 ImageHook = Callable[[Column, Column], Column]
 _image_hooks: dict[str, ImageHook] = {}
 

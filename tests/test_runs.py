@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from harrow.operators import keyfilter, state
 from harrow.plans.runs import board_run, news_run
+from harrow.sources.rules import boards
 from pyspark.sql import functions as F
 
 PAGE = "page_id long, url string, html string"
@@ -110,6 +111,23 @@ def test_a_start_page_beyond_the_pages(spark, now):
     assert out["new_articles"].collect() == []
 
 
+def test_news_sites_with_rules_of_their_own(spark, now):
+    nothing = (spark.createDataFrame([], state.ARTICLES), spark.createDataFrame([], state.SEEN), spark.createDataFrame([], state.CHECKPOINTS))
+    lists = [("n.com", 1, "https://n.com/", '<li class="e"><b>One</b><a href="/news/1">x</a></li><li class="e"><b>Two</b><a class="go" href="/news/2">x</a></li>'),
+             news_page("m.com", 1, [7])]
+    rules = spark.createDataFrame([("n.com", "li.e", "b", "a.go"), ("other.com", "p", "p", "p")],
+                                  "site string, article_selector string, title_selector string, link_selector string")
+    out = news(spark, now, lists, *nothing, site_rules=rules)
+    assert sorted((r.site, r.article_id, r.title) for r in out["new_articles"].collect()) == [("m.com", "7", "T7"), ("n.com", "1", "One"), ("n.com", "2", "Two")]
+
+
+def test_older_board_settings_are_used_where_no_board_is_listed(spark):
+    files = spark.createDataFrame(
+        [("a", [("board", "new", "/new")], [("board", "old", "/old")]), ("b", [("thread", "t", "/t"), ("board", "none", "")], [("board", "old", "/old"), ("board", "x", "")])],
+        "site string, targets array<struct<type:string,name:string,url:string>>, legacy_boards array<struct<type:string,name:string,url:string>>")
+    assert sorted((r.site, r.name, r.url) for r in boards(files).collect()) == [("a", "new", "/new"), ("b", "old", "/old")]
+
+
 def test_the_key_filter_keeps_all_wanted_rows_and_moves_none(spark):
     wide = spark.range(60_000).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("u"), F.col("id"))).alias("url"), F.col("id"), F.repeat(F.lit("x"), 100).alias("html"))
     wanted = wide.where("id % 9 = 4").select("url")
