@@ -30,10 +30,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         yield from fn(batches)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that is free inside this worker to the system; workers outlive their tasks."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library of Linux has it
+        trim(0)
+
+
 def kept(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so later steps start from files."""
     path = shared_dir(df.sparkSession, purpose)
