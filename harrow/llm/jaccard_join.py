@@ -61,7 +61,6 @@ from pyspark.sql import functions as F
 from harrow.llm.common import arrow_map, forget, kept, steps, text_bytes
 from harrow.llm.components import components
 from harrow.llm.words import NOT_SPACE, mix, words
-from harrow.operators.skew import fits_broadcast
 
 STEP_BYTES = 4 << 20
 # Shingles counted together when frequent ones are looked for, how often one must be
@@ -263,14 +262,13 @@ def with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def measured(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """(a, b, distance, linked) of pairs (a, b), a written table.
 
-    While the pairs are few they go to the texts, else Spark may shuffle both.
+    Joins with texts are merge joins whatever the number of pairs, so the cost grows with the input and has no steps.
     """
-    few = F.broadcast if fits_broadcast(pairs) else lambda x: x
     chunks = F.ceil(F.col("partners") / PARTNERS)
     placed = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"))
-    partners = texts.withColumnRenamed("doc_id", "b").join(few(placed), "b").select("a", "chunk", "b", "text")
-    pivots = texts.withColumnRenamed("doc_id", "a").join(few(placed.select("a", "chunk").distinct()), "a").select(
+    partners = texts.withColumnRenamed("doc_id", "b").join(placed.hint("merge"), "b").select("a", "chunk", "b", "text")
+    pivots = texts.withColumnRenamed("doc_id", "a").join(placed.select("a", "chunk").distinct().hint("merge"), "a").select(
         "a", "chunk", F.lit(None).cast("long").alias("b"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +352,7 @@ def _joined(rows: DataFrame, share: int, width: int) -> tuple[DataFrame, DataFra
     pairs = kept(allowed(with_sketches(_first_pairs(members, share), sketches), share), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
     ids = kept(ids, "candidates")
-    # Few candidates are sent to every task; with many, Spark may shuffle the texts once.
-    texts = kept(rows.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id", "left_semi"), "texts")
+    texts = kept(rows.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     found = kept(measured(pairs, texts, width, share), "distances")
 
     away = found.groupBy("a", "b").agg(F.min("distance").alias("away"))
@@ -474,7 +471,7 @@ def _all_links(rows: DataFrame, own: DataFrame, labels: DataFrame, share: int, w
     classes = kept(_classes(own, labels), "classes")
     placed, bands = _dealt(classes, share)
     placed = kept(placed, "placed")
-    texts = rows.join(F.broadcast(placed) if fits_broadcast(placed) else placed, rows["doc_id"] == placed["rep"]).select(
+    texts = rows.join(placed.hint("merge"), rows["doc_id"] == placed["rep"]).select(
         "component", "band", "chunk", "alone", "rep", "d1", "d2", "ids", "text")
     columns = ["a", "b"] if pairs else ["rep", "d1", "d2", "links"]
 
