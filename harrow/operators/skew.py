@@ -20,6 +20,8 @@ BLOCK = 4096
 RANGE_ROWS = 1 << 20
 HOT_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+# Rows of a look-up table that is broadcast though only its file tells its size.
+BROADCAST_ROWS = 1 << 14
 NULL_SALTS = 256
 
 
@@ -91,14 +93,14 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return int(size) <= limit
 
 
-def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str) -> DataFrame:
+def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str, how: str, hot_rows: int | None = None) -> DataFrame:
     """Join ``df`` to ``table``, the rows of hot keys spread over as many tasks as their number asks for.
 
     Only the rows of hot keys are repeated in ``table``. A NULL key meets
     nothing, so its rows are spread too. The list of hot keys is written first,
     so Spark knows its size and broadcasts it only while it is small.
     """
-    hot = materialized(hot_keys(df, keys), "hot-keys")
+    hot = materialized(hot_keys(df, keys, hot_rows) if hot_rows else hot_keys(df, keys), "hot-keys")
     hot = F.broadcast(hot) if fits_broadcast(hot) else hot
     spread = table.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
@@ -113,17 +115,22 @@ def _salted_join(df: DataFrame, table: DataFrame, keys: list[str], salt_by: str,
     )
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str], salt_by: str) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str], salt_by: str, hot_rows: int | None = None) -> DataFrame:
     """Left join to a table with one row per key.
 
     A table that Spark knows to be small is broadcast, so ``df`` is not shuffled
-    at all; a larger one is joined with the hot keys of ``df`` salted by the
-    column ``salt_by``.
+    at all. Of others Spark may not know the size, as of rows that the driver
+    gave; they are written, and broadcast if they turn out to be small. A larger
+    one is joined with the hot keys of ``df`` salted by the column ``salt_by``;
+    for wide rows give a smaller ``hot_rows``.
     """
     keys = _names(key)
     if fits_broadcast(table):
         return df.join(F.broadcast(table), keys, "left")
-    return _salted_join(df, table, keys, salt_by, "left")
+    table = materialized(table, "look-up")
+    if fits_broadcast(table) and table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), keys, "left")
+    return _salted_join(df, table, keys, salt_by, "left", hot_rows)
 
 
 def without_known(df: DataFrame, known: DataFrame, key: str | Sequence[str], salt_by: str | None = None) -> DataFrame:

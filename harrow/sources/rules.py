@@ -215,6 +215,8 @@ def with_presets(sites: DataFrame) -> DataFrame:
     return joined.select(*sites.columns, *[F.coalesce(F.col(c), F.lit(DEFAULTS[c])).alias(c) for c in values])
 
 
+# Pages of a host that one task joins with very many rules; pages are wide.
+HOT_PAGES = 4096
 SELECTOR_COLUMNS = ["thread_list_selector", "thread_link_selector", "image_selector", "next_page_selector"]
 
 
@@ -253,7 +255,7 @@ def with_site_rules(pages: DataFrame, rules: DataFrame, page_id: str = "page_id"
         "base_url",
         *[selector_steps(F.col(c)).alias(c.replace("_selector", "_rule")) for c in SELECTOR_COLUMNS],
     )
-    return lookup(pages.withColumn("host", U.host(F.col(url))), steps, "host", page_id)
+    return lookup(pages.withColumn("host", U.host(F.col(url))), steps, "host", page_id, HOT_PAGES)
 
 
 # The selectors of a news list that a site does not set.
@@ -272,7 +274,7 @@ def with_news_rules(pages: DataFrame, rules: DataFrame, site: str = "site", page
     given = [n for n in NEWS_SELECTORS if f"{n}_selector" in rules.columns]
     if given:
         one = rules.groupBy(site).agg(F.min(F.struct(*[f"{n}_selector" for n in given])).alias("_r")).select(site, "_r.*")
-        pages = lookup(pages, one, site, page_id)
+        pages = lookup(pages, one, site, page_id, HOT_PAGES)
     steps = {
         f"{n}_rule": selector_steps(F.coalesce(blank_to_null(F.trim(f"{n}_selector")), F.lit(usual)) if n in given else F.lit(usual))
         for n, usual in NEWS_SELECTORS.items()

@@ -65,6 +65,22 @@ def test_bad_selectors_and_repeated_hosts(spark):
     assert rules.with_site_rules(pages, sites).count() == 2
 
 
+def test_pages_of_one_host_are_not_gathered(spark, monkeypatch):
+    sites = spark.createDataFrame([("https://h.example", "custom", "li", "a", "img", "a.n")], "base_url string, forum_type string, " + ", ".join(f"{c} string" for c in rules.SELECTOR_COLUMNS))
+    pages = spark.range(0, 100, numPartitions=4).selectExpr("id AS page_id", "concat('https://h.example/', id) AS url", "'<p>x</p>' AS html")
+    ruled = rules.with_site_rules(pages, sites)
+    assert "SortMergeJoin" not in ruled._jdf.queryExecution().toString()
+    assert ruled.where("forum_type = 'custom'").count() == 100
+    # With very many rules the pages of a hot host are spread, by a number of pages and not of narrow rows.
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(rules, "HOT_PAGES", 10)
+    seen = []
+    hot_keys = skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda *a: seen.append(hot_keys(*a)) or seen[-1])
+    assert rules.with_site_rules(pages, sites).where("forum_type = 'custom'").count() == 100
+    assert [r._salts for r in seen[0].collect()] == [40]
+
+
 def test_flat_links_reads_every_live_anchor(spark):
     html = """<a href='/a'>1</a><a href=/b>2</a><A HREF="/c">3</A><!-- <a href="/no">x</a> --><a class="k" href="/d?x=1&amp;y=2">4</a><a>5</a>"""
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
