@@ -1,18 +1,12 @@
-"""Best-fit packing of token sequences by hierarchical residual packing.
+"""Best-fit packing of token sequences, over all pieces at once.
 
 A document longer than a sequence is cut into pieces of full length; the first
-piece takes the rest. Full pieces are sequences of their own. Every task packs
-its other pieces by best fit, longest first, into bins. Nearly full bins are
-done. Of the rest, the emptiest ones go up a tree: bins of ``fan_in`` nodes
-meet and are packed as items, round after round, until one node is left. A task
-with few pieces sends those of its underfull bins up one by one.
-
-How many bins go up needs a bound, and a small one loses nothing: best fit
-leaves at most one bin of a node at most half full, and two bins over half
-never fit into one. So a node of ``fan_in`` children can save at most
-``fan_in`` bins, and each child sends its ``forward`` > ``fan_in`` emptiest,
-that one and places for the others. No task sees more than
-``fan_in * forward`` bins for each pool of pieces below it.
+piece takes the rest. Best fit, longest first, asks only how many pieces there
+are of each length: pieces of one length are alike, and so are bins that are
+equally full. So tasks number their pieces by length, one row for each length
+goes to the driver, at most as many as a sequence has tokens, and comes back as
+runs: pieces of a length, by number, that go to bins in a row. Every piece then
+finds its run. No piece and no bin is left out of this, whatever their number.
 
 Defined results: a NULL or empty text is the end id alone; a NULL id stays
 NULL; repeated rows are packed each; other columns are not read; an empty table
@@ -25,19 +19,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import STEP_BYTES, arrow_map, kept, steps
 from harrow.llm.encoding import shared_encoder
 
-# Pieces, and ids of them, that a task holds before it packs them.
-POOL_PIECES = 1 << 17
-POOL_IDS = 8 << 20
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, node long, open boolean"
-MERGED = "bin long, root long, shift long, fill long, node long, open boolean"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,12 +56,51 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, places, np.array(fills, np.int64)
 
 
-def going_up(fills: np.ndarray, capacity: int, slack: int, forward: int) -> np.ndarray:
-    """Which bins the next node sees: of those that are not nearly full, the emptiest."""
-    up = np.zeros(len(fills), bool)
-    emptiest = np.argsort(fills, kind="stable")[:forward]
-    up[emptiest] = fills[emptiest] < capacity - slack
-    return up
+RUNS = "length long, first long, last long, to_bin long, per_bin long, room long"
+
+
+def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """What ``best_fit`` does to ``counts[length]`` pieces of each length, as runs (``RUNS``).
+
+    The pieces ``first`` to ``last`` of a length go to bins from ``to_bin`` on,
+    ``per_bin`` to each, into bins with this room.
+    """
+    runs = []
+    with_room: dict[int, list[tuple[int, int]]] = {}  # bins in a row with the same room: the first, how many
+    rooms = 0  # bit r: some bin has room r
+    bins = 0
+
+    def add(room: int, first_bin: int, many: int) -> None:
+        nonlocal rooms
+        if room and many:
+            with_room.setdefault(room, []).append((first_bin, many))
+            rooms |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        done, n = 0, counts[size]
+        while done < n:
+            fitting = rooms >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first_bin, many = with_room[room].pop()
+                if not with_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first_bin, many = capacity, bins, -(-(n - done) // (capacity // size))
+                bins += many
+            # A bin that has taken a piece is the tightest for the next one, until none fits.
+            per_bin = room // size
+            whole, rest = min(many, (n - done) // per_bin), 0
+            if whole < many:
+                rest = n - done - whole * per_bin
+            took = whole * per_bin + rest
+            runs.append((size, done, done + took - 1, first_bin, per_bin, room))
+            done += took
+            add(room, first_bin + whole + (rest > 0), many - whole - (rest > 0))
+            add(room - per_bin * size, first_bin, whole)
+            if rest:
+                add(room - rest * size, first_bin + whole, 1)
+    return runs
 
 
 def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,47 +113,16 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc, piece, start, np.where(piece == 0, first[doc], capacity)
 
 
-def packed_locally(
-    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, slack: int, forward: int, with_ids: bool,
-    doc_id: str, text: str, step_bytes: int,
+def numbered_pieces(
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool, doc_id: str, text: str, step_bytes: int,
 ) -> DataFrame:
-    """The leaves of the tree: pieces of every document, packed within their task."""
-
-    def placed(pool: list[dict], part: int, first_bin: int) -> Iterator[pa.RecordBatch]:
-        columns = {k: np.concatenate([x[k] for x in pool]) for k in ("piece", "start", "length", "ids_crc32")}
-        lengths = columns["length"]
-        n = len(lengths)
-        bins, places = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        part_full = np.flatnonzero(lengths < capacity)
-        inner, at, fills = best_fit(lengths[part_full], capacity)
-        bins[part_full], places[part_full] = inner, at
-        whole = np.flatnonzero(lengths == capacity)
-        bins[whole] = len(fills) + np.arange(len(whole))
-        fills = np.concatenate((fills, np.full(len(whole), capacity, np.int64)))
-        up = going_up(fills, capacity, slack, forward)
-        loose = np.flatnonzero(up[bins])
-        if len(loose) <= forward:
-            # So few pieces go up one by one, and the next node packs them anew.
-            bins[loose], places[loose] = len(fills) + np.arange(len(loose)), 0
-            fills = np.concatenate((fills, lengths[loose]))
-            up = np.concatenate((np.zeros(len(up), bool), np.ones(len(loose), bool)))
-        arrays = {
-            "doc_id": pa.concat_arrays([x["doc_id"] for x in pool]),
-            "piece": pa.array(columns["piece"].astype(np.int32)),
-            "start": pa.array(columns["start"]), "length": pa.array(lengths), "ids_crc32": pa.array(columns["ids_crc32"]),
-            "bin": pa.array((np.int64(part) << 36) + first_bin + bins), "offset": pa.array(places), "fill": pa.array(fills[bins]),
-            "node": pa.array(np.full(n, part, np.int64)), "open": pa.array(up[bins] & (places == 0)),
-        }
-        if with_ids:
-            arrays["ids"] = pa.concat_arrays([x["ids"] for x in pool])
-        yield pa.RecordBatch.from_pydict(arrays)
-        return len(fills)
+    """Pieces of every document, those of one length numbered within their task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), shared_encoder(vocabulary)
-        pool, n_pieces, n_ids, n_bins = [], 0, 0, 0
+        before = np.zeros(capacity + 1, np.int64)
         for step in steps(batches, "text", step_bytes):
             ids, at = encoder.encode(step.column("text"))
             n = len(at) - 1
@@ -138,74 +135,46 @@ def packed_locally(
             begins = first[doc] + start
             view = memoryview(full).cast("B")
             crc = np.fromiter((zlib.crc32(view[4 * a: 4 * (a + k)]) for a, k in zip(begins.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
-            item = {"doc_id": step.column("doc_id").combine_chunks().take(pa.array(doc)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+            many = np.bincount(length, minlength=capacity + 1)
+            order = np.argsort(length, kind="stable")
+            number = np.empty(len(length), np.int64)
+            number[order] = np.arange(len(length)) - (np.cumsum(many) - many)[length[order]]
+            number += before[length]
+            before += many
+            arrays = {
+                "doc_id": step.column("doc_id").combine_chunks().take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start),
+                "length": pa.array(length), "ids_crc32": pa.array(crc), "part": pa.array(np.full(len(doc), part, np.int32)), "number": pa.array(number),
+            }
             if with_ids:
-                item["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begins, len(full)).astype(np.int32)), pa.array(full.astype(np.int32)))
-            pool.append(item)
-            n_pieces += len(doc)
-            n_ids += len(full)
-            if n_pieces >= POOL_PIECES or (with_ids and n_ids >= POOL_IDS):
-                n_bins += yield from placed(pool, part, n_bins)
-                pool, n_pieces, n_ids = [], 0, 0
-        if pool:
-            yield from placed(pool, part, n_bins)
+                arrays["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begins, len(full)).astype(np.int32)), pa.array(full.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(arrays)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return arrow_map(rows, pack, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def merged(bins: DataFrame, capacity: int, fan_in: int, slack: int, forward: int) -> DataFrame:
-    """One round of the tree over (bin, fill, node): where each bin goes, and what goes up."""
-
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bin")
-        inner, at, fills = best_fit(group["fill"].to_numpy(), capacity)
-        names = group["bin"].to_numpy()
-        root = np.zeros(len(fills), np.int64)
-        root[inner[at == 0]] = names[at == 0]
-        up = going_up(fills, capacity, slack, forward)
-        return pd.DataFrame({
-            "bin": names, "root": root[inner], "shift": at, "fill": fills[inner], "node": np.int64(key[0]),
-            "open": up[inner] & (at == 0),
-        })
-
-    nodes = bins.select("bin", "fill", F.expr(f"node div {fan_in}").alias("node"))
-    return nodes.groupBy("node").applyInPandas(merge, MERGED)
-
-
 def pack_documents(
     docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, fan_in: int = 8, slack: int = 8,
     forward: int = 256, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", step_bytes: int = STEP_BYTES,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece.
 
-    ``with_ids`` adds the token ids; ``sequences`` puts them together.
+    ``with_ids`` adds the token ids; ``sequences`` puts them together. ``fan_in``,
+    ``slack`` and ``forward`` bounded a packing in rounds; they change nothing now.
     """
-    if forward <= fan_in:
-        raise ValueError("forward must be larger than fan_in")
-    pieces = kept(packed_locally(docs, vocabulary, capacity, end_id, slack, forward, with_ids, doc_id, text, step_bytes), "pieces")
-    bins = pieces.where("open").select("bin", "fill", "node")
-    last = bins.agg(F.max("node")).first()[0]
-    moves = None
-    while last is not None:
-        round_ = kept(merged(bins, capacity, fan_in, slack, forward), "bins")
-        own = round_.where("bin <> root").select("bin", "root", "shift")
-        if moves is None:
-            moves = own
-        else:
-            later = own.select(F.col("bin").alias("root"), F.col("root").alias("to"), F.col("shift").alias("by"))
-            moves = moves.join(later, "root", "left").select(
-                "bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")
-            ).unionByName(own)
-        bins = round_.where("open").select(F.col("root").alias("bin"), "fill", "node")
-        last = last // fan_in if last >= fan_in else None
-    result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    if moves is None:
-        return pieces.withColumn("sequence_id", F.col("bin")).select(*result)
-    # A few moved bins for each node of the tree: Spark broadcasts them while they are small.
-    return pieces.join(kept(moves, "moves"), "bin", "left").withColumn(
-        "sequence_id", F.coalesce("root", "bin")).withColumn(
-        "offset", F.col("offset") + F.coalesce("shift", F.lit(0))).select(*result)
+    pieces = kept(numbered_pieces(docs, vocabulary, capacity, end_id, with_ids, doc_id, text, step_bytes), "pieces")
+    # A row for each length in each task, with the pieces of that length in the tasks before.
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = kept(pieces.groupBy("part", "length").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))), "piece-counts")
+    counts = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("count")).collect()}  # a row for each length
+    runs = docs.sparkSession.createDataFrame(best_fit_runs(counts, capacity), RUNS)
+    placed = pieces.join(by_part.select("part", "length", "before"), ["part", "length"]).withColumn("number", F.col("number") + F.col("before"))
+    within = (F.col("p.length") == F.col("r.length")) & F.col("p.number").between(F.col("r.first"), F.col("r.last"))
+    in_run = F.col("p.number") - F.col("r.first")
+    return placed.alias("p").join(F.broadcast(runs).alias("r"), within).select(
+        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32",
+        (F.col("r.to_bin") + F.expr("(p.number - r.first) div r.per_bin")).alias("sequence_id"),
+        (F.lit(capacity) - F.col("r.room") + in_run % F.col("r.per_bin") * F.col("p.length")).alias("offset"), *["p.ids"] * with_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Token counts, id blocks and packing against plain loops over the tokenizer."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,31 @@ def test_packing(spark, parts):
     assert n <= 1.05 * whole + 1
 
 
+def test_pieces_of_any_two_tasks_meet(spark):
+    # One task has only pieces that fill a bin to three fifths, the other only what fits on top of them.
+    table = [(i, "a " * (38 if i < 400 else 24)) for i in range(800)]
+    docs = spark.range(0, 800, numPartitions=2).selectExpr("id AS doc_id", "repeat('a ', if(id < 400, 38, 24)) AS text")
+    lengths = [len(ids_of(t)) + 1 for _, t in table]
+    assert lengths[0] * 2 > 70 >= lengths[0] + lengths[-1]
+    n, _ = check_packing(packing.pack_documents(docs, PATH, capacity=70).collect(), table, 70, 2)
+    assert n == 400
+
+
+@settings(max_examples=100, deadline=None)
+@forall(st.lists(st.integers(1, 50), max_size=300))
+def test_runs_are_the_bins_of_best_fit(sizes):
+    counts = Counter(sizes)
+    filled = {}
+    for length, first, last, to_bin, per_bin, room in packing.best_fit_runs(counts, 50):
+        counts[length] -= last - first + 1
+        for k in range(last - first + 1):
+            at = 50 - room + k % per_bin * length
+            assert at == filled.get(to_bin + k // per_bin, 0)
+            filled[to_bin + k // per_bin] = at + length
+    assert not any(counts.values())
+    assert sorted(filled.values()) == sorted(packing.best_fit(np.array(sizes, np.int64), 50)[2])
+
+
 def test_packing_query(spark):
     check_packing(queries.op4_best_fit_packing(spark, FOLDER).collect(), given("documents"), 1024, 2)
 
