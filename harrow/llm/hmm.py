@@ -6,9 +6,10 @@ A state's share of a word is its expected count + 0.1 / states, over the state's
 total. The first shares are those of the unigram model, with noise from a table
 of ``CLASSES`` rows that a hash of the word picks; nothing learned goes by it.
 
-Work is dealt in blocks of documents. A block holds its distinct words once and
-its texts as numbers of them, written to the shared folder; counts are summed
-over the blocks by word in one shuffle and go back to the blocks as numbers.
+Work is dealt in blocks of documents. A block's texts, as numbers of its distinct
+words, are written to the shared folder once and move no more; counts are summed
+over the blocks by word in one shuffle, and those of words that several blocks
+have go back to the blocks as numbers.
 Each Baum-Welch round reads the blocks and sends the expected counts of their
 words, packed by buckets of words, to one task for each bucket, which adds them
 up in the order of blocks and sends the sums back to the blocks; the counts of
@@ -28,6 +29,7 @@ no row.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,11 +71,15 @@ def _open(value: bytes, size: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(value, size * kind.itemsize, "zstd", asbytes=True), kind)
 
 
-BLOCKS = "block long, word string, place int, n long, n_docs int, n_tokens long, doc_id array<long>, training binary, lengths binary, tokens binary, classes binary, n_words int"
+def _packed(*arrays: np.ndarray) -> list[tuple[str, int, bytes]]:
+    return [(a.dtype.str, len(a), _squeeze(a)[0]) for a in arrays]
 
 
-def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_bytes: int) -> DataFrame:
-    """For each block a row with its texts as word numbers, and a row for each distinct word."""
+BLOCKS = "block long, word string, place int, n long, path string"
+
+
+def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_bytes: int, folder: str) -> DataFrame:
+    """For each block a row with the path of its texts as word numbers, and a row for each distinct word."""
 
     def finish(block: int, held: list) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays([x[0] for x in held])
@@ -93,11 +99,10 @@ def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_byte
         first[tokens[::-1]] = np.arange(len(tokens))[::-1]
         classes = (mix(hashes[first]) >> np.uint64(64 - CLASS_BITS)).astype(np.int32)
         counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=n)
-        squeezed = _squeeze(train, lengths.astype(np.int32), tokens, classes.astype("<u4"))
-        columns = {"block": pa.array([block]), "n_docs": pa.array([len(ids)], pa.int32()), "n_tokens": pa.array([len(tokens)]),
-                   "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "n_words": pa.array([n], pa.int32()),
-                   **{k: pa.array([v]) for k, v in zip(("training", "lengths", "tokens", "classes"), squeezed, strict=True)}}
-        yield _rows(columns, 1)
+        # An attempt of the task that comes to nothing leaves a file that no row names.
+        path = f"{folder}/texts-{block}-{uuid.uuid4().hex}"
+        save_bytes(path, pickle.dumps((ids.to_pylist(), _packed(train, lengths.astype(np.int32), tokens, classes))))
+        yield _rows({"block": pa.array([block]), "path": pa.array([path])}, 1)
         for i in range(0, n, 1 << 16):
             m = min(n - i, 1 << 16)
             yield _rows({"block": pa.array(np.full(m, block)), "word": coded.dictionary.slice(i, m).cast(pa.string()),
@@ -124,9 +129,7 @@ def blocks(docs: DataFrame, training: Column, doc_id: str, text: str, block_byte
     return arrow_map(rows, build, BLOCKS)
 
 
-_TYPES = {"word": pa.string(), "place": pa.int32(), "n": pa.int64(), "n_docs": pa.int32(), "n_tokens": pa.int64(),
-          "doc_id": pa.list_(pa.int64()), "training": pa.binary(), "lengths": pa.binary(), "tokens": pa.binary(), "classes": pa.binary(),
-          "n_words": pa.int32(), "block": pa.int64()}
+_TYPES = {"block": pa.int64(), "word": pa.string(), "place": pa.int32(), "n": pa.int64(), "path": pa.string()}
 
 
 def _rows(columns: dict, n: int) -> pa.RecordBatch:
@@ -145,29 +148,37 @@ class Block:
     classes: np.ndarray  # of each distinct word: its row of the first noise
     counts: np.ndarray  # of each distinct word in all training texts
     words: np.ndarray  # number of each distinct word that is the same in all blocks; -1 for a word of this block alone
-    shared: np.ndarray  # places of words that training has seen and other blocks have, by number
+    shared: np.ndarray | None  # places of words that training has seen and other blocks have, by number
 
     @classmethod
-    def of(cls, row: pa.Table, numbers: pa.Table) -> Block:
-        get = lambda name: row.column(name)[0]
-        n, t = get("n_docs").as_py(), get("n_tokens").as_py()
-        place, many = numbers.column("place").to_numpy(), get("n_words").as_py()
-        counts, same = np.zeros(many, np.int64), np.zeros(many, np.int64)
-        counts[place], same[place] = numbers.column("c").to_numpy(), numbers.column("id").to_numpy()
-        some = np.flatnonzero((counts > 0) & (same >= 0))
-        return cls(
-            get("doc_id").values, _open(get("training").as_py(), n, bool), _open(get("lengths").as_py(), n, np.int32).astype(np.int64),
-            _open(get("tokens").as_py(), t, np.int32), _open(get("classes").as_py(), many, "<u4").astype(np.int32), counts, same, some[np.argsort(same[some])],
-        )
-
-    def save(self, path: str) -> None:
-        save_bytes(path, pickle.dumps((self.doc_ids.to_pylist(), [(a.dtype.str, len(a), _squeeze(a)[0]) for a in (
-            self.training, self.lengths, self.tokens, self.classes, self.counts, self.words, self.shared)])))
+    def of(cls, path: str, counts: np.ndarray | None, names: np.ndarray | None, shared: np.ndarray | None) -> Block:
+        """The texts of a file; counts are the block's own and no word has a number if none are given."""
+        ids, arrays = pickle.loads(load_bytes(path))
+        training, lengths, tokens, classes = [_open(value, n, kind) for kind, n, value in arrays]
+        lengths, words_ = lengths.astype(np.int64), np.full(len(classes), -1, np.int64)
+        if counts is None:
+            counts = np.bincount(tokens[np.repeat(training, lengths)], minlength=len(classes))
+        else:
+            words_[shared] = names
+        return cls(pa.array(ids, pa.int64()), training, lengths, tokens, classes, counts, words_, shared)
+
+    def numbered(self, numbers: pa.Table) -> None:
+        """Take over counts and numbers of the words that other blocks have."""
+        place = numbers.column("place").to_numpy()
+        self.counts[place], self.words[place] = numbers.column("c").to_numpy(), numbers.column("id").to_numpy()
+        some = np.flatnonzero((self.counts > 0) & (self.words >= 0))
+        self.shared = some[np.argsort(self.words[some])]
+
+    def save(self, path: str, texts: str) -> None:
+        """Write what is not in the file of the texts."""
+        names = np.diff(self.words[self.shared], prepend=0)
+        save_bytes(path, pickle.dumps((texts, _packed(self.counts, names, self.shared))))
 
     @classmethod
     def load(cls, path: str) -> Block:
-        ids, arrays = pickle.loads(load_bytes(path))
-        return cls(pa.array(ids, pa.int64()), *[_open(value, n, kind) for kind, n, value in arrays])
+        texts, arrays = pickle.loads(load_bytes(path))
+        counts, names, shared = [_open(value, n, kind) for kind, n, value in arrays]
+        return cls.of(texts, counts, np.cumsum(names), shared)
 
     def observed(self, docs: np.ndarray) -> np.ndarray:
         """Numbers of the words of some texts, each text followed by the end, which has the last number."""
@@ -452,12 +463,13 @@ def _even(x: np.ndarray) -> np.ndarray:
 # --- corpora ------------------------------------------------------------
 
 def word_counts(words_: DataFrame) -> DataFrame:
-    """(block, place, c, id, first): how often the corpus has each word of each block, a number of the word, -1 in a single block, and where it is first."""
+    """(block, place, c, id, first) of each word of each block that other blocks have too: how often the corpus has it, its number, and where it is first."""
     by_word = Window.partitionBy("word")
     spot = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
     least = F.min(spot).over(by_word)
     return words_.select(
-        "block", "place", F.sum("n").over(by_word).alias("c"), F.when(F.count("*").over(by_word) > 1, least).otherwise(-1).alias("id"), (least == spot).alias("first"))
+        "block", "place", F.sum("n").over(by_word).alias("c"), least.alias("id"), (least == spot).alias("first"), F.count("*").over(by_word).alias("many"),
+    ).where("many > 1").drop("many")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -472,19 +484,23 @@ def score_documents(
     ``base_score`` is the add-0.1 unigram model, ``score`` the hidden Markov
     model; both are log10 probabilities of the words and the end.
     """
-    taken = kept(blocks(docs, training, doc_id, text, block_bytes), "word-blocks")
     spark = docs.sparkSession
-    corpus = taken.where("word is null").select("block", "n_docs", "n_tokens", "doc_id", "training", "lengths", "tokens", "classes", "n_words")
-    counts = kept(word_counts(taken.where("word is not null").select("block", "word", "place", "n")), "word-counts")
     folder = shared_dir(spark, "blocks")
+    taken = kept(blocks(docs, training, doc_id, text, block_bytes, folder), "word-blocks")
+    corpus = kept(taken.where("word is null").select("block", "path"), "block-texts")
+    counts = kept(word_counts(taken.where("word is not null").select("block", "word", "place", "n")), "word-counts")
+    forget(taken)
+    # Lets Spark remove the shuffle files of the words.
+    spark.sparkContext._jvm.System.gc()
 
     def prepare(texts: pa.Table, numbers: pa.Table) -> pa.Table:
         """Write a block with its counts; its path, and the counts of words by class that it is the first to have."""
         pa.set_memory_pool(pa.system_memory_pool())
-        block, number = Block.of(texts.combine_chunks(), numbers), texts.column("block")[0].as_py()
-        path = f"{folder}/block-{number}"
-        block.save(path)
-        own = np.zeros(len(block.words), bool)
+        given, number = texts.column("path")[0].as_py(), texts.column("block")[0].as_py()
+        block, path = Block.of(given, None, None, None), f"{folder}/block-{number}"
+        block.numbered(numbers)
+        block.save(path, given)
+        own = np.ones(len(block.words), bool)
         own[numbers.column("place").to_numpy()] = numbers.column("first").to_numpy(zero_copy_only=False)
         own &= block.counts > 0
         tokens = np.bincount(block.classes[own], block.counts[own], CLASSES).astype(np.int64)
@@ -510,8 +526,8 @@ def score_documents(
     begun = initial(states, size / size.sum())
     now, sums = Round(begun.first, begun.move, begun.emit, size, None, None, int(seen // BUCKET_WORDS) + 1, ""), None
     index = index.select("block", "path")
-    forget(taken)
     forget(counts)
+    spark.sparkContext._jvm.System.gc()
     for _ in range(rounds if n_docs else 0):
         sums, now = baum_welch_round(index, sums, now, words_)
     shared = spark.sparkContext.broadcast(now)

@@ -82,6 +82,16 @@ def test_states_emit_words(spark):
         assert np.isclose(r.score, want[r.doc_id], rtol=1e-7), r
 
 
+def test_texts_and_words_of_one_block_are_not_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b only"), (2, "b a other")], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    taken = hmm.blocks(docs, F.lit(True), "doc_id", "text", 1, str(tmp_path)).localCheckpoint()
+    assert set(taken.columns) == {"block", "word", "place", "n", "path"}
+    words_ = taken.where("word is not null").select("block", "word", "place", "n")
+    found = hmm.word_counts(words_).join(words_, ["block", "place"]).collect()
+    assert sorted((r.word, r.c) for r in found) == [("a", 2), ("a", 2), ("b", 3), ("b", 3)]
+    assert sum(r["first"] for r in found) == 2
+
+
 def test_segments_carry_over(monkeypatch):
     rng = np.random.default_rng(1)
     lengths = np.array([3, 1, 17, 8, 9])
