@@ -16,9 +16,11 @@ up in the order of blocks and sends the sums back to the blocks; the counts of
 words that no other block has stay with the block. Only totals by
 state reach the driver: first states, moves, and the sums of emissions.
 
-Training and scores run over whole texts. Long ones are run through in segments
-of ``SEGMENT`` steps: the forward pass keeps its state at the cuts, the backward
-pass goes from the last segment to the first and carries its state over.
+Training and scores run over whole texts. Those too long to be run through at
+once are cut into segments of ``SEGMENT`` tokens: the forward pass keeps its state
+at the cuts, the backward pass goes from the last segment to the first and carries
+its state over. Forward and backward values are brought back to a sum of 1 after
+every ``EVEN`` steps, not after each; expected counts are evened out at the end.
 
 Defined results: a NULL or empty text is the end alone; a NULL id counts as the
 empty text in ``residue``; repeated rows count repeatedly; other columns are not
@@ -48,7 +50,11 @@ BLOCK_BITS, PLACE_BITS = 12, 31
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 END = CLASSES
-SEGMENT = 1024
+# Tokens of lanes that are run through between two cuts, at most, unless a single step has more.
+SEGMENT = 1 << 18
+# Steps after which values are brought back to a sum of 1. A step takes a sum down by the least
+# move at most, if the emissions of each word are level; moves are smoothed, so none is near 0.
+EVEN = 8
 # Bytes of text in a block, and in the part of it that is taken apart at once.
 BLOCK_BYTES = 12 << 20
 STEP_BYTES = 3 << 20
@@ -199,6 +205,12 @@ class Model:
     again: np.ndarray  # (states,) where a sequence continues another
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (words or classes, and the end; states)
+    level: np.ndarray | None = None  # log10 of what the emissions of each word have been divided by
+
+    def levelled(self) -> Model:
+        """The same model with 1 as the largest emission of each word: expected counts do not change by it."""
+        largest = self.emit.max(axis=1)
+        return Model(self.first, self.again, self.move, self.emit / largest[:, None], np.log10(largest) + (0 if self.level is None else self.level))
 
 
 def initial(states: int, share: np.ndarray, seed: int = 7) -> Model:
@@ -222,48 +234,57 @@ class Lanes:
         # active[t]: lanes that have a token at time t.
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, int(sizes[0]) + 1))
         self.at = np.concatenate(([0], np.cumsum(self.active)))
-        time = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.lane = np.repeat(np.arange(len(sizes)), sizes)
-        place = self.at[time] + self.lane
-        self.observed = np.empty(len(place), np.int32)
-        self.observed[place] = observed[ragged(begins, sizes)]
-        by_time = np.empty(len(place), np.int64)
-        by_time[place] = self.lane
-        self.lane = by_time
-
-    def forward(self, model: Model, emit: np.ndarray, start: np.ndarray, cut: tuple[int, int], alpha: np.ndarray | None, keep: bool) -> tuple:
-        """Emissions and scale of every token between two times, its scaled forward probabilities if asked for, and the last of them.
-
-        ``emit`` has the states in rows, as have all arrays here: the sums over the few states run along the many lanes.
-        """
+        self.last = self.at[sizes - 1] + np.arange(len(sizes))
+        self.lane = ragged(np.zeros_like(self.active), self.active)
+        self.observed = observed[begins[self.lane] + np.repeat(np.arange(len(self.active)), self.active)]
+
+    def forward(self, model: Model, start: np.ndarray, cut: tuple[int, int], alpha: np.ndarray | None) -> tuple:
+        """Emissions and forward probabilities of every token between two times, and the sums that lanes were divided by."""
         low, high = cut
-        base = self.at[low]
-        emitted = emit.take(self.observed[base: self.at[high]], axis=1)
-        scale = np.empty(emitted.shape[1])
-        all_alpha = np.empty_like(emitted) if keep else None
-        move = np.ascontiguousarray(model.move.T)
-        for t in range(low, high):
-            n, a, b = int(self.active[t]), self.at[t] - base, self.at[t + 1] - base
-            alpha = (start if alpha is None else move @ alpha[:, :n]) * emitted[:, a:b]
-            total = alpha.sum(axis=0)
-            alpha /= total
-            scale[a:b] = total
-            if keep:
-                all_alpha[:, a:b] = alpha
-        return emitted, scale, all_alpha, alpha
+        at = (self.at[low: high + 1] - self.at[low]).tolist()
+        emitted = model.emit.take(self.observed[self.at[low]: self.at[high]], axis=0)
+        all_alpha, sums, ones = np.empty_like(emitted), [], np.ones_like(model.move)
+        for t, a, b in zip(range(low, high), at, at[1:], strict=False):
+            now = all_alpha[a:b]
+            if alpha is None:
+                now[:] = start
+            else:
+                np.matmul(alpha[: b - a], model.move, out=now)
+            now *= emitted[a:b]
+            if t % EVEN == EVEN - 1:
+                total = now @ ones  # in every column, as rows are short
+                now /= total
+                sums.append(total[:, 0])
+            alpha = now
+        return emitted, all_alpha, sums
 
     def cuts(self) -> list[tuple[int, int]]:
-        every = len(self.active)
-        return [(t, min(t + SEGMENT, every)) for t in range(0, every, SEGMENT)]
+        """Times between which lanes are run through at once."""
+        out, low, every = [], 0, len(self.active)
+        while low < every:
+            high = max(low + 1, int(np.searchsorted(self.at, self.at[low] + SEGMENT, side="right")) - 1)
+            out.append((low, high))
+            low = high
+        return out
+
+    def entering(self, cut: tuple[int, int], all_alpha: np.ndarray) -> np.ndarray:
+        """The forward probabilities of the last time before a cut's end."""
+        return all_alpha[self.at[cut[1] - 1] - self.at[cut[0]]:].copy()
 
     def log10_likelihood(self, model: Model) -> np.ndarray:
         """Of each sequence, in the order given."""
-        emit = np.ascontiguousarray(model.emit.T)
-        start, alpha = np.broadcast_to(model.first[:, None], (len(model.first), self.active[0])), None
+        start, alpha = model.first, None
         total = np.zeros(len(self.order))
+        if model.level is not None:
+            total += np.bincount(self.lane, model.level[self.observed], len(total))
         for cut in self.cuts():
-            _, scale, _, alpha = self.forward(model, emit, start, cut, alpha, False)
-            total += np.bincount(self.lane[self.at[cut[0]]: self.at[cut[1]]], np.log10(scale), len(self.order))
+            _, all_alpha, sums = self.forward(model, start, cut, alpha)
+            for x in sums:
+                total[: len(x)] += np.log10(x)
+            base, end = self.at[cut[0]], self.at[cut[1]]
+            ended = np.flatnonzero((self.last >= base) & (self.last < end))
+            total[ended] += np.log10(all_alpha[self.last[ended] - base].sum(axis=1))
+            alpha = self.entering(cut, all_alpha)
         out = np.empty(len(self.order))
         out[self.order] = total
         return out
@@ -271,35 +292,38 @@ class Lanes:
     def expected(self, model: Model, continued: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts: first states, states of continued sequences, moves, emissions."""
         later = continued[self.order]
-        emit = np.ascontiguousarray(model.emit.T)
-        start = np.where(later, model.again[:, None], model.first[:, None])
+        start = np.where(later[:, None], model.again, model.first)
         cuts, entering = self.cuts(), [None]
         for cut in cuts[:-1]:
-            entering.append(self.forward(model, emit, start, cut, entering[-1], False)[3])
-        moves, emits, after = np.zeros_like(model.move), np.zeros_like(emit), None
+            entering.append(self.entering(cut, self.forward(model, start, cut, entering[-1])[1]))
+        moves, emits, after = np.zeros_like(model.move), np.zeros(model.emit.shape[::-1]), None
+        back, ones = np.ascontiguousarray(model.move.T), np.ones_like(model.move)
         for cut, alpha in zip(cuts[::-1], entering[::-1], strict=True):
             low, high = cut
-            base, at = self.at[low], self.at - self.at[low]
-            weighted, scale, alpha, _ = self.forward(model, emit, start, cut, alpha, True)
-            weighted /= scale  # becomes emission * beta / scale
-            beta = np.ones_like(alpha)
+            at = self.at[low: high + 1] - self.at[low]
+            weighted, alpha, _ = self.forward(model, start, cut, alpha)  # weighted becomes emission * beta
+            beta, later_cut, places = np.ones_like(alpha), after, at.tolist()
             for t in range(high - 1, low - 1, -1):
+                a, b = places[t - low], places[t - low + 1]
                 if after is not None:
-                    lanes = slice(at[t], at[t] + after.shape[1])
-                    np.matmul(model.move, after, out=beta[:, lanes])
-                    if t == high - 1:
-                        moves += alpha[:, lanes] @ after.T
-                after = weighted[:, at[t]: at[t + 1]]
-                after *= beta[:, at[t]: at[t + 1]]
-            if high - low > 1:
-                moves += alpha.take(ragged(at[low: high - 1], self.active[low + 1: high]), axis=1) @ weighted[:, at[low + 1]:].T
+                    np.matmul(after, back, out=beta[a: a + len(after)])
+                after = weighted[a:b]
+                after *= beta[a:b]
+                if t % EVEN == 0:
+                    after /= after @ ones
             states = np.multiply(alpha, beta, out=beta)
-            states /= states.sum(axis=0)
-            seen = self.observed[base: self.at[high]]
-            for k, own in enumerate(states):
-                emits[k] += np.bincount(seen, own, emits.shape[1])
-        begun = states[:, : self.active[0]]
-        return begun[:, ~later].sum(axis=1), begun[:, later].sum(axis=1), model.move * moves, emits.T
+            total = states @ ones
+            states /= total
+            alpha /= total
+            if later_cut is not None:
+                moves += alpha[at[-2]: at[-2] + len(later_cut)].T @ later_cut
+            if high - low > 1:
+                moves += alpha.take(ragged(at[:-2], self.active[low + 1: high]), axis=0).T @ weighted[at[1]:]
+            seen = self.observed[self.at[low]: self.at[high]]
+            for k in range(len(emits)):
+                emits[k] += np.bincount(seen, states[:, k], emits.shape[1])
+        begun = states[: self.active[0]]
+        return begun[~later].sum(axis=0), begun[later].sum(axis=0), model.move * moves, emits.T
 
 
 def grouped(lengths: np.ndarray, limit: int = LANES_TOKENS) -> Iterator[np.ndarray]:
@@ -325,7 +349,8 @@ def segments(lengths: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.n
 def block_expected(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of a block's training texts: first states, moves, and emissions of its words and the end."""
     docs = np.flatnonzero(block.training)
-    first, moves, emits = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros_like(model.emit)
+    model = model.levelled()
+    first, moves, emits = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros(model.emit.shape[::-1])
     observed, lengths = block.observed(docs), block.lengths[docs] + 1
     begins = np.cumsum(lengths) - lengths
     for group in grouped(lengths):
@@ -333,8 +358,8 @@ def block_expected(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray,
         one, _, two, three = lanes.expected(model, np.zeros(len(group), bool))
         first += one
         moves += two
-        emits += three
-    return first, moves, emits
+        emits += three.T
+    return first, moves, np.ascontiguousarray(emits.T)
 
 
 @dataclass
@@ -540,7 +565,7 @@ def score_documents(
         own, c = shared.value.model(block, paths.column("path")[0].as_py(), given), block.counts
         of = np.repeat(np.arange(len(block.lengths)), block.lengths)
         total = lambda values: np.bincount(of, values[block.tokens], len(block.lengths))
-        paths_ = np.empty(len(block.lengths))
+        own, paths_ = own.levelled(), np.empty(len(block.lengths))
         for group in grouped(block.lengths + 1):
             paths_[group] = Lanes(block.observed(group), block.lengths[group] + 1).log10_likelihood(own)
         known = total((c > 0).astype(np.float64)).astype(np.int64) + (n_docs > 0)

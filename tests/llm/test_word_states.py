@@ -104,3 +104,31 @@ def test_segments_carry_over(monkeypatch):
         monkeypatch.setattr(hmm, "SEGMENT", size)
         for x, y in zip(whole, [*lanes.expected(model, np.zeros(5, bool)), lanes.log10_likelihood(model)], strict=True):
             assert np.allclose(x, y)
+
+
+def test_texts_of_a_group_run_forward_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    lengths = np.array([2600, 2100, 1030, 7])
+    model = hmm.initial(3, np.ones(10) / 10)
+    lanes, runs, forward_ = hmm.Lanes(rng.integers(0, 10, lengths.sum()).astype(np.int32), lengths), [], hmm.Lanes.forward
+    monkeypatch.setattr(hmm.Lanes, "forward", lambda *x: runs.append(x) or forward_(*x))
+    lanes.expected(model, np.zeros(4, bool))
+    assert len(runs) == 1
+    lanes.log10_likelihood(model)
+    assert len(runs) == 2
+
+
+def test_values_between_even_steps_stay_in_range():
+    rng = np.random.default_rng(3)
+    lengths, least = np.array([400, 37, 1]), 1e-13
+    model = hmm.initial(2, np.ones(6) / 6)
+    # The states hardly ever change, and each word all but belongs to the other state than the word before.
+    model.move = np.array([[1 - least, least], [least, 1 - least]])
+    model.emit = np.array([[1e-3, 1e-14], [1e-14, 1e-9]] * 3)
+    seen = np.concatenate([np.arange(n) % 6 for n in lengths]).astype(np.int32)
+    lanes, at = hmm.Lanes(seen, lengths), np.cumsum([0, *lengths])
+    want = [np.log10(forward(model, seen[a:b])[1]).sum() for a, b in zip(at, at[1:], strict=False)]
+    assert np.allclose(lanes.log10_likelihood(model.levelled()), want, rtol=1e-12)
+    found = lanes.expected(model.levelled(), np.zeros(3, bool))
+    assert np.isclose(found[2].sum(), (lengths - 1).sum()) and np.isclose(found[3].sum(), lengths.sum())
+    assert np.allclose(found[3].sum(axis=1), np.bincount(seen, minlength=6))
